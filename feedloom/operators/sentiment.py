@@ -23,9 +23,15 @@ def polarity(positive: Column, negative: Column) -> Column:
 
 
 def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
+    """One pass over the words; listed words are picked first, then tallied."""
     hits = F.filter(tokens(text), lambda t: t.isin(positive + negative))
-    ups = F.size(F.filter(hits, lambda t: t.isin(positive)))
-    return polarity(ups, F.size(hits) - ups)
+    start = F.struct(F.lit(0).alias("ups"), F.lit(0).alias("downs"))
+
+    def tally(seen: Column, token: Column) -> Column:
+        up = token.isin(positive).cast("int")
+        return F.struct((seen["ups"] + up).alias("ups"), (seen["downs"] + 1 - up).alias("downs"))
+
+    return F.aggregate(hits, start, tally, lambda seen: polarity(seen["ups"], seen["downs"]))
 
 
 def score_sentiment(

@@ -23,8 +23,17 @@ POSITIVE = "and with for la der on it".split()
 NEGATIVE = "of to is de die que".split()
 
 
+# Schemas of the tables used, so that no job is run to find them.
+SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
