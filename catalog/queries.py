@@ -460,7 +460,8 @@ def reaction_removals_by_user(spark, folder):
 
 @query
 def deletes_in_flat_tables(spark, folder):
-    return changes.delete_flattened(base(spark, folder), control(spark, folder)).select("id", "event_type")
+    known = changes.removals(control(spark, folder))
+    return changes.delete_flattened(base(spark, folder), known).select("id", "event_type")
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import ANONYMOUS_MARKER, add_prefix
 from feedloom.functions.time import is_valid_ts
 from feedloom.operators.flatten import parsed_events
-from feedloom.operators.skew import BROADCAST_ROWS, HOT_ROWS, any_null, join_unique
+from feedloom.operators.skew import BROADCAST_ROWS, HOT_ROWS, any_null, join_unique, small_enough
+from feedloom.session import stage
 
 MESSAGE_DELETED = "message_deleted"
 REACTION_REMOVED = "reaction_removed"
@@ -85,21 +87,56 @@ def route_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return upserts, control
 
 
-def _keep_newer(rows: DataFrame, control: DataFrame, keys: dict[str, str], hot_rows: int) -> DataFrame:
-    """Drop rows stored no later than the last control event on their key.
+@dataclass(frozen=True)
+class Removals:
+    """Latest deletion time per message and per reaction, one row per key."""
 
-    Only the latest control time of a key matters, so control rows are merged
-    to one per key before they meet the stored rows.
-    """
-    last = control.groupBy(*[F.col(c).alias(k) for k, c in keys.items()]).agg(
-        F.max("event_time").alias("_removed_at")
+    messages: DataFrame
+    reactions: DataFrame
+    small: bool  # both may be broadcast
+    hot_rows: int
+
+
+def removals(control: DataFrame, match_user: bool = False, hot_rows: int = HOT_ROWS) -> Removals:
+    """Merge control rows to the latest per key: earlier ones remove nothing more."""
+    kind, last = F.col("kind"), F.max("event_time")
+    named = control.select(
+        "kind", "event_time", F.col("target_ts").alias("_ts"), F.col("reaction").alias("_reaction"), F.col("user").alias("_user")
     )
-    joined = join_unique(rows, last, list(keys), "left", "id", hot_rows, BROADCAST_ROWS)
-    kept = F.col("_removed_at").isNull() | (F.col("event_time") > F.col("_removed_at"))
-    return joined.filter(kept).select(*rows.columns)
+    reaction_keys = ["_ts", "_reaction", "_user"] if match_user else ["_ts", "_reaction"]
+    messages = named.filter(kind == MESSAGE_DELETED).groupBy("_ts").agg(last.alias("_message_removed"))
+    reactions = named.filter(kind == REACTION_REMOVED).groupBy(*reaction_keys).agg(last.alias("_reaction_removed"))
+    messages, reactions = stage(messages, "removals"), stage(reactions.withColumnRenamed("_ts", "_item_ts"), "removals")
+    small = small_enough(messages, BROADCAST_ROWS) and small_enough(reactions, BROADCAST_ROWS)
+    return Removals(messages, reactions, small, hot_rows)
 
 
-def _delete_keys(raw: DataFrame) -> DataFrame:
+def _mark(keyed: DataFrame, gone: DataFrame, known: Removals) -> DataFrame:
+    """Add the deletion time of each row's key, NULL if it has none."""
+    keys, added = gone.columns[:-1], gone.columns[-1]
+    marked = join_unique(keyed, gone, keys, "left", "id", known.hot_rows, known.small)
+    hit = F.coalesce(F.col("event_time") <= F.col(added), F.lit(False))
+    return marked.withColumn("_removed", F.col("_removed") | hit).drop(added)
+
+
+def mark_removed(
+    keyed: DataFrame, known: Removals, messages: bool = True, reactions: bool = True
+) -> DataFrame:
+    """Add ``_removed``: stored no later than the last deletion of its key.
+
+    ``keyed`` has the columns ``_ts``, ``_item_ts``, ``_reaction`` and ``_user``.
+    """
+    if not known.small:
+        keyed = stage(keyed, "keyed")  # hot keys are searched before the joins
+    marked = keyed.withColumn("_removed", F.lit(False))
+    if messages:
+        marked = _mark(marked, known.messages, known)
+    if reactions:
+        marked = _mark(marked, known.reactions, known)
+    return marked
+
+
+def _raw_keys(raw: DataFrame) -> DataFrame:
     return parsed_events(raw).select(
         *_RAW,
         _event("ts").alias("_ts"),
@@ -109,24 +146,10 @@ def _delete_keys(raw: DataFrame) -> DataFrame:
     )
 
 
-def _removal_keys(match_user: bool) -> dict[str, str]:
-    keys = {"_item_ts": "target_ts", "_reaction": "reaction"}
-    return {**keys, "_user": "user"} if match_user else keys
-
-
-def _drop_messages(keyed: DataFrame, control: DataFrame, hot_rows: int) -> DataFrame:
-    deletes = control.filter(F.col("kind") == MESSAGE_DELETED)
-    return _keep_newer(keyed, deletes, {"_ts": "target_ts"}, hot_rows)
-
-
-def _drop_reactions(keyed: DataFrame, control: DataFrame, match_user: bool, hot_rows: int) -> DataFrame:
-    removals = control.filter(F.col("kind") == REACTION_REMOVED)
-    return _keep_newer(keyed, removals, _removal_keys(match_user), hot_rows)
-
-
 def apply_message_deletes(raw: DataFrame, control: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Remove messages deleted after they were stored."""
-    return _drop_messages(_delete_keys(raw), control, hot_rows).select(*_RAW)
+    marked = mark_removed(_raw_keys(raw), removals(control, hot_rows=hot_rows), reactions=False)
+    return marked.filter(~F.col("_removed")).select(*_RAW)
 
 
 def apply_reaction_removals(
@@ -137,34 +160,37 @@ def apply_reaction_removals(
     One removal takes the reactions of all users, unless ``match_user``. A
     reaction added again later stays.
     """
-    return _drop_reactions(_delete_keys(raw), control, match_user, hot_rows).select(*_RAW)
+    marked = mark_removed(_raw_keys(raw), removals(control, match_user, hot_rows), messages=False)
+    return marked.filter(~F.col("_removed")).select(*_RAW)
 
 
 def apply_changes(
     raw: DataFrame, control: DataFrame, match_user: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Both kinds of deletion on raw rows, from one parse."""
-    kept = _drop_messages(_delete_keys(raw), control, hot_rows)
-    return _drop_reactions(kept, control, match_user, hot_rows).select(*_RAW)
+    marked = mark_removed(_raw_keys(raw), removals(control, match_user, hot_rows))
+    return marked.filter(~F.col("_removed")).select(*_RAW)
 
 
-def delete_flattened(
-    rows: DataFrame, control: DataFrame, match_user: bool = False, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """The same deletions on flattened rows, where messages carry ``event_ts``.
+def mark_flattened(rows: DataFrame, known: Removals) -> DataFrame:
+    """``_removed`` on flattened rows, where messages carry ``event_ts``."""
+    none = F.lit(None).cast("string")
+    has_type, has_item = "event_type" in rows.columns, "reaction_item_ts" in rows.columns
+    keyed = rows.withColumns(
+        {
+            "_ts": F.when(F.col("event_type") == "message", F.col("event_ts")) if has_type else none,
+            "_item_ts": F.col("reaction_item_ts") if has_item else none,
+            "_reaction": F.col("reaction") if has_item else none,
+            "_user": F.col("event_user"),
+        }
+    )
+    marked = mark_removed(keyed, known, messages=has_type, reactions=has_item)
+    return marked.drop("_ts", "_item_ts", "_reaction", "_user")
 
-    Carries a deletion on to tables that were filled before it arrived.
-    """
-    out = rows
-    if "reaction_item_ts" in rows.columns:
-        keyed = out.withColumns(
-            {"_item_ts": F.col("reaction_item_ts"), "_reaction": F.col("reaction"), "_user": F.col("event_user")}
-        )
-        out = _drop_reactions(keyed, control, match_user, hot_rows).select(*rows.columns)
-    if "event_type" in rows.columns:
-        keyed = out.withColumn("_ts", F.when(F.col("event_type") == "message", F.col("event_ts")))
-        out = _drop_messages(keyed, control, hot_rows).select(*rows.columns)
-    return out
+
+def delete_flattened(rows: DataFrame, known: Removals) -> DataFrame:
+    """The same deletions on tables that were filled before they arrived."""
+    return mark_flattened(rows, known).filter(~F.col("_removed")).drop("_removed")
 
 
 def _renamed(source: DataFrame, keys: Sequence[str]) -> DataFrame:

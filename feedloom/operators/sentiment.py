@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from feedloom import schemas
 from feedloom.functions.text import tokens
 from feedloom.operators.flatten import post_rows
+from feedloom.operators.skew import join_unique, small_enough
+from feedloom.session import stage
 
 # A word list up to this size travels inside the plan as literals.
 INLINE_LEXICON = 2_000
@@ -41,25 +43,26 @@ def score_sentiment(
 
     A short lexicon is read (never more than ``INLINE_LEXICON`` + 1 rows) and
     scored in place without a shuffle. A longer one is joined to the exploded
-    words; matches are counted per row before the shuffle.
+    words, by broadcast if its size allows, and tallied per text within each task
+    before the shuffle. ``key`` is unique.
     """
     words = lexicon.limit(INLINE_LEXICON + 1).collect()
     if len(words) <= INLINE_LEXICON:
         positive = [w["token"] for w in words if w["polarity"] > 0]
         negative = [w["token"] for w in words if w["polarity"] < 0]
         return df.withColumn(out, lexicon_score(F.col(text_col), positive, negative))
-    # Counting each row's repeats of a word first keeps the join input small
-    # and spreads a frequent word over as many rows as there are texts.
-    matched = (
-        df.select(key, F.explode(tokens(F.col(text_col))).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(lexicon.select("token", "polarity"), "token")
-        .groupBy(key)
-        .agg(
-            F.sum(F.when(F.col("polarity") > 0, F.col("n")).otherwise(0)).alias("_ups"),
-            F.sum(F.when(F.col("polarity") < 0, F.col("n")).otherwise(0)).alias("_downs"),
-        )
+    small = small_enough(lexicon)
+    found = df.select(key, F.explode(tokens(F.col(text_col))).alias("token"))
+    if not small:
+        # A text's repeats of a word are merged first; then a frequent word has
+        # one row per text, which the join spreads if there are too many.
+        found = stage(found.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")), "words")
+    else:
+        found = found.withColumn("n", F.lit(1))
+    hits = join_unique(found, lexicon.select("token", "polarity"), ["token"], "inner", key, small_right=small)
+    matched = hits.groupBy(key).agg(
+        F.sum(F.when(F.col("polarity") > 0, F.col("n")).otherwise(0)).alias("_ups"),
+        F.sum(F.when(F.col("polarity") < 0, F.col("n")).otherwise(0)).alias("_downs"),
     )
     zero = F.lit(0)
     score = polarity(F.coalesce(F.col("_ups"), zero), F.coalesce(F.col("_downs"), zero))

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.session import stage
-
 # Rows of one key that a single task may hold.
 HOT_ROWS = 500_000
 # A key below this share of the rows fits a task whatever the size of the table.
@@ -57,6 +55,11 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple[st
     return [(row[key], row["n"]) for row in counted.collect()]
 
 
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow table may be broadcast; reads at most ``limit`` + 1 rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,
@@ -64,28 +67,23 @@ def join_unique(
     how: str = "left",
     spread: str = "id",
     hot_rows: int = HOT_ROWS,
-    broadcast_rows: int = 0,
+    small_right: bool = False,
 ) -> DataFrame:
     """Left or inner equi-join with a right side that is unique on ``on``.
 
-    With ``broadcast_rows`` the right side is staged and counted; up to that many
-    rows it is broadcast and the left side is not shuffled at all. Beyond that,
-    and by default, both sides are shuffled.
-
-    Left rows with a NULL key cannot match; each gets a key of its own so that
-    they spread over all tasks. A left key with too many rows is split over
-    salts, and its single right row is repeated once per salt.
-    ``spread`` is a left column that varies between the rows of one key.
+    A right side known to be small (see :func:`small_enough`) is broadcast and
+    the left side is not shuffled. Otherwise both are shuffled. Left rows with a
+    NULL key cannot match; each gets a key of its own so that they spread over
+    all tasks. A left key with too many rows is split over salts, and its single
+    right row is repeated once per salt. ``spread`` is a left column that varies
+    between the rows of one key.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     on = list(on)
     extra = [c for c in right.columns if c not in on]
-    if broadcast_rows:
-        right = stage(right, "lookup")
-        if right.count() <= broadcast_rows:
-            return left.join(F.broadcast(right), on, how).select(*left.columns, *extra)
-        left = stage(left, "keyed")  # read several times below
+    if small_right:
+        return left.join(F.broadcast(right), on, how).select(*left.columns, *extra)
     own = F.concat(F.lit(_NULL_MARK), F.coalesce(F.col(spread).cast("string"), F.lit("")))
     keyed = left.withColumn("_key", F.when(any_null(on), own).otherwise(_fused(on)))
     lookup = right.filter(~any_null(on)).select(_fused(on).alias("_key"), *extra)

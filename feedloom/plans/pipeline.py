@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from feedloom import schemas
 from feedloom.functions.time import week_start
-from feedloom.operators.changes import delete_flattened
+from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, newer_than
 from feedloom.operators.sentiment import posts
@@ -61,20 +61,16 @@ class Store:
         return Events(self.read("posts"), self.read("replies"), self.read("reactions"))
 
 
-def _purge(store: Store, name: str, control: DataFrame, match_user: bool, hot_rows: int) -> None:
+def _purge(store: Store, name: str, known: Removals) -> None:
     """Carry deletions on to a stored table; rewrites only the weeks that lose rows."""
     table = store.find(name)
     if table is None:
         return
-    used = [c for c in ("id", "event_time", "event_ts", "event_type", "event_user", "reaction", "reaction_item_ts", WEEK) if c in table.columns]
-    narrow = table.select(*used)
-    kept = delete_flattened(narrow, control, match_user, hot_rows).groupBy(WEEK).agg(F.count(F.lit(1)).alias("kept"))
-    sizes = narrow.groupBy(WEEK).agg(F.count(F.lit(1)).alias("n")).join(kept, WEEK, "left")
-    lost = sizes.filter(F.col("n") > F.coalesce("kept", F.lit(0)))
-    weeks = [row[WEEK] for row in lost.select(WEEK).collect()]
+    hit = mark_flattened(table, known).filter("_removed").select(WEEK).distinct()
+    weeks = [row[WEEK] for row in hit.collect()]
     if weeks:
         rows = table.filter(F.col(WEEK).isin(weeks))
-        replace_partitions(delete_flattened(rows, control, match_user, hot_rows), store.path(name), WEEK, weeks)
+        replace_partitions(delete_flattened(rows, known), store.path(name), WEEK, weeks)
 
 
 def load_events(
@@ -95,18 +91,20 @@ def load_events(
     rows are loaded again and merged by id. ``control`` deletes from the new rows
     and, unless ``propagate_deletes`` is off, from the tables loaded earlier.
     """
+    known = None
     if control is not None:
         control.select(*schemas.CONTROL_SCHEMA.names).write.mode("append").parquet(store.path("control"))
-        if propagate_deletes:
+    all_control = store.find("control")
+    if all_control is not None:
+        known = removals(all_control, match_user, hot_rows)
+        if propagate_deletes and control is not None:
             for name in ("posts", "replies", "reactions", "base"):
-                _purge(store, name, stage(control, "control"), match_user, hot_rows)
+                _purge(store, name, known)
     fresh = newer_than(raw, store.find("base"), "event_time", strict_null_hwm, inclusive)
-    known_deletes = store.find("control")
-    base = stage(_with_week(base_events(fresh)), "base")
-    if known_deletes is not None:
-        base = stage(delete_flattened(base, known_deletes, match_user, hot_rows), "base-kept")
+    base = _with_week(base_events(fresh))
+    base = stage(base if known is None else delete_flattened(base, known), "base")
     incoming = {
-        "posts": posts(base, scorer),
+        "posts": stage(posts(base, scorer), "posts"),
         "replies": replies(base),
         "reactions": reactions(base),
         "base": base.select(*schemas.BASE_COLUMNS),
@@ -131,6 +129,7 @@ def emit_summaries(
     events = store.events()
     due = emit_closed_weeks(events.posts.withColumn("feedback_start_date", F.col(WEEK)), emitted, now, mode)
     fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows)
+    fresh = stage(fresh, "summary")
     keys = ["team_id", "sentiment_category", "feedback_start_date", "part_no"]
     merge_partitions(store.spark, store.path("summary"), fresh, keys, "feedback_start_date")
     return read_table(store.spark, store.path("summary"), fresh.schema)

@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 from feedloom.operators.incremental import merge_incremental
 from feedloom.operators.skew import any_null
-from feedloom.session import stage
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -52,28 +51,32 @@ def merge_partitions(
     """Merge rows by key and rewrite only the partitions that change.
 
     A partition changes if it receives rows or holds a row that is replaced.
-    Finding the latter reads just the key columns. The merged rows are staged
-    first, since a table cannot be overwritten while it is read.
+    Finding the latter reads just the key columns. ``incoming`` is read several
+    times, so it should come from a stored table.
     """
-    incoming = stage(incoming, "incoming")
     existing = read_table(spark, path, incoming.schema)
     if existing is None:
         incoming.write.partitionBy(partition).parquet(path)
         return
     keys = list(keys)
+    narrow = list(dict.fromkeys([*keys, partition]))
     arriving = incoming.select(*keys).filter(~any_null(keys)).distinct()
-    replaced = existing.select(*dict.fromkeys([*keys, partition])).join(arriving, keys, "left_semi")
-    touched = sorted({*_values(incoming, partition), *_values(replaced, partition)})
+    replaced = existing.select(*narrow).join(arriving, keys, "left_semi")
+    touched = _values(incoming.select(partition).union(replaced.select(partition)), partition)
     if touched:
         rows = existing.filter(F.col(partition).isin(touched))
         replace_partitions(merge_incremental(rows, incoming, keys), path, partition, touched)
 
 
 def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list) -> None:
-    """Write ``rows`` over the ``touched`` partitions, emptied ones included."""
-    merged = stage(rows, "merged")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Write ``rows`` over the ``touched`` partitions, emptied ones included.
+
+    ``rows`` may read those partitions: a dynamic overwrite writes next to the
+    table and moves partitions into place when all tasks are done.
+    """
+    left = _values(rows, partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     # Dynamic overwrite keeps a partition that gets no rows.
-    for value in set(touched) - set(_values(merged, partition)):
+    for value in set(touched) - set(left):
         files, folder = _filesystem(rows.sparkSession, f"{path}/{partition}={value}")
         files.delete(folder, True)

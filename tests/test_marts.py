@@ -131,10 +131,12 @@ def test_lexicon_scores_whole_words(spark):
     assert dict(rows(scored.select("id", F.round("sentiment_score", 6)))) == {1: 0.333333, 2: 0.0, 3: 0.0, 4: None, 5: 0.0}
 
 
-def test_long_lexicon_path_equals_inline_path(spark, monkeypatch):
+@pytest.mark.parametrize("small", [True, False])
+def test_long_lexicon_path_equals_inline_path(spark, monkeypatch, small):
     df = spark.createDataFrame([(i, "good bad great word " * i) for i in range(6)], "id int, event_text string")
     inline = rows(sentiment.score_sentiment(df, lexicon(spark)), "id", "sentiment_score")
     monkeypatch.setattr(sentiment, "INLINE_LEXICON", 2)
+    monkeypatch.setattr(sentiment, "small_enough", lambda df: small)
     assert rows(sentiment.score_sentiment(df, lexicon(spark)), "id", "sentiment_score") == inline
 
 

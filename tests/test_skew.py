@@ -27,9 +27,9 @@ def test_hot_keys_are_found_exactly(left):
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("hot_rows, broadcast_rows", [(1_000_000, 0), (50, 0), (50, 2), (50, 100)])
-def test_join_unique_equals_plain_join(left, right, how, hot_rows, broadcast_rows):
-    got = skew.join_unique(left, right, ["k", "k2"], how, "id", hot_rows, broadcast_rows)
+@pytest.mark.parametrize("hot_rows, small", [(1_000_000, False), (50, False), (50, True)])
+def test_join_unique_equals_plain_join(left, right, how, hot_rows, small):
+    got = skew.join_unique(left, right, ["k", "k2"], how, "id", hot_rows, small)
     assert rows(got) == rows(left.join(right, ["k", "k2"], how).select("id", "k", "k2", "v"))
 
 
