@@ -99,16 +99,22 @@ class Removals:
 
 def removals(control: DataFrame, match_user: bool = False, hot_rows: int = HOT_ROWS) -> Removals:
     """Merge control rows to the latest per key: earlier ones remove nothing more."""
-    kind, last = F.col("kind"), F.max("event_time")
-    named = control.select(
-        "kind", "event_time", F.col("target_ts").alias("_ts"), F.col("reaction").alias("_reaction"), F.col("user").alias("_user")
+    is_reaction = F.col("kind") == REACTION_REMOVED
+    last = stage(
+        control.groupBy(
+            "kind",
+            F.col("target_ts").alias("_ts"),
+            F.when(is_reaction, F.col("reaction")).alias("_reaction"),
+            F.when(is_reaction & F.lit(match_user), F.col("user")).alias("_user"),
+        ).agg(F.max("event_time").alias("_at")),
+        "removals",
     )
-    reaction_keys = ["_ts", "_reaction", "_user"] if match_user else ["_ts", "_reaction"]
-    messages = named.filter(kind == MESSAGE_DELETED).groupBy("_ts").agg(last.alias("_message_removed"))
-    reactions = named.filter(kind == REACTION_REMOVED).groupBy(*reaction_keys).agg(last.alias("_reaction_removed"))
-    messages, reactions = stage(messages, "removals"), stage(reactions.withColumnRenamed("_ts", "_item_ts"), "removals")
-    small = small_enough(messages, BROADCAST_ROWS) and small_enough(reactions, BROADCAST_ROWS)
-    return Removals(messages, reactions, small, hot_rows)
+    messages = last.filter(F.col("kind") == MESSAGE_DELETED).select("_ts", F.col("_at").alias("_message_removed"))
+    user = ["_user"] if match_user else []
+    reactions = last.filter(is_reaction).select(
+        F.col("_ts").alias("_item_ts"), "_reaction", *user, F.col("_at").alias("_reaction_removed")
+    )
+    return Removals(messages, reactions, small_enough(last, BROADCAST_ROWS), hot_rows)
 
 
 def _mark(keyed: DataFrame, gone: DataFrame, known: Removals) -> DataFrame:
@@ -198,9 +204,13 @@ def _renamed(source: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def update_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Overwrite ``cols`` of matched rows; never inserts. ``source`` is unique on ``keys``."""
+    """Overwrite ``cols`` of matched rows; never inserts. ``source`` is unique on ``keys``.
+
+    Any number of target rows may share a key.
+    """
     changes = _renamed(source.select(*keys, *cols), keys).withColumn("_hit", F.lit(True))
-    joined = target.join(changes, list(keys), "left")
+    rows = target.withColumn("_row", F.xxhash64(*target.columns))  # spreads rows of one key
+    joined = join_unique(rows, changes, list(keys), "left", "_row", small_right=small_enough(changes))
     value = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in cols}
     return joined.select(*[value.get(c, F.col(c)).alias(c) for c in target.columns])
 

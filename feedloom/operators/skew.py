@@ -14,9 +14,6 @@ HOT_SHARE = 1 / 4096
 # Rows of a narrow lookup table that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 
-_NULL_MARK = "\u0000"
-_KEY_MARK = "\u0001"
-
 
 def any_null(keys: Sequence[str]) -> Column:
     test = F.col(keys[0]).isNull()
@@ -26,10 +23,14 @@ def any_null(keys: Sequence[str]) -> Column:
 
 
 def _fused(keys: Sequence[str]) -> Column:
-    """Join key as one string; a single key keeps its own value."""
-    if len(keys) == 1:
-        return F.col(keys[0]).cast("string")
-    return F.concat_ws(_KEY_MARK, *[F.col(k).cast("string") for k in keys])
+    """Join key as one string; a single key keeps its own value.
+
+    Several keys are written with their lengths, so different keys never collide.
+    """
+    texts = [F.col(k).cast("string") for k in keys]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat(*[part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)])
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple[str, int]]:
@@ -84,21 +85,25 @@ def join_unique(
     extra = [c for c in right.columns if c not in on]
     if small_right:
         return left.join(F.broadcast(right), on, how).select(*left.columns, *extra)
-    own = F.concat(F.lit(_NULL_MARK), F.coalesce(F.col(spread).cast("string"), F.lit("")))
-    keyed = left.withColumn("_key", F.when(any_null(on), own).otherwise(_fused(on)))
-    lookup = right.filter(~any_null(on)).select(_fused(on).alias("_key"), *extra)
+    # NULL-key rows get a filler that spreads them; `_ok` keeps it from matching.
+    filler = F.coalesce(F.col(spread).cast("string"), F.lit(""))
+    keyed = left.withColumn("_ok", ~any_null(on)).withColumn("_key", F.when(F.col("_ok"), _fused(on)).otherwise(filler))
+    lookup = right.filter(~any_null(on)).select(_fused(on).alias("_right"), *extra)
+    match = (F.col("_key") == F.col("_right")) & F.col("_ok")
 
-    hot = hot_keys(left.filter(~any_null(on)).select(_fused(on).alias("_key")), "_key", hot_rows)
+    hot = hot_keys(keyed.filter("_ok"), "_key", hot_rows)
     if not hot:
-        return keyed.join(lookup, "_key", how).select(*left.columns, *extra)
+        return keyed.join(lookup, match, how).select(*left.columns, *extra)
 
     fans = [(key, -(-n // hot_rows)) for key, n in hot]
-    fan = F.broadcast(left.sparkSession.createDataFrame(fans, "_key string, _fan long"))
+    fan = F.broadcast(left.sparkSession.createDataFrame(fans, "_hot string, _fan long"))
     salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("_fan")), F.lit(0))
-    salted = keyed.join(fan, "_key", "left").withColumn("_salt", salt)
+    salted = keyed.join(fan, F.col("_key") == F.col("_hot"), "left").withColumn("_salt", salt)
     repeats = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_fan"), F.lit(1)) - 1)
-    repeated = lookup.join(fan, "_key", "left").withColumn("_salt", F.explode(repeats))
-    return salted.join(repeated.drop("_fan"), ["_key", "_salt"], how).select(*left.columns, *extra)
+    repeated = lookup.join(fan, F.col("_right") == F.col("_hot"), "left").select(
+        "_right", *extra, F.explode(repeats).alias("_copy")
+    )
+    return salted.join(repeated, match & (F.col("_salt") == F.col("_copy")), how).select(*left.columns, *extra)
 
 
 def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -91,6 +91,10 @@ def test_update_columns_never_inserts(spark):
     target = spark.createDataFrame([("a", "old", "x"), ("b", "old", "y")], KEYED)
     source = spark.createDataFrame([("a", "new", "z"), ("c", "new", "w")], KEYED)
     assert rows(changes.update_columns(target, source, ["id"], ["token"])) == [("a", "new", "x"), ("b", "old", "y")]
+    shared = target.unionByName(spark.createDataFrame([("a", "old", "x2"), (None, "old", "n")], KEYED))
+    assert rows(changes.update_columns(shared, source, ["id"], ["token"])) == [
+        ("a", "new", "x"), ("a", "new", "x2"), ("b", "old", "y"), (None, "old", "n"),
+    ]
 
 
 def test_anonymise(spark):

@@ -33,6 +33,15 @@ def test_join_unique_equals_plain_join(left, right, how, hot_rows, small):
     assert rows(got) == rows(left.join(right, ["k", "k2"], how).select("id", "k", "k2", "v"))
 
 
+def test_keys_never_collide(spark):
+    left = spark.createDataFrame([(1, "a:1", "b"), (2, "a", "1:b"), (3, None, "2")], "id int, k string, k2 string")
+    right = spark.createDataFrame([("a", "1:b", 1), ("3", "2", 2)], "k string, k2 string, v int")
+    assert rows(skew.join_unique(left, right, ["k", "k2"]), "id", "v") == [(1, None), (2, 1), (3, None)]
+    # The filler of a NULL key equals a real key here.
+    single = skew.join_unique(left, right.drop("k2"), ["k"])
+    assert rows(single, "id", "v") == [(1, None), (2, 1), (3, None)]
+
+
 def test_hot_key_is_spread_over_tasks(spark, left, right):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
