@@ -316,6 +316,10 @@ def _answers() -> dict[str, str]:
             WHERE event_time < TIMESTAMP '2024-01-23 00:00:00'""",
         "feedback_table": """SELECT sentiment_category, avg_sentiment_score, numbered_weighted_posts, detailed_summary,
             open_ended_question FROM summary""",
+        "full_refresh": """SELECT id AS post_id, num_replies, num_reactions, CAST(weight AS VARCHAR) AS weight
+            FROM weighted""",
+        "json_export": """SELECT sentiment_category, avg_sentiment_score, detailed_summary, open_ended_question
+            FROM summary""",
         "sentiment_series": f"""SELECT {_TIME}, round(sentiment_score, 6) AS sentiment_score,
             strftime(posts.event_time, '%-m/%-d/%Y') AS day FROM posts""",
         "sentiment_series_range": f"""SELECT {_TIME}, round(sentiment_score, 6) AS sentiment_score FROM posts
@@ -349,6 +353,8 @@ def _answers() -> dict[str, str]:
         "reaction_removals_by_user": f"SELECT id FROM raw WHERE {_SURVIVES_REACTION_BY_USER}",
         "deletes_in_flat_tables": f"""SELECT id, json_extract_string(raw_event, '$.type') AS event_type FROM raw
             WHERE {_SURVIVES_MESSAGE} AND {_SURVIVES_REACTION}""",
+        "deletes_hot_keys": f"""SELECT id, json_extract_string(raw_event, '$.type') AS event_type FROM raw
+            WHERE {_SURVIVES_MESSAGE} AND {_SURVIVES_REACTION}""",
         "upsert": """SELECT l.doc_id, coalesce(length(d.text), l.quality) AS quality, l.toxic
             FROM labels l LEFT JOIN documents d USING (doc_id)
             UNION ALL SELECT doc_id, length(text), 2 FROM documents
@@ -369,6 +375,9 @@ def _answers() -> dict[str, str]:
         "stream_dedup": "SELECT id, 1 AS n FROM raw",
         "stream_weekly_sentiment": """SELECT feedback_start_date, team_id, sentiment_category,
             avg_sentiment_score, number_of_posts FROM combined WHERE team_id IS NOT NULL""",
+        "stream_closed_weeks": """SELECT feedback_start_date, team_id, sentiment_category,
+            avg_sentiment_score, number_of_posts FROM combined WHERE feedback_start_date + INTERVAL 7 DAY
+            <= (SELECT max(event_time) FROM numbered) - INTERVAL 1 HOUR""",
         "stream_thread_engagement": """SELECT thread_id, sum(r) AS num_replies, sum(1 - r) AS num_reactions FROM (
             SELECT md5(event_thread_ts) AS thread_id, 1 AS r FROM replies
             UNION ALL SELECT md5(reaction_item_ts), 0 FROM reactions) WHERE thread_id IS NOT NULL GROUP BY 1""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ INGESTED = "2024-02-01 00:00:00"
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        cores = spark.sparkContext.defaultParallelism
+        if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+            # The default suits a cluster; each stream keeps that many state stores.
+            spark.conf.set("spark.sql.shuffle.partitions", cores)
         return printable(fn(spark, folder))
 
     REGISTRY[fn.__name__] = run
@@ -324,6 +329,21 @@ def feedback_table(spark, folder):
     return views.feedback_table(summary(spark, folder))
 
 
+@query
+def full_refresh(spark, folder):
+    path = staging_path(spark, "weighted")
+    tables.write_full(marts.weighted_posts(events(spark, folder)), path)
+    return tables.read_table(spark, path).select("post_id", "num_replies", "num_reactions", "weight")
+
+
+@query
+def json_export(spark, folder):
+    path = staging_path(spark, "json")
+    tables.export_json(views.feedback_table(summary(spark, folder)), path)
+    schema = "sentiment_category STRING, avg_sentiment_score DOUBLE, detailed_summary STRING, open_ended_question STRING"
+    return spark.read.schema(schema).json(path)
+
+
 @query
 def sentiment_series(spark, folder):
     series = views.sentiment_series(scored(spark, folder))
@@ -464,6 +484,13 @@ def deletes_in_flat_tables(spark, folder):
     return changes.delete_flattened(base(spark, folder), known).select("id", "event_type")
 
 
+@query
+def deletes_hot_keys(spark, folder):
+    """The same deletions through the shuffled join that splits hot keys."""
+    known = replace(changes.removals(control(spark, folder)), small=False, hot_rows=2)
+    return changes.delete_flattened(base(spark, folder), known).select("id", "event_type")
+
+
 @query
 def upsert(spark, folder):
     target = given.read(spark, folder, "labels")
@@ -567,6 +594,15 @@ def stream_weekly_sentiment(spark, folder):
     return done.select("feedback_start_date", "team_id", "sentiment_category", "avg_sentiment_score", "number_of_posts")
 
 
+@query
+def stream_closed_weeks(spark, folder):
+    out = staging_path(spark, "stream-closed")
+    done = feeds.stream_weekly_sentiment(
+        spark, feed(spark, folder), out, scorer(spark), delay="1 hour", closed_only=True
+    )
+    return done.select("feedback_start_date", "team_id", "sentiment_category", "avg_sentiment_score", "number_of_posts")
+
+
 @query
 def stream_thread_engagement(spark, folder):
     out = staging_path(spark, "stream-threads")
