@@ -23,15 +23,15 @@ raw AS (
   SELECT doc_id * 4 AS id, make_timestamp(sec * 1000000) AS event_time, to_json({
     'type': 'message', 'event_ts': ts, 'ts': ts, 'channel': source, 'channel_type': 'channel',
     'client_msg_id': 'm' || doc_id, 'team': upper(lang), 'user': 'U' || (doc_id % 50),
-    'text': CASE WHEN doc_id % 3 = 0 THEN 'Anonymous feedback: ' || text WHEN doc_id % 41 = 0 THEN NULL ELSE text END,
-    'bot_id': CASE WHEN doc_id % 3 = 0 THEN 'B1' END, 'parent_user_id': CAST(NULL AS VARCHAR),
+    'text': CASE WHEN source < 'src14' THEN 'Anonymous feedback: ' || text ELSE text END,
+    'bot_id': CASE WHEN source < 'src14' THEN 'B1' END, 'parent_user_id': CAST(NULL AS VARCHAR),
     'api_app_id': 'A1', 'event_id': 'Ev' || doc_id, 'event_context': 'ctx-' || source,
     'is_ext_shared_channel': false,
     'authorizations': [{'enterprise_id': CAST(NULL AS VARCHAR), 'is_bot': false, 'is_enterprise_install': false,
                         'team_id': upper(lang), 'user_id': 'A' || doc_id}],
     'blocks': [{'type': 'rich_text', 'block_id': 'b' || doc_id,
                 'elements': [{'type': 'rich_text_section', 'elements': [{'type': 'text', 'text': source}]}]}],
-    'bot_profile': CASE WHEN doc_id % 3 = 0 THEN
+    'bot_profile': CASE WHEN source < 'src14' THEN
       {'id': 'B1', 'name': 'feedback', 'team_id': upper(lang), 'updated': 1704067200} END}) AS raw_event
   FROM d
   UNION ALL
@@ -46,7 +46,12 @@ raw AS (
     'type': 'reaction_added', 'event_ts': esec || '.000000', 'team': upper(lang), 'user': 'U' || user_id,
     'reaction': CASE WHEN event_type = 'click' THEN 'thumbsup' ELSE 'eyes' END,
     'item': {'type': 'message', 'channel': source, 'ts': ts}, 'item_user': 'U' || (doc_id % 50)})
-  FROM ev WHERE event_type IN ('click', 'view'))"""
+  FROM ev WHERE event_type IN ('click', 'view')
+  UNION ALL
+  SELECT event_id * 4 + 2, make_timestamp(esec * 1000000), to_json({
+    'type': 'message', 'event_ts': esec || '.000000', 'ts': esec || '.000000', 'user': 'U' || user_id,
+    'text': CAST(NULL AS VARCHAR)})
+  FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS esec FROM events WHERE event_type = 'signup'))"""
 
 _CONTROL = """
 control AS (

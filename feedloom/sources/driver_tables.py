@@ -1,8 +1,9 @@
 """Chat events derived from the given tables.
 
 ``documents`` become posts, ``conversations`` become replies on the post whose
-``doc_id`` is the conversation, and click and view ``events`` become reactions
-on the post whose ``doc_id`` is the user. Every row and the whole text is used.
+``doc_id`` is the conversation, click and view ``events`` become reactions on the
+post whose ``doc_id`` is the user, and signups become messages without text.
+Error and purchase events become deletions. Every row and whole texts are used.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import add_prefix
 from feedloom.operators.changes import MESSAGE_DELETED, REACTION_REMOVED
 from feedloom.session import spread
 
@@ -19,6 +21,7 @@ MINUTES = 43_200  # posts lie within 30 days, on whole minutes
 MINUTE_STEP = 7_919
 USERS = 50
 BOT = "B1"
+FIRST_NAMED_SOURCE = "src14"  # posts of sources before it, in text order, are anonymous
 POSITIVE = "and with for la der on it".split()
 NEGATIVE = "of to is de die que".split()
 
@@ -65,14 +68,10 @@ def post_stamps(documents: DataFrame) -> DataFrame:
 
 def _posts(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
-    anonymous = doc % 3 == 0
+    anonymous = F.col("source") < FIRST_NAMED_SOURCE
     team = F.upper("lang")
     none = F.lit(None).cast("string")
-    text = (
-        F.when(anonymous, F.concat(F.lit("Anonymous feedback: "), F.col("text")))
-        .when(doc % 41 == 0, none)
-        .otherwise(F.col("text"))
-    )
+    text = F.when(anonymous, add_prefix(F.col("text"))).otherwise(F.col("text"))
     grant = F.struct(
         none.alias("enterprise_id"),
         F.lit(False).alias("is_bot"),
@@ -169,6 +168,19 @@ def _reactions(events: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def _signups(events: DataFrame) -> DataFrame:
+    rows = events.filter(F.col("event_type") == "signup").withColumnRenamed("ts", "event_at")
+    stamped = rows.withColumn("sec", _event_seconds()).withColumn("ts", _stamp(F.col("sec"), F.lit(0)))
+    payload = _json(
+        F.lit("message").alias("type"),
+        F.col("ts").alias("event_ts"),
+        F.col("ts"),
+        F.concat(F.lit("U"), _text(F.col("user_id"))).alias("user"),
+        F.lit(None).cast("string").alias("text"),
+    )
+    return stamped.select((F.col("event_id") * 4 + 2).alias("id"), F.timestamp_seconds("sec").alias("event_time"), payload)
+
+
 def _roots(spark: SparkSession, folder: str) -> DataFrame:
     """Posts without their text: all that replies and reactions refer to."""
     stamps = post_stamps(read(spark, folder, "documents").select("doc_id", "lang", "source"))
@@ -178,10 +190,13 @@ def _roots(spark: SparkSession, folder: str) -> DataFrame:
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     roots = _roots(spark, folder)
     documents = spread(read(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
-    on_posts = _replies(read(spark, folder, "conversations"), roots).unionByName(
-        _reactions(read(spark, folder, "events"), roots.drop("sec"))
+    events = read(spark, folder, "events")
+    return (
+        _posts(documents)
+        .unionByName(_replies(read(spark, folder, "conversations"), roots))
+        .unionByName(_reactions(events, roots.drop("sec")))
+        .unionByName(_signups(events))
     )
-    return _posts(documents).unionByName(on_posts)
 
 
 def change_events(spark: SparkSession, folder: str) -> DataFrame:
