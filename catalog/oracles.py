@@ -260,8 +260,8 @@ _ROUTED = f"""SELECT 'stored' AS kind, id, {_TIME}, NULL::VARCHAR AS target_ts,
 
 
 def _answers() -> dict[str, str]:
-    posts_out = f"SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, round(sentiment_score, 6) AS sentiment_score) FROM posts"
-    with_time = "SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time) FROM"
+    posts_out = f"SELECT * REPLACE ({_TIME}, round(sentiment_score, 6) AS sentiment_score) FROM posts"
+    with_time = f"SELECT * REPLACE ({_TIME}) FROM"
     return {
         "raw_scan": f"SELECT id, {_TIME}, json_extract_string(raw_event, '$.text') AS text FROM raw",
         "event_append": """SELECT doc_id AS id, '2024-02-01 00:00:00' AS event_time, 'message' AS type, text, lang

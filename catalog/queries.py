@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom import schemas
 from feedloom.functions import feedback, text, time
 from feedloom.operators import changes, flatten, incremental, sentiment, summaries, threads, weekly
 from feedloom.plans import marts, pipeline, views

@@ -44,4 +44,4 @@ def control(spark, rows):
 
 def rows(df, *columns):
     chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=repr)
+    return sorted((tuple(r) for r in chosen.collect()), key=lambda r: [(v is None, str(v)) for v in r])

@@ -13,7 +13,12 @@ from tests.compare import connect, difference  # noqa: E402
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("oracles", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    conf = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    spark = build_session("oracles", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = connect(folder), oracles()
     names = sys.argv[2:] or list(queries())

@@ -4,12 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import schemas
-from feedloom.operators import sentiment, summaries, weekly
+from feedloom.operators import sentiment, summaries
 from feedloom.operators.sentiment import lexicon_scorer
 from feedloom.plans import marts, views
 from feedloom.sources import raw_events as raw_source
 from feedloom.sources import tables
-from feedloom.streaming import feeds
 from tests.events import lexicon, post, raw, reaction, reply, rows
 
 TUE, MON, NEXT = "2024-01-02 09:00:00", "2024-01-08 23:59:59", "2024-01-09 00:00:00"
@@ -79,7 +78,8 @@ def test_emission_modes(spark, events):
 
 
 def test_question_without_topics(spark):
-    df = spark.createDataFrame([("T", "positive", 1, "a b. no")], "team_id string, sentiment_category string, rank int, event_text string")
+    columns = "team_id string, sentiment_category string, rank int, event_text string"
+    df = spark.createDataFrame([("T", "positive", 1, "a b. no")], columns)
     df = df.withColumns({c: F.lit("2024-01-02").cast("date") for c in ("feedback_start_date", "feedback_end_date")})
     assert summaries.open_question(df).first().open_ended_question == "What would you like to talk about this week?"
 
@@ -126,7 +126,8 @@ def test_digest_has_a_paragraph_per_class(spark):
 
 
 def test_lexicon_scores_whole_words(spark):
-    df = spark.createDataFrame([(1, "GOOD, good!bad"), (2, "goodness"), (3, ""), (4, None), (5, "bad2good_x")], "id int, event_text string")
+    texts = [(1, "GOOD, good!bad"), (2, "goodness"), (3, ""), (4, None), (5, "bad2good_x")]
+    df = spark.createDataFrame(texts, "id int, event_text string")
     scored = sentiment.score_sentiment(df, lexicon(spark))
     assert dict(rows(scored.select("id", F.round("sentiment_score", 6)))) == {1: 0.333333, 2: 0.0, 3: 0.0, 4: None, 5: 0.0}
 
