@@ -26,12 +26,16 @@ LABEL_CHARS = 16  # room for "n. " and the separator
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
+def _label() -> Column:
+    return weighted_text(F.col("event_text"), F.col("weight"))
+
+
 def drop_neutral(df: DataFrame, band: float = NEUTRAL_BAND) -> DataFrame:
     return df.filter(is_opinionated(F.col("sentiment_score"), band))
 
 
-def opinions(weighed: DataFrame, band: float = NEUTRAL_BAND) -> DataFrame:
-    """Non-neutral posts with their class, feedback week and weighted text."""
+def classified(weighed: DataFrame, band: float = NEUTRAL_BAND) -> DataFrame:
+    """Non-neutral posts with their class, feedback week and the length of their text."""
     return drop_neutral(weighed.filter(F.col("event_text").isNotNull()), band).select(
         "id",
         "team_id",
@@ -42,10 +46,19 @@ def opinions(weighed: DataFrame, band: float = NEUTRAL_BAND) -> DataFrame:
         sentiment_category(F.col("sentiment_score"), band).alias("sentiment_category"),
         week_start(F.col("event_time")).alias("feedback_start_date"),
         week_end(F.col("event_time")).alias("feedback_end_date"),
-        weighted_text(F.col("event_text"), F.col("weight")).alias("weighted_text"),
+        (F.length(_label()) + F.lit(LABEL_CHARS)).alias("text_chars"),
     )
 
 
+def with_texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("weighted_text", _label())
+
+
+def opinions(weighed: DataFrame, band: float = NEUTRAL_BAND) -> DataFrame:
+    """Non-neutral posts with class, feedback week and weighted text."""
+    return with_texts(classified(weighed, band))
+
+
 def same_group(left: str, right: str) -> Column:
     test = F.lit(True)
     for c in GROUP:
@@ -56,13 +69,13 @@ def same_group(left: str, right: str) -> Column:
 def heavy_groups(df: DataFrame, hot_rows: int = HOT_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """Groups with too many rows or too much text for one task.
 
-    ``part_rows`` is the number of posts in each text part. There are at most
+    Reads lengths, not texts, when ``df`` comes from a stored table. ``part_rows`` is the number of posts in each text part. There are at most
     rows/hot_rows + characters/part_chars such groups.
     """
     sizes = df.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("group_posts"),
         F.avg("sentiment_score").alias("group_score"),
-        F.sum(F.length("weighted_text") + F.lit(LABEL_CHARS)).alias("chars"),
+        F.sum("text_chars").alias("chars"),
     )
     heavy = (F.col("group_posts") > hot_rows) | (F.col("chars") > part_chars)
     parts = F.greatest(F.ceil(F.col("chars") / F.lit(part_chars)), F.ceil(F.col("group_posts") / F.lit(hot_rows)))

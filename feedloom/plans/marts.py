@@ -15,7 +15,7 @@ from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
 from feedloom.operators.summaries import question_groups, summarise_groups
 from feedloom.operators.threads import thread_events, weigh, weighted_columns
-from feedloom.operators.weekly import PART_CHARS, opinions, top_posts, weekly_feedback
+from feedloom.operators.weekly import PART_CHARS, classified, top_posts, weekly_feedback, with_texts
 from feedloom.session import stage
 
 
@@ -50,8 +50,7 @@ def summary_input(events: Events, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     narrow = events.posts.select("id", "team_id", "event_time", "event_ts", "event_text", "sentiment_score")
     weighed = weigh(narrow, events.replies, events.reactions, hot_rows=hot_rows)
-    kept = opinions(weighed).drop("weighted_text")
-    return opinions(stage(kept, "opinions"))
+    return with_texts(stage(classified(weighed), "opinions"))
 
 
 def summarise(

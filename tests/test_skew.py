@@ -76,6 +76,7 @@ def opinions(spark, n=500, hot=400):
         (F.col("id") % 5).cast("decimal(24,1)").alias("weight"),
         F.concat(F.lit("text "), F.col("id").cast("string")).alias("event_text"),
         F.concat(F.lit("text "), F.col("id").cast("string")).alias("weighted_text"),
+        F.lit(24).alias("text_chars"),
     )
 
 
