@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import record, text_groups
+from feedloom.llm.common import laid, record, text_groups
 
 WINDOW = 4096
 END_ID = 2
@@ -51,12 +51,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def laid(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The stretches of ``flat`` from ``at`` with ``length`` values each, end to end."""
-    before = np.cumsum(length) - length
-    return flat[np.repeat(at - before, length) + np.arange(int(length.sum()))]
-
-
 class Encoder:
     """Token ids of texts by the tokenizer file, with every different word encoded once.
 
