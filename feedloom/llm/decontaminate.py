@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import laid, record, text_groups
+from feedloom.llm.common import laid, record, text_groups, unused
 from feedloom.session import stage
 
 WINDOW = 10
@@ -369,7 +369,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    cleaned = docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    cleaned = docs.withColumn(unused(docs, "_text"), F.col("text").cast("string")).mapInArrow(run, schema)
     if "n_chars" not in names:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))

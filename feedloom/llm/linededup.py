@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import unused
 from feedloom.operators.skew import small_enough
 from feedloom.session import stage
 
@@ -46,8 +47,8 @@ def _segment_keys(line: str, n: str) -> list[Column]:
     return keys
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a unique long ``_row`` in the order that decides which line is earliest.
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """The documents with a unique long ``name`` in the order that decides which line is earliest.
 
     That is the doc_id. If doc_ids repeat or are null, the table is written once and the
     order of its rows decides.
@@ -55,8 +56,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL OR id < 0")
     if not repeated.limit(1).count():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def lines(rows: DataFrame) -> DataFrame:
@@ -196,10 +197,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     digits stay. A text that loses all lines becomes empty, a null text stays null, no row
     is dropped. Columns and types stay; ``n_chars`` follows the text where the table has it.
     """
-    rows = numbered(docs)
-    kept = kept_lines(rows).select("_row", "kept")
-    names = docs.columns
-    joined = rows.join(kept, "_row", "left").select(*names, "kept")
+    row, stay, names = unused(docs, "_row"), unused(docs, "_kept"), docs.columns
+    rows = numbered(docs, row)
+    kept = kept_lines(rows.select(F.col(row).alias("_row"), "text")).select(F.col("_row").alias(row), F.col("kept").alias(stay))
+    joined = rows.join(kept, row, "left").select(*names, stay)
     cleaned = joined.mapInArrow(_rebuilt(docs.schema, names.index("text")), docs.schema)
     if "n_chars" not in names:
         return cleaned

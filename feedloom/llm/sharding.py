@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ ROUNDS = 12
 GROUP_ROWS = 50_000
 # A round that moves a smaller share of the linked documents is the last one.
 SETTLED = 0.0005
+# How far a shard may overfill while labels still move; the last step restores the law with whole groups.
+SLACK = 0.1
 LAW = "rows"
 
 
@@ -123,17 +126,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     nodes = stage(_groups(rows, total, shards), "groups")
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     linked = nodes.filter("linked").select("row", "node", start.alias("shard"))
-    settled = propagate(linked, capacity, rounds)
+    settled = propagate(linked, [math.ceil(c * (1 + SLACK)) for c in capacity], rounds)
     # Linked rows take the first places of their shard, node by node.
     placed = gapless(settled, "shard", ["node", "row"], F.col("node"), total)
     room = F.array(*[F.lit(c) for c in capacity])[F.col("shard")]
     placed = stage(placed.withColumn("stays", F.col("rank") < room), "placed")
     counted = {r["shard"]: r["count"] for r in placed.filter("stays").groupBy("shard").count().collect()}
     taken = [counted.get(s, 0) for s in range(shards)]
-    # All others fill what is left, in one numbering cut at the shards' free places.
+    # All others fill what is left, in one numbering by node that is cut at the shards' free places.
     single = nodes.filter("NOT linked").select("row", "node", F.lit(0).alias("pool"))
     over = placed.filter("NOT stays").select("row", "node", F.lit(0).alias("pool"))
-    free = gapless(single.unionByName(over), "pool", ["node", "row"], F.col("row"), total)
+    free = gapless(single.unionByName(over), "pool", ["node", "row"], F.col("node"), total)
     edges = [0, *accumulate(c - t for c, t in zip(capacity, taken, strict=True))]
     shard = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):

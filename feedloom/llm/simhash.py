@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, record, slices
+from feedloom.llm.common import connected_components, record, slices, unused
 from feedloom.session import stage
 
 SHINGLE_WORDS = 3
@@ -215,10 +215,11 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS)
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
     winners = found.groupBy("root").agg(first).select("first.doc_id", "first.mark")
     repeated = found.groupBy("doc_id", "mark").count().filter("count > 1")
-    same = lambda x, y: x.doc_id.eqNullSafe(y.doc_id) & (x.mark == y.mark)
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    won = winners.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_won"))
-    kept = marked.join(won, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_won")), "left_semi")
-    if winners.join(repeated, same(winners, repeated), "left_semi").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_mark"])
+    mark, other_id, other = (unused(docs, c) for c in ("_mark", "_won_id", "_won_mark"))
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    won = winners.select(F.col("doc_id").alias(other_id), F.col("mark").alias(other))
+    kept = marked.join(won, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(mark) == F.col(other)), "left_semi")
+    twice = won.join(repeated, F.col(other_id).eqNullSafe(repeated["doc_id"]) & (F.col(other) == repeated["mark"]), "left_semi")
+    if twice.limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", mark])
     return kept.select(*docs.columns)
