@@ -14,6 +14,10 @@ from feedloom.session import stage
 # Rows that one task numbers at a time.
 RANK_ROWS = 100_000
 
+# Limits of an Arrow batch that carries texts.
+RECORDS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BYTES, BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,6 +26,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches small enough for long texts, on both sides of the pipe.
+
+    Texts vary from none to many megabytes; Spark's default of 10,000 rows or 64 MB would be
+    held several times over. A session's own lower limits are kept.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(RECORDS, "10000")) > BATCH_ROWS:
+        conf.set(RECORDS, str(BATCH_ROWS))
+    if (conf.get(BYTES, "64m") or "").rstrip("b") in ("67108864", "64m", "-1"):
+        conf.set(BYTES, BATCH_LIMIT)
+    return df.mapInArrow(run, schema)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import laid, record, text_groups, unused
+from feedloom.llm.common import laid, map_arrow, record, text_groups, unused
 from feedloom.session import stage
 
 WINDOW = 10
 # Text bytes of one index. A task holds one index at a time.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 # Words of one indexed segment; segments overlap by a window less one, so no occurrence is split.
 SEGMENT = 128
 # Every so many words a position is stored; the others are reached by walking back.
@@ -277,12 +277,12 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     context = docs.sparkSession.sparkContext
     if n == 1:
         phrases = context.broadcast(Phrases([tuple(r) for r in items.collect()], window))
-        return rows.mapInArrow(_scan(phrases), FOUND)
+        return map_arrow(rows, _scan(phrases), FOUND)
     rows, found = stage(rows, "numbered"), None
     for block in range(n):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
         phrases = context.broadcast(Phrases([tuple(r) for r in some.collect()], window))
-        part = stage(rows.mapInArrow(_scan(phrases), FOUND), "found")
+        part = stage(map_arrow(rows, _scan(phrases), FOUND), "found")
         phrases.destroy()
         found = part if found is None else found.unionByName(part)
     cover = F.flatten(F.collect_list(F.arrays_zip("starts", "lengths")))
@@ -369,7 +369,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    cleaned = docs.withColumn(unused(docs, "_text"), F.col("text").cast("string")).mapInArrow(run, schema)
+    cleaned = map_arrow(docs.withColumn(unused(docs, "_text"), F.col("text").cast("string")), run, schema)
     if "n_chars" not in names:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))

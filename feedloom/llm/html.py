@@ -14,7 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import record, slices
+from feedloom.llm.common import map_arrow, record, slices
 from feedloom.llm.html_samples import PAGES
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "article", "chrome", "heading")
@@ -221,4 +221,4 @@ def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
             yield record(_TEXTS, columns)
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import record, text_groups
+from feedloom.llm.common import map_arrow, record, text_groups
 from feedloom.session import stage
 
 # Lengths of the n-grams of the blended spectrum, in bytes of the lower-cased text.
@@ -26,8 +26,8 @@ LANGUAGES = 200
 RIDGE = 0.01
 
 # A batch that is scored at once: text bytes and texts.
-BATCH_BYTES = 1_000_000
-BATCH_TEXTS = 256
+BATCH_BYTES = 500_000
+BATCH_TEXTS = 128
 
 UNKNOWN = "und"
 # Texts whose predicted language scores less than this are rejected by the pipeline stage.
@@ -99,8 +99,9 @@ class Model:
 
     def table(self) -> np.ndarray:
         """Place of every possible n-gram in the vocabulary, or one past its end."""
-        places = np.full(SPECTRUM, len(self.vocabulary), np.int32)
-        places[self.vocabulary] = np.arange(len(self.vocabulary), dtype=np.int32)
+        kind = np.uint16 if len(self.vocabulary) < 1 << 16 else np.int32
+        places = np.full(SPECTRUM, len(self.vocabulary), kind)
+        places[self.vocabulary] = np.arange(len(self.vocabulary), dtype=kind)
         return places
 
     def margins(self, data: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, texts: int = FIT_TEXTS, landmarks: int = LANDMARKS) ->
             found = presence(data[: ends[0]]).astype("<i4").tobytes()
             yield record(_GRAMS, {"lang": rows.column(0), "grams": [found]})
 
-    sample = some.mapInArrow(run, "lang string, grams binary").collect()
+    sample = map_arrow(some, run, "lang string, grams binary").collect()
     sample = sorted(((r["lang"], np.frombuffer(r["grams"], "<i4")) for r in sample), key=lambda x: (x[0], x[1].tobytes()))
     return Model.fit(sample, landmarks)
 
@@ -191,7 +192,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
                 )
 
     extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, {extra}lang_pred string, score double")
+    return map_arrow(rows, run, f"doc_id long, held_out boolean, {extra}lang_pred string, score double")
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import record, slices
+from feedloom.llm.common import map_arrow, record, slices
 from feedloom.session import stage
 
 # Notices and headers as licensors word them (fixed values).
@@ -70,7 +70,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield record(_COUNTS, {"word": at.astype(np.int32), "n": seen[at]})
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = map_arrow(docs.select(F.col("text").cast("string")), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = np.zeros(len(VOCABULARY) + 1, np.int64)
     for row in rows.collect():
         counts[row["word"]] = row["n"]
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, path: Column, matcher: Matcher, least: float = LEAST_C
     schema = "doc_id long, path string, licence string, cosine double, licence_words long, n_words long"
     file = F.col("licence").isNotNull() & (F.col("licence_words") >= FILE_SHARE * F.col("n_words"))
     up = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
-    return rows.mapInArrow(run, schema).withColumns({"dir": up, "is_licence_file": file})
+    return map_arrow(rows, run, schema).withColumns({"dir": up, "is_licence_file": file})
 
 
 def path_of(source: Column, lang: Column, doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import unused
+from feedloom.llm.common import map_arrow, unused
 from feedloom.operators.skew import small_enough
 from feedloom.session import stage
 
@@ -201,7 +201,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, row)
     kept = kept_lines(rows.select(F.col(row).alias("_row"), "text")).select(F.col("_row").alias(row), F.col("kept").alias(stay))
     joined = rows.join(kept, row, "left").select(*names, stay)
-    cleaned = joined.mapInArrow(_rebuilt(docs.schema, names.index("text")), docs.schema)
+    cleaned = map_arrow(joined, _rebuilt(docs.schema, names.index("text")), docs.schema)
     if "n_chars" not in names:
         return cleaned
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -221,4 +221,4 @@ def report(docs: DataFrame) -> DataFrame:
         "kept",
     )
     schema = joined.select(*names).schema
-    return joined.mapInArrow(_rebuilt(schema, 1), schema)
+    return map_arrow(joined, _rebuilt(schema, 1), schema)

@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import laid, record, text_groups
+from feedloom.llm.common import laid, map_arrow, record, text_groups
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 # Tokens planned together. A plan never looks beyond its chunk, so memory does not grow with the input.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 # Costs in tokens of padding: a cut after a sentence, a cut inside one, and every sequence.
 SENTENCE_CUT = 8
 INNER_CUT = 64
@@ -28,10 +28,10 @@ SHORT = 512
 # Distance of the cuts allowed inside a stretch that has no boundary.
 INNER_STEP = 64
 # Encoded words kept by a Python worker, and the longest word kept, in bytes.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 CACHED_BYTES = 48
 # Text bytes encoded at a time.
-ENCODED_BYTES = 2_000_000
+ENCODED_BYTES = 1_000_000
 
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -295,7 +295,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, chunk:
                 yield record(_PIECES, pieces)
                 names, held, sizes, tokens, following = [], [], [], 0, following + used
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
 
 
 def _and_last(groups):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import connected_components, record, slices, unused
+from feedloom.llm.common import connected_components, map_arrow, record, slices, unused
 from feedloom.session import stage
 
 SHINGLE_WORDS = 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             yield record(_PRINTS, {"doc_id": batch.column(0), "mark": batch.column(1), "fp": prints.view(np.int64)})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
+    return map_arrow(rows, run, "doc_id long, mark long, fp long")
 
 
 def variant_keys(fp: str = "fp") -> F.Column:
@@ -176,7 +176,7 @@ def links(prints: DataFrame, limit: int = MAX_BITS) -> DataFrame:
         raise ValueError("two one-wildcard halves cover one to three differing bits")
     keyed = prints.select("fp").distinct().select(F.explode(variant_keys()).alias("key"), "fp")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_run_links(limit), "a long, b long").distinct()
+    return map_arrow(dealt, _run_links(limit), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
