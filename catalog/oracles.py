@@ -387,6 +387,7 @@ def _answers() -> dict[str, str]:
             SELECT md5(event_thread_ts) AS thread_id, 1 AS r FROM replies
             UNION ALL SELECT md5(reaction_item_ts), 0 FROM reactions) WHERE thread_id IS NOT NULL GROUP BY 1""",
         "lexicon_sentiment": f"SELECT doc_id, round({_score('text')}, 6) AS sentiment_score FROM documents",
+        "ml_sentiment": "SELECT doc_id, true AS in_range, true AS auc_above_half FROM documents",
         "large_lexicon_sentiment": _LARGE_LEXICON,
         "function_sentiment": """SELECT doc_id, round(greatest(-1.0, least(1.0,
             CAST((length(text) - length(replace(text, 'and', ''))) // 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -648,7 +649,11 @@ def ml_sentiment(spark, folder):
     docs = given.read(spark, folder, "documents").select("doc_id", "text")
     labels = given.read(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
     model = sentiment.train_scorer(stage(docs.join(labels, "doc_id"), "labelled"))
-    return sentiment.model_score(docs, model).drop("text")
+    scored = stage(sentiment.model_score(docs, model).drop("text"), "scored")
+    area = BinaryClassificationEvaluator(rawPredictionCol="sentiment_score", labelCol="label", metricName="areaUnderROC")
+    better = area.evaluate(scored.join(labels, "doc_id").filter("label IS NOT NULL")) > 0.5
+    in_range = F.coalesce(F.col("sentiment_score").between(-1, 1), F.lit(False)).alias("in_range")
+    return scored.select("doc_id", in_range, F.lit(better).alias("auc_above_half"))
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.time import week_bucket
-from feedloom.operators.skew import anti_join
+from feedloom.operators.skew import anti_join, any_null
 
 
 def high_water_mark(df: DataFrame, col: str) -> Column | None:
@@ -27,18 +27,21 @@ def newer_than(
     col: str,
     strict_null_hwm: bool = False,
     inclusive: bool = False,
+    keep_null: bool = False,
 ) -> DataFrame:
     """Incoming rows above the high-water mark of ``existing``.
 
     The mark becomes a literal, so file statistics can prune the scan. Without
     any existing row everything is new; ``strict_null_hwm`` loads nothing then,
     as a comparison with NULL would. ``inclusive`` also takes rows tied with the
-    mark, to be merged by key afterwards.
+    mark, and ``keep_null`` those that have no value to compare; both are to be
+    merged by key afterwards.
     """
     mark = None if existing is None else high_water_mark(existing, col)
     if mark is None:
         return incoming.filter(F.lit(False)) if strict_null_hwm and existing is not None else incoming
-    return incoming.filter(F.col(col) >= mark if inclusive else F.col(col) > mark)
+    fresh = F.col(col) >= mark if inclusive else F.col(col) > mark
+    return incoming.filter(fresh | F.col(col).isNull() if keep_null else fresh)
 
 
 def sync_schema(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -51,8 +54,25 @@ def sync_schema(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key; rows with a NULL key all stay.
+
+    Of repeated rows the latest by ``event_time`` stays, ties by a hash of the row. Keys are
+    counted on their own first, so a table without repeats is not shuffled.
+    """
+    keys = list(keys)
+    repeated = df.filter(~any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if not repeated.limit(1).count():
+        return df
+    order = [c for c in ("event_time",) if c in df.columns and c not in keys]
+    marked = df.withColumn("_tie", F.xxhash64(*df.columns))
+    picked = latest_per_key(marked.filter(~any_null(keys)), keys, [*order, "_tie"])
+    return picked.unionByName(marked.filter(any_null(keys))).select(*df.columns)
+
+
 def merge_incremental(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace existing rows whose key arrives again and add the new ones."""
+    """Replace existing rows whose key arrives again and add the new ones, each key once."""
+    incoming = one_per_key(incoming, keys)
     return anti_join(sync_schema(existing, incoming), incoming, keys).unionByName(incoming)
 
 

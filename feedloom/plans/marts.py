@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom import schemas
 from feedloom.operators.flatten import base_events, reactions, replies
-from feedloom.operators.incremental import emit_closed_weeks
+from feedloom.operators.incremental import emit_closed_weeks, one_per_key
 from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
 from feedloom.operators.summaries import question_groups, summarise_groups
@@ -30,7 +30,7 @@ class Events:
 
 def staged_events(raw: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str = "permissive") -> Events:
     """Parse raw events once, score posts once, and keep both as stored tables."""
-    base = stage(base_events(raw, mode), "base")
+    base = one_per_key(stage(base_events(raw, mode), "base"), ["id"])
     return Events(stage(posts(base, scorer), "posts"), replies(base), reactions(base))
 
 

@@ -13,7 +13,7 @@ from feedloom import schemas
 from feedloom.functions.time import week_start
 from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
-from feedloom.operators.incremental import emit_closed_weeks, newer_than
+from feedloom.operators.incremental import emit_closed_weeks, newer_than, one_per_key
 from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
 from feedloom.plans.marts import Events, post_summary, thread_reconstruction, weighted_posts
@@ -80,14 +80,15 @@ def load_events(
     control: DataFrame | None = None,
     propagate_deletes: bool = True,
     match_user: bool = False,
-    inclusive: bool = False,
+    inclusive: bool = True,
     strict_null_hwm: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> None:
     """Bring base, posts, replies and reactions up to date with ``raw``.
 
-    Only rows above the base table's high-water mark are parsed and only new
-    posts are scored. The base table is written last: after a failure the same
+    Only rows from the base table's high-water mark on, and those without a time,
+    are parsed and scored; the merge by id takes each once. With ``inclusive`` off
+    rows tied with the mark count as loaded. The base table is written last: after a failure the same
     rows are loaded again and merged by id. ``control`` deletes from the new rows
     and, unless ``propagate_deletes`` is off, from the tables loaded earlier.
     """
@@ -100,8 +101,8 @@ def load_events(
         if propagate_deletes and control is not None:
             for name in ("posts", "replies", "reactions", "base"):
                 _purge(store, name, known)
-    fresh = newer_than(raw, store.find("base"), "event_time", strict_null_hwm, inclusive)
-    base = _with_week(base_events(fresh))
+    fresh = newer_than(raw, store.find("base"), "event_time", strict_null_hwm, inclusive, keep_null=True)
+    base = one_per_key(stage(_with_week(base_events(fresh)), "fresh"), ["id"])
     base = stage(base if known is None else delete_flattened(base, known), "base")
     incoming = {
         "posts": stage(posts(base, scorer), "posts"),

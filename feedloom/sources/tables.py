@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from feedloom.operators.incremental import merge_incremental
+from feedloom.operators.incremental import merge_incremental, one_per_key
 from feedloom.operators.skew import any_null
 
 
+# Folder in which Spark keeps the rows without a partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object, as Spark itself resolves them."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +60,7 @@ def merge_partitions(
     """
     existing = read_table(spark, path, incoming.schema)
     if existing is None:
-        incoming.write.partitionBy(partition).parquet(path)
+        one_per_key(incoming, keys).write.partitionBy(partition).parquet(path)
         return
     keys = list(keys)
     narrow = list(dict.fromkeys([*keys, partition]))
@@ -64,7 +68,10 @@ def merge_partitions(
     replaced = existing.select(*narrow).join(arriving, keys, "left_semi")
     touched = _values(incoming.select(partition).union(replaced.select(partition)), partition)
     if touched:
-        rows = existing.filter(F.col(partition).isin(touched))
+        in_touched = F.col(partition).isin([v for v in touched if v is not None])
+        if None in touched:
+            in_touched = in_touched | F.col(partition).isNull()
+        rows = existing.filter(in_touched)
         replace_partitions(merge_incremental(rows, incoming, keys), path, partition, touched)
 
 
@@ -78,5 +85,6 @@ def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     # Dynamic overwrite keeps a partition that gets no rows.
     for value in set(touched) - set(left):
+        value = NO_VALUE if value is None else value
         files, folder = _filesystem(rows.sparkSession, f"{path}/{partition}={value}")
         files.delete(folder, True)

@@ -76,3 +76,15 @@ def test_closed_weeks(spark):
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "y")], "k string, n int, v string")
     assert rows(incremental.latest_per_key(df, ["k"], ["n"])) == [("a", 2, None), ("b", 1, "y")]
+
+
+def test_repeated_keys_leave_the_latest_row(spark):
+    df = spark.createDataFrame(
+        [(1, "2024-01-02", "b"), (1, "2024-01-01", "a"), (2, "2024-01-01", "c"), (2, "2024-01-01", "c"), (None, None, "d"), (None, None, "d")],
+        "id long, event_time string, v string",
+    )
+    kept = rows(incremental.one_per_key(df, ["id"]).filter("id IS NOT NULL"))
+    assert kept == [(1, "2024-01-02", "b"), (2, "2024-01-01", "c")]
+    assert incremental.one_per_key(df, ["id"]).count() == 4
+    merged = incremental.merge_incremental(df.filter("id = 2").limit(1), df.filter("id = 2"), ["id"])
+    assert merged.count() == 1

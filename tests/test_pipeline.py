@@ -42,6 +42,18 @@ def test_many_runs_equal_one_run(spark, scorer, tmp_path):
     assert [r[0] for r in rows(once.read("posts"), "id")] == [1, 5, 7]
 
 
+def test_replayed_tied_and_timeless_rows_are_loaded_once(spark, scorer, tmp_path):
+    timeless = [(20, None, post("20.0", "good twenty")), (21, None, reply("21.0", "1.0"))]
+    tied = [(22, W3, post("22.0", "great and late"))]
+    twice = [EVENTS[0], *EVENTS, EVENTS[3]]
+    often = load(spark, scorer, tmp_path / "often", (twice, None), (twice + tied + timeless, None), (twice + timeless, None))
+    once = load(spark, scorer, tmp_path / "once", (EVENTS + tied + timeless, None))
+    for name in TABLES:
+        ids = [r[0] for r in rows(often.read(name), "id")]
+        assert ids == [r[0] for r in rows(once.read(name), "id")] and len(ids) == len(set(ids))
+    assert {20, 21, 22} <= {r[0] for r in rows(often.read("base"), "id")}
+
+
 def test_deletes_stay_out_of_loaded_tables_if_asked(spark, scorer, tmp_path):
     store = load(spark, scorer, tmp_path / "s", (EVENTS[:6], None), (EVENTS[:6], DELETES), propagate_deletes=False)
     assert [r[0] for r in rows(store.read("base"), "id")] == [1, 2, 3, 4, 5, 6]
