@@ -140,32 +140,52 @@ reactions AS (SELECT id, event_time, reaction, {_ENVELOPE}, event_ts, reaction_i
   FROM base WHERE reaction IS NOT NULL)"""
 
 _WEIGHTED = """
-weighted AS (SELECT p.*, coalesce(r.n, 0) AS num_replies, coalesce(x.n, 0) AS num_reactions,
-    1 + coalesce(r.n, 0) * 0.5 + coalesce(x.n, 0) * 0.1 AS weight
-  FROM posts p
-  LEFT JOIN (SELECT md5(event_thread_ts) AS k, count(*) AS n FROM replies GROUP BY 1) r ON r.k = md5(p.event_ts)
-  LEFT JOIN (SELECT md5(reaction_item_ts) AS k, count(*) AS n FROM reactions GROUP BY 1) x ON x.k = md5(p.event_ts))"""
-
-_WEEKLY = """
-numbered AS (SELECT *, event_text || ' (weight: ' || CAST(weight AS VARCHAR) || ')' AS weighted_text,
-    row_number() OVER (PARTITION BY bucket, team_id, sentiment_category ORDER BY event_time, id) AS post_number,
-    CAST(bucket + INTERVAL 1 DAY AS DATE) AS feedback_start_date,
-    CAST(bucket + INTERVAL 7 DAY - INTERVAL 1 SECOND AS DATE) AS feedback_end_date
-  FROM (SELECT *, date_trunc('week', event_time - INTERVAL 1 DAY) AS bucket,
-          CASE WHEN sentiment_score >= 0.10 THEN 'positive' ELSE 'negative' END AS sentiment_category
-        FROM weighted WHERE sentiment_score <= -0.10 OR sentiment_score >= 0.10)),
-combined AS (SELECT team_id, sentiment_category, feedback_start_date, feedback_end_date,
-    round(avg(sentiment_score), 6) AS avg_sentiment_score,
-    string_agg(weighted_text, '|' ORDER BY post_number) AS feedback_texts, count(*) AS number_of_posts
-  FROM numbered GROUP BY ALL),
-posts_text AS (SELECT team_id, sentiment_category, feedback_start_date, feedback_end_date,
-    string_agg(post_number || '. ' || weighted_text, ' ' ORDER BY post_number) AS numbered_posts_string
+weighted AS (SELECT *, 1 + num_replies * 0.5 + num_reactions * 0.1 AS weight FROM (
+    SELECT p.*, (SELECT count(*) FROM replies r WHERE r.event_thread_ts = p.event_ts) AS num_replies,
+      (SELECT count(*) FROM reactions x WHERE x.reaction_item_ts = p.event_ts) AS num_reactions FROM posts p))"""
+
+_GROUP = "team_id, sentiment_category, feedback_start_date, feedback_end_date"
+_WEEK_START = "CAST(date_trunc('week', event_time - INTERVAL 1 DAY) + INTERVAL 1 DAY AS DATE)"
+# Characters at which texts are cut: the library's own, and one that gives many parts here.
+_CUT, _SMALL_CUT = 16_000_000, 2_000
+
+
+def _parts(cut: int) -> str:
+    """Texts of each group, cut at every ``cut`` running characters; a longer post stands alone."""
+    return f"""(SELECT {_GROUP}, part_no, avg_sentiment_score, number_of_posts,
+      string_agg(weighted_text, '|' ORDER BY post_number) AS feedback_texts,
+      string_agg(post_number || '. ' || weighted_text, ' ' ORDER BY post_number) AS numbered_posts_string
+    FROM (SELECT *, CAST(1 + before // {cut} + 2 * long_before
+          + CASE WHEN chars > {cut} AND before > 0 THEN 1 ELSE 0 END AS BIGINT) AS part_no
+      FROM (SELECT *, coalesce(sum(chars) OVER earlier, 0) AS before,
+              count(*) FILTER (WHERE chars > {cut}) OVER earlier AS long_before,
+              round(avg(sentiment_score) OVER everyone, 6) AS avg_sentiment_score,
+              count(*) OVER everyone AS number_of_posts
+            FROM numbered WHERE team_id IS NOT NULL
+            WINDOW everyone AS (PARTITION BY {_GROUP}), earlier AS (PARTITION BY {_GROUP}
+              ORDER BY event_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))
+    GROUP BY ALL)"""
+
+
+def _summary(source: str) -> str:
+    return f"""(SELECT w.team_id, w.sentiment_category, w.avg_sentiment_score, w.feedback_start_date, w.feedback_end_date,
+    w.part_no, w.numbered_posts_string AS numbered_weighted_posts, b.detailed_summary, q.open_ended_question
+  FROM {source} w JOIN bullets b USING (team_id, sentiment_category, feedback_start_date)
+  JOIN questions q USING (team_id, sentiment_category, feedback_start_date))"""
+
+
+_WEEKLY = f"""
+numbered AS (SELECT *, length(weighted_text) + 16 AS chars, count(*) OVER (PARTITION BY {_GROUP}
+      ORDER BY event_time, id ROWS UNBOUNDED PRECEDING) AS post_number
+  FROM (SELECT *, event_text || ' (weight: ' || CAST(weight AS VARCHAR) || ')' AS weighted_text,
+          CASE WHEN sentiment_score > 0 THEN 'positive' ELSE 'negative' END AS sentiment_category,
+          {_WEEK_START} AS feedback_start_date, CAST({_WEEK_START} + INTERVAL 5 DAY AS DATE) AS feedback_end_date
+        FROM weighted WHERE abs(sentiment_score) >= 0.10)),
+combined AS (SELECT {_GROUP}, round(avg(sentiment_score), 6) AS avg_sentiment_score, count(*) AS number_of_posts
   FROM numbered GROUP BY ALL),
-weekly AS (SELECT c.*, s.numbered_posts_string FROM combined c JOIN posts_text s
-  ON c.team_id = s.team_id AND c.sentiment_category = s.sentiment_category
-  AND c.feedback_start_date = s.feedback_start_date AND c.feedback_end_date = s.feedback_end_date)"""
+weekly AS {_parts(_CUT)}"""
 
-_TEXTS = """
+_TEXTS = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY team_id, sentiment_category, feedback_start_date
     ORDER BY weight DESC, event_time, id) AS rank FROM numbered WHERE team_id IS NOT NULL),
 bullets AS (SELECT team_id, sentiment_category, feedback_start_date, feedback_end_date,
@@ -183,17 +203,11 @@ questions AS (SELECT b.team_id, b.sentiment_category, b.feedback_start_date, b.f
       AS open_ended_question
   FROM bullets b LEFT JOIN topic_list t ON t.team_id = b.team_id
     AND t.sentiment_category = b.sentiment_category AND t.feedback_start_date = b.feedback_start_date),
-summary AS (SELECT w.team_id, w.sentiment_category, w.avg_sentiment_score, w.feedback_start_date, w.feedback_end_date,
-    w.numbered_posts_string AS numbered_weighted_posts, b.detailed_summary, q.open_ended_question
-  FROM weekly w
-  JOIN bullets b ON b.team_id = w.team_id AND b.sentiment_category = w.sentiment_category
-    AND b.feedback_start_date = w.feedback_start_date
-  JOIN questions q ON q.team_id = w.team_id AND q.sentiment_category = w.sentiment_category
-    AND q.feedback_start_date = w.feedback_start_date),
+summary AS {_summary("weekly")},
 latest AS (SELECT s.team_id, s.sentiment_category, s.detailed_summary, s.feedback_start_date, s.feedback_end_date
-  FROM summary s WHERE NOT EXISTS (SELECT 1 FROM summary n WHERE n.team_id = s.team_id
+  FROM summary s WHERE part_no = 1 AND NOT EXISTS (SELECT 1 FROM summary n WHERE n.team_id = s.team_id
     AND n.sentiment_category = s.sentiment_category AND n.feedback_start_date > s.feedback_start_date)),
-this_week AS (SELECT s.* FROM summary s WHERE s.feedback_start_date =
+this_week AS (SELECT s.* FROM summary s WHERE part_no = 1 AND s.feedback_start_date =
     (SELECT max(m.feedback_start_date) FROM summary m WHERE m.team_id = s.team_id)),
 digest AS (SELECT team_id, string_agg(chr(10) || 'Here is the feedback for the week of '
     || strftime(feedback_start_date, '%Y-%m-%d') || ' to ' || strftime(feedback_end_date, '%Y-%m-%d') || ':'
@@ -204,8 +218,6 @@ digest AS (SELECT team_id, string_agg(chr(10) || 'Here is the feedback for the w
 _WITH = ",\n".join(s.strip() for s in (_D, _ON_POSTS, _RAW, _CONTROL, _BASE, _SETS, _WEIGHTED, _WEEKLY, _TEXTS))
 
 _TIME = "strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time"
-_GROUP = "team_id, sentiment_category, feedback_start_date, feedback_end_date"
-_WEEK_START = "CAST(date_trunc('week', event_time - INTERVAL 1 DAY) + INTERVAL 1 DAY AS DATE)"
 _STAMP = "coalesce(reaction_item_ts, event_ts)"
 
 
@@ -240,12 +252,17 @@ _WEIGHTED_OUT = f"""SELECT id AS post_id, event_text, {_TIME}, {_ENVELOPE}, even
     is_bot_post, md5(event_ts) AS thread_id, NULL::VARCHAR AS parent_user_id, 'post' AS event_subtype,
     num_replies, num_reactions, CAST(weight AS VARCHAR) AS weight FROM weighted"""
 
-_PARTS = f"""SELECT {_GROUP}, part_no, avg_sentiment_score, number_of_posts,
-    string_agg(post_number || '. ' || weighted_text, ' ' ORDER BY post_number) AS numbered_posts_string
-  FROM (SELECT n.*, c.avg_sentiment_score, c.number_of_posts, CASE WHEN c.number_of_posts <= 20 THEN 1 ELSE
-          1 + (post_number - 1) // CAST(ceil(c.number_of_posts / ceil(c.number_of_posts / 20.0)) AS BIGINT) END AS part_no
-        FROM numbered n JOIN combined c USING ({_GROUP}))
-  GROUP BY ALL"""
+_FRAME_CHARS = len(SUMMARY_PROMPT_HEAD) + len(SUMMARY_PROMPT_TAIL)
+
+
+def _generated(source: str) -> str:
+    """The stand-in model answers with the length of its prompt; several parts are answered once more together."""
+    return f"""SELECT {_GROUP}, w.part_no, a.detailed_summary FROM {source} w JOIN (
+      SELECT {_GROUP}, CASE WHEN count(*) = 1 THEN max(answer)
+        ELSE CAST({_FRAME_CHARS} + length(string_agg(answer, ' ' ORDER BY part_no)) AS VARCHAR) END AS detailed_summary
+      FROM (SELECT *, CAST({_FRAME_CHARS} + length(numbered_posts_string) AS VARCHAR) AS answer FROM {source})
+      GROUP BY ALL) a USING ({_GROUP})"""
+
 
 _LARGE_LEXICON = """SELECT d.doc_id, coalesce(round(s.score, 6), 0.0) AS sentiment_score FROM documents d LEFT JOIN (
     SELECT w.doc_id, CAST(sum(l.polarity) AS DOUBLE) / count(*) AS score
@@ -304,27 +321,29 @@ def _answers() -> dict[str, str]:
             CAST({_WEEK_START} + INTERVAL 5 DAY AS DATE) AS feedback_end_date FROM raw""",
         "number_posts": f"SELECT id, {_GROUP}, post_number, weighted_text FROM numbered",
         "number_posts_heavy_groups": f"SELECT id, {_GROUP}, post_number, weighted_text FROM numbered",
-        "weekly_feedback": f"SELECT {_GROUP}, avg_sentiment_score, number_of_posts, feedback_texts FROM weekly",
-        "numbered_posts_string": f"SELECT {_GROUP}, numbered_posts_string FROM weekly",
-        "text_parts_heavy_groups": _PARTS,
-        "prompts": f"""SELECT {_GROUP}, {_literal(SUMMARY_PROMPT_HEAD)} || numbered_posts_string
+        "weekly_feedback": f"SELECT {_GROUP}, part_no, avg_sentiment_score, number_of_posts, feedback_texts FROM weekly",
+        "numbered_posts_string": f"SELECT {_GROUP}, part_no, numbered_posts_string FROM weekly",
+        "text_parts_heavy_groups": f"""SELECT {_GROUP}, part_no, avg_sentiment_score, number_of_posts,
+            numbered_posts_string FROM {_parts(_SMALL_CUT)}""",
+        "prompts": f"""SELECT {_GROUP}, part_no, {_literal(SUMMARY_PROMPT_HEAD)} || numbered_posts_string
             || {_literal(SUMMARY_PROMPT_TAIL)} AS summary_prompt,
             {_literal(QUESTION_PROMPT_HEAD)} || numbered_posts_string AS question_prompt FROM weekly""",
         "extractive_summary": "SELECT * FROM bullets",
         "open_question": "SELECT * FROM questions",
-        "generated_summary": f"""SELECT {_GROUP}, CAST({len(SUMMARY_PROMPT_HEAD) + len(SUMMARY_PROMPT_TAIL)}
-            + length(numbered_posts_string) AS VARCHAR) AS detailed_summary FROM weekly""",
+        "generated_summary": _generated("weekly"),
+        "generated_summary_parts": _generated(_parts(_SMALL_CUT)),
         "post_summary": "SELECT * FROM summary",
-        "incremental_summary": """SELECT team_id, sentiment_category, feedback_start_date, numbered_weighted_posts
+        "post_summary_parts": f"SELECT * FROM {_summary(_parts(_SMALL_CUT))}",
+        "incremental_summary": """SELECT team_id, sentiment_category, feedback_start_date, part_no, numbered_weighted_posts
             FROM summary WHERE feedback_start_date > DATE '2024-01-09' AND feedback_start_date < DATE '2024-01-23'""",
         "emit_closed_weeks": f"""SELECT id, {_WEEK_START} AS feedback_start_date FROM raw
             WHERE event_time < TIMESTAMP '2024-01-23 00:00:00'""",
-        "feedback_table": """SELECT sentiment_category, avg_sentiment_score, numbered_weighted_posts, detailed_summary,
+        "feedback_table": """SELECT part_no, sentiment_category, avg_sentiment_score, numbered_weighted_posts, detailed_summary,
             open_ended_question FROM summary""",
         "full_refresh": """SELECT id AS post_id, num_replies, num_reactions, CAST(weight AS VARCHAR) AS weight
             FROM weighted""",
-        "json_export": """SELECT sentiment_category, avg_sentiment_score, detailed_summary, open_ended_question
-            FROM summary""",
+        "json_export": """SELECT part_no, sentiment_category, avg_sentiment_score, numbered_weighted_posts, detailed_summary,
+            open_ended_question FROM summary""",
         "sentiment_series": f"""SELECT {_TIME}, round(sentiment_score, 6) AS sentiment_score,
             strftime(posts.event_time, '%-m/%-d/%Y') AS day FROM posts""",
         "sentiment_series_range": f"""SELECT {_TIME}, round(sentiment_score, 6) AS sentiment_score FROM posts

@@ -258,19 +258,19 @@ def number_posts_heavy_groups(spark, folder):
 def weekly_feedback(spark, folder):
     rows = weekly.weekly_feedback(opinion_rows(spark, folder))
     texts = F.array_join("feedback_texts", "|").alias("feedback_texts")
-    return rows.select(*weekly.GROUP, "avg_sentiment_score", "number_of_posts", texts)
+    return rows.select(*weekly.GROUP, "part_no", "avg_sentiment_score", "number_of_posts", texts)
 
 
 @query
 def numbered_posts_string(spark, folder):
     rows = weekly.numbered_posts_string(weekly.weekly_feedback(opinion_rows(spark, folder)))
-    return rows.select(*weekly.GROUP, "numbered_posts_string")
+    return rows.select(*weekly.GROUP, "part_no", "numbered_posts_string")
 
 
 @query
 def text_parts_heavy_groups(spark, folder):
-    """Groups of more than 20 posts in parts of ceil(n / ceil(n / 20)) posts."""
-    rows = weekly.weekly_feedback(opinion_rows(spark, folder), hot_rows=20, part_chars=1_000_000_000)
+    """Texts cut every 2,000 characters, numbered by ranges."""
+    rows = weekly.weekly_feedback(opinion_rows(spark, folder), hot_rows=20, part_chars=2_000)
     rows = weekly.numbered_posts_string(rows)
     return rows.select(*weekly.GROUP, "part_no", "avg_sentiment_score", "number_of_posts", "numbered_posts_string")
 
@@ -281,6 +281,7 @@ def prompts(spark, folder):
     posts_text = F.col("numbered_posts_string")
     return rows.select(
         *weekly.GROUP,
+        "part_no",
         text.summary_prompt(posts_text).alias("summary_prompt"),
         text.question_prompt(posts_text).alias("question_prompt"),
     )
@@ -296,23 +297,37 @@ def open_question(spark, folder):
     return summaries.open_question(weekly.top_posts(opinion_rows(spark, folder), 1))
 
 
+def answered(rows):
+    done = summaries.summarise_groups(rows, generator=lambda prompts: prompts.str.len().astype(str))
+    return done.select(*weekly.GROUP, "part_no", "detailed_summary")
+
+
 @query
 def generated_summary(spark, folder):
-    rows = weekly.weekly_feedback(opinion_rows(spark, folder))
-    done = summaries.summarise_groups(rows, generator=lambda prompts: prompts.str.len().astype(str))
-    return done.select(*weekly.GROUP, "detailed_summary")
+    return answered(weekly.weekly_feedback(opinion_rows(spark, folder)))
+
+
+@query
+def generated_summary_parts(spark, folder):
+    return answered(weekly.weekly_feedback(opinion_rows(spark, folder), part_chars=2_000))
 
 
 @query
 def post_summary(spark, folder):
-    return marts.post_summary(events(spark, folder)).drop("part_no")
+    return marts.post_summary(events(spark, folder))
+
+
+@query
+def post_summary_parts(spark, folder):
+    """Groups in many parts: each carries the summary and question of its group."""
+    return marts.post_summary(events(spark, folder), part_chars=2_000)
 
 
 @query
 def incremental_summary(spark, folder):
     emitted = spark.sql(f"SELECT DATE'{EMITTED_WEEK}' AS feedback_start_date")
     done = marts.post_summary(events(spark, folder), emitted, CLOSED_AT, "closed")
-    return done.select("team_id", "sentiment_category", "feedback_start_date", "numbered_weighted_posts")
+    return done.select("team_id", "sentiment_category", "feedback_start_date", "part_no", "numbered_weighted_posts")
 
 
 @query
@@ -340,8 +355,8 @@ def full_refresh(spark, folder):
 def json_export(spark, folder):
     path = staging_path(spark, "json")
     tables.export_json(views.feedback_table(summary(spark, folder)), path)
-    schema = "sentiment_category STRING, avg_sentiment_score DOUBLE, detailed_summary STRING, open_ended_question STRING"
-    return spark.read.schema(schema).json(path)
+    schema = "part_no BIGINT, sentiment_category STRING, avg_sentiment_score DOUBLE, numbered_weighted_posts STRING"
+    return spark.read.schema(f"{schema}, detailed_summary STRING, open_ended_question STRING").json(path)
 
 
 @query

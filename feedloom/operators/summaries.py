@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import question_prompt, summary_prompt, tokens
 from feedloom.operators.weekly import GROUP
+from feedloom.session import stage
 
 BULLET = "- "
 QUESTION_HEAD = "What are your thoughts on "
@@ -40,18 +41,21 @@ def open_question(top: DataFrame, topics: int = 3) -> DataFrame:
     return ranked.groupBy(*GROUP).agg(asked.alias("open_ended_question"))
 
 
-def _attach(weekly: DataFrame, per_group: DataFrame) -> DataFrame:
-    """Put a group's text on its first part; later parts get NULL.
+def attach_to_parts(weekly: DataFrame, per_group: DataFrame) -> DataFrame:
+    """Put a group's text on each of its parts.
 
-    With the part in the key both sides are unique, however many parts a group has.
+    The list of parts is narrow; with the part in the key both sides of the wide join are
+    unique, however many parts a group has.
     """
-    return weekly.join(per_group.withColumn("part_no", F.lit(1).cast("long")), [*GROUP, "part_no"], "left")
+    parts = weekly.select(*GROUP, "part_no").join(per_group, GROUP)
+    return weekly.join(parts, [*GROUP, "part_no"], "left")
 
 
 def generate(df: DataFrame, prompt: Column, generator: Callable, out: str) -> DataFrame:
     """Run ``generator``, a function from a pandas Series of prompts to texts.
 
-    Called on aggregated rows only: one prompt per group and text part.
+    Called on aggregated rows only: one prompt per group and text part, and one more per
+    group of several parts.
     """
 
     @F.pandas_udf("string")
@@ -61,21 +65,35 @@ def generate(df: DataFrame, prompt: Column, generator: Callable, out: str) -> Da
     return df.withColumn(out, answered(prompt))
 
 
+def _generated(weekly: DataFrame, prompt: Callable, generator: Callable, out: str) -> DataFrame:
+    """Answer each part, then the joined answers of every group that has several parts.
+
+    The answers of the parts are staged, so that no part is sent to the generator twice.
+    """
+    text = prompt(F.array_join("numbered_posts", " ")).alias("_prompt")
+    asked = generate(weekly.select(*GROUP, "part_no", text), F.col("_prompt"), generator, out)
+    answers = stage(asked.drop("_prompt"), "answers")
+    listed = F.array_sort(F.collect_list(F.struct("part_no", out)))
+    groups = answers.groupBy(*GROUP).agg(F.transform(listed, lambda p: p[out]).alias("_answers"))
+    single = groups.filter(F.size("_answers") == 1).select(*GROUP, F.col("_answers")[0].alias(out))
+    several = groups.filter(F.size("_answers") > 1)
+    joined = prompt(F.array_join("_answers", " "))
+    return attach_to_parts(weekly, single.unionByName(generate(several, joined, generator, out).select(*GROUP, out)))
+
+
 def summarise_groups(
     weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None
 ) -> DataFrame:
-    """Add ``detailed_summary`` to weekly rows: the generator's, or extractive."""
+    """Add ``detailed_summary`` to weekly rows: the generator's, or extractive. All parts of a group share it."""
     if generator is not None:
-        text = F.array_join("numbered_posts", " ")
-        return generate(weekly, summary_prompt(text), generator, "detailed_summary")
-    return _attach(weekly, extractive_summary(top))
+        return _generated(weekly, summary_prompt, generator, "detailed_summary")
+    return attach_to_parts(weekly, extractive_summary(top))
 
 
 def question_groups(
     weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None
 ) -> DataFrame:
-    """Add ``open_ended_question`` to weekly rows."""
+    """Add ``open_ended_question`` to weekly rows. All parts of a group share it."""
     if generator is not None:
-        text = F.array_join("numbered_posts", " ")
-        return generate(weekly, question_prompt(text), generator, "open_ended_question")
-    return _attach(weekly, open_question(top))
+        return _generated(weekly, question_prompt, generator, "open_ended_question")
+    return attach_to_parts(weekly, open_question(top))

@@ -1,9 +1,9 @@
 """Weekly feedback: numbering, ordered text aggregation and top posts.
 
-A team's week can hold any number of posts. Ordinary groups are numbered with
-a window and collected into one text. A group too large for one task is
-numbered over a global range sort and its text is cut into consecutive parts,
-so no post is dropped and no task holds the whole group.
+A team's week can hold any number of posts. Every group is cut into text parts by
+its running characters, so the rows depend on the texts alone. While all groups are
+small, posts are numbered with a window; otherwise they are numbered over a global
+range sort, with the same result, and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from feedloom.operators.skew import HOT_ROWS
 from feedloom.session import stage
 
 GROUP = ["team_id", "sentiment_category", "feedback_start_date", "feedback_end_date"]
-# Upper bound of the characters in one text part. A warehouse text column ends
-# at 16 MiB, so any group that fits one there is a single part here.
+# A text is cut wherever its running characters pass a multiple of this, and a longer post is
+# a part of its own. A part of several posts stays under twice as many characters. A warehouse
+# text column ends at 16 MiB, so any group that fits one there is a single part here.
 PART_CHARS = 16_000_000
 LABEL_CHARS = 16  # room for "n. " and the separator
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -66,22 +67,14 @@ def same_group(left: str, right: str) -> Column:
     return test
 
 
-def heavy_groups(df: DataFrame, hot_rows: int = HOT_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
-    """Groups with too many rows or too much text for one task.
+def group_limits(df: DataFrame) -> tuple[int, int, int, int]:
+    """Most posts and most characters of a group, and those of all groups.
 
-    Reads lengths, not texts, when ``df`` comes from a stored table. ``part_rows`` is the number of posts in each text part. There are at most
-    rows/hot_rows + characters/part_chars such groups.
+    Reads lengths, not texts, when ``df`` comes from a stored table.
     """
-    sizes = df.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("group_posts"),
-        F.avg("sentiment_score").alias("group_score"),
-        F.sum("text_chars").alias("chars"),
-    )
-    heavy = (F.col("group_posts") > hot_rows) | (F.col("chars") > part_chars)
-    parts = F.greatest(F.ceil(F.col("chars") / F.lit(part_chars)), F.ceil(F.col("group_posts") / F.lit(hot_rows)))
-    return sizes.filter(heavy).select(
-        *GROUP, "group_posts", "group_score", F.ceil(F.col("group_posts") / parts).alias("part_rows")
-    )
+    sizes = df.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum("text_chars").alias("chars"))
+    found = sizes.agg(F.max("n"), F.max("chars"), F.sum("n"), F.sum("chars")).first()
+    return tuple(value or 0 for value in found)
 
 
 def _number_by_window(df: DataFrame) -> DataFrame:
@@ -89,13 +82,14 @@ def _number_by_window(df: DataFrame) -> DataFrame:
     return df.withColumn("post_number", F.row_number().over(order).cast("long"))
 
 
-def _number_by_range(df: DataFrame, ranges: int) -> DataFrame:
-    """Row numbers of huge groups without bringing a group into one partition.
+def _number_by_range(df: DataFrame, ranges: int, part_chars: int) -> DataFrame:
+    """Numbers and text parts of groups of any size, without bringing a group into one partition.
 
-    A range sort on (group, event_time, id) cuts groups across partitions in
-    order. The row's position in its partition, less the group's first position
-    there, plus the group's rows in earlier partitions, is its number. The sort
-    is staged so that positions stay fixed if a task is run again.
+    A range sort on (group, event_time, id) cuts groups across partitions in order.
+    Within a partition posts, characters and posts over ``part_chars`` are counted on;
+    what the group has in earlier partitions is added. The sort is staged so that
+    positions stay fixed if a task is run again. The group's score and number of posts
+    come along, so that no wide row is ever shuffled by its group alone.
     """
     keys = [*GROUP, "event_time", "id"]
     placed = stage(
@@ -104,40 +98,62 @@ def _number_by_range(df: DataFrame, ranges: int) -> DataFrame:
         .withColumn("_pos", F.monotonically_increasing_id()),
         "numbering",
     ).withColumn("_slot", F.shiftright("_pos", _SLOT_BITS))
-    runs = placed.groupBy(*GROUP, "_slot").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    chars = F.coalesce("text_chars", F.lit(0))
+    long_post = (chars > part_chars).cast("int")
+    runs = placed.groupBy(*GROUP, "_slot").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(chars).alias("_chars"),
+        F.sum(long_post).alias("_long"),
+        F.sum("sentiment_score").alias("_score"),
+        F.count("sentiment_score").alias("_scores"),
+    )
     before = W.partitionBy(*GROUP).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*GROUP)
     offsets = runs.select(
-        *GROUP, "_slot", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *GROUP,
+        "_slot",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_chars", "_long")],
+        F.sum("_n").over(group).alias("group_posts"),
+        (F.sum("_score").over(group) / F.sum("_scores").over(group)).alias("group_score"),
+    )
+    inside = W.partitionBy(*GROUP, "_slot").orderBy("_pos")
+    counted = placed.withColumns(
+        {
+            "_n": F.row_number().over(inside),
+            "_chars": F.sum(chars).over(inside) - chars,
+            "_long": F.sum(long_post).over(inside) - long_post,
+        }
     )
-    # One row per range plus one per heavy group: bounded by hot_rows' quotient.
     match = same_group("p", "o") & (F.col("p._slot") == F.col("o._slot"))
-    number = F.col("p._pos") - F.col("o._first") + F.col("o._offset") + F.lit(1)
+    passed = F.col("p._chars") + F.col("o._chars_before")
+    alone = ((F.coalesce("p.text_chars", F.lit(0)) > part_chars) & (passed > 0)).cast("int")
+    part = F.floor(passed / part_chars) + 2 * (F.col("p._long") + F.col("o._long_before")) + alone + 1
     return (
-        placed.alias("p")
+        counted.alias("p")
         .join(offsets.alias("o"), match)
-        .select(*[F.col(f"p.{c}").alias(c) for c in df.columns], number.alias("post_number"))
+        .select(
+            *[F.col(f"p.{c}").alias(c) for c in df.columns],
+            (F.col("p._n") + F.col("o._n_before")).cast("long").alias("post_number"),
+            part.cast("long").alias("part_no"),
+            "o.group_posts",
+            "o.group_score",
+        )
     )
 
 
-def _number(df: DataFrame, hot_rows: int, part_chars: int) -> tuple[DataFrame, DataFrame | None]:
-    """Numbered rows of the ordinary groups, and of the heavy ones if there are any."""
-    heavy = heavy_groups(df, hot_rows, part_chars)
-    if heavy.isEmpty():
-        return _number_by_window(df), None
-    heavy = stage(heavy, "heavy")
-    rows, groups = df.alias("r"), heavy.alias("h")
-    light = rows.join(groups, same_group("r", "h"), "left_anti")
-    big = rows.join(groups, same_group("r", "h")).select("r.*", "h.group_posts", "h.group_score", "h.part_rows")
-    posts = heavy.agg(F.sum("group_posts")).first()[0]
-    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posts // hot_rows))
-    part = F.floor((F.col("post_number") - F.lit(1)) / F.col("part_rows")) + F.lit(1)
-    return _number_by_window(light), _number_by_range(big, ranges).withColumn("part_no", part)
+def _number(df: DataFrame, hot_rows: int, part_chars: int) -> tuple[DataFrame, bool]:
+    """Numbered rows, and whether groups were numbered by ranges because one is too large for a task."""
+    posts, chars, all_posts, all_chars = group_limits(df)
+    if posts <= hot_rows and chars <= part_chars:
+        return _number_by_window(df), False
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _number_by_range(df, max(usual, -(-all_posts // hot_rows), -(-all_chars // part_chars)), part_chars), True
 
 
 def number_posts(df: DataFrame, hot_rows: int = HOT_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """Add ``post_number`` within team, class and week by time, ties by ``id``."""
-    plain, cut = _number(df, hot_rows, part_chars)
-    return plain if cut is None else plain.unionByName(cut.select(*plain.columns))
+    rows, _ = _number(df, hot_rows, part_chars)
+    return rows.select(*df.columns, "post_number")
 
 
 def _collect_texts(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
@@ -151,28 +167,27 @@ def _collect_texts(rows: DataFrame, keys: list[str], *aggregates: Column) -> Dat
 def weekly_feedback(df: DataFrame, hot_rows: int = HOT_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """Average score, post count and ordered texts per team, class and week.
 
-    ``df`` comes from :func:`opinions`. One row per group and ``part_no``; only
-    a heavy group has more than one part, and each part states the average and
-    the count of the whole group. Groups without a team are dropped.
+    ``df`` comes from :func:`opinions`. One row per group and ``part_no``, which starts at
+    1 and grows in text order; next to a post longer than ``part_chars`` numbers may be left
+    out. Each part states the average and the count of the whole group. ``hot_rows``
+    chooses the plan and never changes a row. Groups without a team are dropped.
     """
-    plain, cut = _number(df.filter(F.col("team_id").isNotNull()), hot_rows, part_chars)
-    # Same keys as the numbering window: the posts are shuffled once.
+    rows, by_range = _number(df.filter(F.col("team_id").isNotNull()), hot_rows, part_chars)
+    columns = [*GROUP, "part_no", "avg_sentiment_score", "number_of_posts", "feedback_texts", "numbered_posts"]
+    if by_range:
+        score, posts = F.first("group_score"), F.first("group_posts")
+        parts = _collect_texts(
+            rows, [*GROUP, "part_no"], score.alias("avg_sentiment_score"), posts.alias("number_of_posts")
+        )
+        return parts.select(*columns)
+    # Same keys as the numbering window: the posts are shuffled once. No group passes the first cut here.
     whole = _collect_texts(
-        plain,
+        rows,
         GROUP,
         F.avg("sentiment_score").alias("avg_sentiment_score"),
         F.count(F.lit(1)).alias("number_of_posts"),
-    ).withColumn("part_no", F.lit(1).cast("long"))
-    columns = [*GROUP, "part_no", "avg_sentiment_score", "number_of_posts", "feedback_texts", "numbered_posts"]
-    if cut is None:
-        return whole.select(*columns)
-    parts = _collect_texts(
-        cut,
-        [*GROUP, "part_no"],
-        F.first("group_score").alias("avg_sentiment_score"),
-        F.first("group_posts").alias("number_of_posts"),
     )
-    return whole.select(*columns).unionByName(parts.select(*columns))
+    return whole.withColumn("part_no", F.lit(1).cast("long")).select(*columns)
 
 
 def numbered_posts_string(weekly: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ from feedloom.operators.flatten import base_events, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, one_per_key
 from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
-from feedloom.operators.summaries import question_groups, summarise_groups
+from feedloom.operators.summaries import attach_to_parts, extractive_summary, open_question, question_groups, summarise_groups
 from feedloom.operators.threads import thread_events, weigh, weighted_columns
-from feedloom.operators.weekly import PART_CHARS, classified, top_posts, weekly_feedback, with_texts
+from feedloom.operators.weekly import GROUP, PART_CHARS, classified, top_posts, weekly_feedback, with_texts
 from feedloom.session import stage
 
 
@@ -61,14 +61,15 @@ def summarise(
 ) -> DataFrame:
     """Weekly summaries of :func:`summary_input` rows: the contract plus ``part_no``.
 
-    A group has one row unless its text exceeds ``part_chars``; then further
-    rows carry the following parts of the text and no summary or question.
+    A group has one row unless its text exceeds ``part_chars``; then further rows carry
+    the following parts of the text. Summary and question are the group's on each row.
     """
     weekly = weekly_feedback(opinion_rows, hot_rows, part_chars)
-    top = None
     if generator is None:
         top = stage(top_posts(opinion_rows.filter(F.col("team_id").isNotNull())), "top")
-    texts = question_groups(summarise_groups(weekly, top, generator), top, generator)
+        texts = attach_to_parts(weekly, extractive_summary(top).join(open_question(top), GROUP, "left"))
+    else:
+        texts = question_groups(summarise_groups(weekly, generator=generator), generator=generator)
     result = texts.withColumn("numbered_weighted_posts", F.array_join("numbered_posts", " "))
     return result.select(*schemas.SUMMARY_COLUMNS, "part_no")
 

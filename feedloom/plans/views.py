@@ -27,7 +27,10 @@ def _between(df: DataFrame, col: str, range: tuple[str, str] | None) -> DataFram
 
 
 def feedback_table(summary: DataFrame, range: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of the summary, with ``part_no`` where the summary has it."""
+    part = [c for c in ("part_no",) if c in summary.columns]
     return _between(summary, "feedback_start_date", range).select(
+        *part,
         "sentiment_category",
         "avg_sentiment_score",
         "numbered_weighted_posts",
@@ -49,7 +52,7 @@ def bot_post_counts(posts: DataFrame, range: tuple[str, str] | None = None) -> D
 
 
 def _first_parts(summary: DataFrame) -> DataFrame:
-    """Rows that carry the summary, when a text has several parts."""
+    """One row per group, when a text has several parts."""
     return summary.filter(F.col("part_no") == 1) if "part_no" in summary.columns else summary
 
 

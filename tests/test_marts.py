@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from feedloom import schemas
 from feedloom.operators import sentiment, summaries
+from feedloom.functions.text import SUMMARY_PROMPT_HEAD, SUMMARY_PROMPT_TAIL
 from feedloom.operators.sentiment import lexicon_scorer
 from feedloom.plans import marts, views
 from feedloom.sources import raw_events as raw_source
@@ -53,12 +54,13 @@ def test_summary_rows(summary):
     assert (first.avg_sentiment_score, first.feedback_end_date) == (1.0, dt.date(2024, 1, 7))
 
 
-def test_summary_in_parts_keeps_text_once_and_every_post(events):
-    cut = marts.post_summary(events, hot_rows=1)
+def test_each_part_carries_the_summary_of_its_group(events):
+    cut = marts.post_summary(events, part_chars=50)
     parts = cut.filter("team_id = 'T1' AND sentiment_category = 'positive'").orderBy("feedback_start_date", "part_no")
-    got = [(r.part_no, r.numbered_weighted_posts, r.detailed_summary is not None) for r in parts.collect()]
+    got = [(r.part_no, r.numbered_weighted_posts, r.detailed_summary) for r in parts.collect()]
+    both = "- good coffee\n- great desks and great chairs"
     assert got[:2] == [
-        (1, "1. good coffee (weight: 1.7)", True), (2, "2. great desks and great chairs (weight: 1.0)", False),
+        (1, "1. good coffee (weight: 1.7)", both), (2, "2. great desks and great chairs (weight: 1.0)", both),
     ]
     latest = views.latest_summary(cut, "positive", "T1").collect()
     assert len(latest) == 1 and latest[0].detailed_summary == "- good lunch"
@@ -69,6 +71,15 @@ def test_generator_sees_one_prompt_per_row(events):
     assert {(r.detailed_summary, r.open_ended_question) for r in done.collect()} == {("Summarize", "Based on ")}
 
 
+def test_generator_answers_the_parts_and_then_their_answers(events):
+    done = marts.post_summary(events, part_chars=50, generator=lambda prompts: prompts.str.len().astype(str))
+    rows = done.filter("team_id = 'T1' AND sentiment_category = 'positive' AND feedback_start_date = '2024-01-02'")
+    frame = len(SUMMARY_PROMPT_HEAD) + len(SUMMARY_PROMPT_TAIL)
+    texts = ["1. good coffee (weight: 1.7)", "2. great desks and great chairs (weight: 1.0)"]
+    answers = " ".join(str(frame + len(t)) for t in texts)
+    assert [r.detailed_summary for r in rows.collect()] == [str(frame + len(answers))] * 2
+
+
 def test_emission_modes(spark, events):
     emitted = spark.createDataFrame([("2024-01-02",)], "d string").select(F.col("d").cast("date").alias("feedback_start_date"))
     closed = marts.post_summary(events, None, "2024-01-10 00:00:00", "closed")
@@ -87,7 +98,7 @@ def test_question_without_topics(spark):
 def test_read_views(spark, events, summary):
     table = views.feedback_table(summary)
     assert table.columns == [
-        "sentiment_category", "avg_sentiment_score", "numbered_weighted_posts", "detailed_summary", "open_ended_question",
+        "part_no", "sentiment_category", "avg_sentiment_score", "numbered_weighted_posts", "detailed_summary", "open_ended_question",
     ]
     assert views.feedback_table(summary, range=("2024-01-09", "2024-01-09")).count() == 1
     series = [r.event_time for r in views.sentiment_series(events.posts).collect()]

@@ -94,7 +94,24 @@ def joined_parts(df):
     return parts
 
 
-@pytest.mark.parametrize("limits", [{"hot_rows": 30}, {"part_chars": 1000}, {"hot_rows": 50, "part_chars": 700}])
+def test_plan_choice_never_changes_rows(spark):
+    df = opinions(spark)
+    assert rows(weekly.weekly_feedback(df, hot_rows=30)) == rows(weekly.weekly_feedback(df))
+
+
+def test_parts_of_uneven_posts_are_bounded(spark):
+    uneven = opinions(spark).withColumn("text_chars", F.when(F.col("id") % 97 < 2, 3000).otherwise(F.col("id") % 50 + 16))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut, by_range = weekly._number(uneven, 500_000, 1000)
+        parts = cut.groupBy("team_id", "part_no").agg(F.count("*").alias("n"), F.sum("text_chars").alias("c")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert by_range and sum(p.n for p in parts) == 500
+    assert all(p.n == 1 or p.c < 2000 for p in parts)
+
+
+@pytest.mark.parametrize("limits", [{"part_chars": 1000}, {"hot_rows": 50, "part_chars": 700}])
 def test_parts_hold_every_post_in_order(spark, limits):
     df = opinions(spark)
     whole = joined_parts(weekly.weekly_feedback(df))
