@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import connected_components, map_arrow, record, slices, unused
+from feedloom.operators.skew import join_unique
 from feedloom.session import stage
 
 SHINGLE_WORDS = 3
@@ -23,32 +24,58 @@ AT_ONCE = 8192
 # Comparisons held in memory at a time.
 COMPARED = 1 << 19
 
+# Near duplicates of the pipeline: shingles of so many words, and the share of them that is common.
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+# A signature of minima is cut into segments; each is indexed once without each of its values.
+SEGMENTS, SEGMENT = 4, 4
+# Minima of the whole signature; what the segments do not use only estimates the similarity.
+MINIMA = 128
+# Shingles whose minima are taken at a time.
+MIXED = 4096
+# Estimates at which links are sought before the exact check; the estimate's deviation is 0.035.
+LEVELS = (0.72, 0.78, 0.84)
+# Links of one text that a task may hold before they are split.
+HUB_LINKS = 20_000
+
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, MINIMA, np.uint64, endpoint=False) | np.uint64(1)
+_SIGNATURES = pa.schema([("mark", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """SimHash of one text as an unsigned number.
+def shingle_hashes(text: str | None, width: int, at_once: int = COUNTED) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in stretches of at most ``at_once``.
 
-    Words are separated by ASCII white space, A to Z are lower-cased. A bit is set if it
-    is set in over half of the shingles' hashes. No words: 0.
+    Words are separated by ASCII white space, A to Z are lower-cased. A text of fewer
+    words is one shingle, one without words none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
+    digest, seed = xxhash.xxh64_intdigest, SEED
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, SEED)
+        yield np.array([digest(line, seed)], np.uint64)
+        return
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
-    digest, seed = xxhash.xxh64_intdigest, SEED
-    total = len(starts)
-    ones = np.zeros(64, np.int64)
-    ends = ends[width - 1 :].tolist()
-    for at in range(0, total, COUNTED):
-        part = [digest(line[s:e], seed) for s, e in zip(starts[at : at + COUNTED], ends[at : at + COUNTED], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
+    ends = ends[width - 1 :]
+    for at in range(0, len(starts), at_once):
+        spans = zip(starts[at : at + at_once].tolist(), ends[at : at + at_once].tolist(), strict=True)
+        yield np.array([digest(line[s:e], seed) for s, e in spans], "<u8")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """SimHash of one text as an unsigned number.
+
+    A bit is set if it is set in over half of the shingles' hashes. No words: 0.
+    """
+    ones, total = np.zeros(64, np.int64), 0
+    for part in shingle_hashes(text, width):
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(part)
     return sum(1 << k for k in np.flatnonzero(2 * ones > total).tolist())
 
 
@@ -205,13 +232,171 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MA
     return components(docs, width, limit).select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
+def signature(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
+    """Minima of the shingles' hashes under ``MINIMA`` mixings; a text without words has all ones."""
+    least = np.full(MINIMA, np.iinfo(np.uint64).max)
+    for part in shingle_hashes(text, width, MIXED):
+        np.minimum(least, (part[:, None] * _MULTIPLIERS).min(axis=0), out=least)
+    return least
+
+
+def _segment_keys(least: np.ndarray) -> list[int]:
+    keys = []
+    for segment in range(SEGMENTS):
+        values = least[segment * SEGMENT : (segment + 1) * SEGMENT]
+        for gone in range(SEGMENT):
+            rest = np.delete(values, gone).tobytes()
+            keys.append(xxhash.xxh64_intdigest(rest, segment * SEGMENT + gone))
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, width: int = SIMILAR_WORDS) -> DataFrame:
+    """One row per different text: its ``mark``, the ``keys`` of its segments and a ``sketch`` of one byte per minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            least = [signature(t.as_py(), width) for t in batch.column(1)]
+            sketches = [(m >> np.uint64(16)).astype(np.uint8).tobytes() for m in least]
+            keys = [_segment_keys(m) for m in least]
+            yield record(_SIGNATURES, {"mark": batch.column(0), "keys": keys, "sketch": sketches})
+
+    rows = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
+    return map_arrow(rows, run, "mark long, keys array<long>, sketch binary").dropDuplicates(["mark"])
+
+
+def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that span the estimates of ``level`` or more, found breadth first like :func:`_forest`.
+
+    Each row is tied to the likest row of the part of the front that reaches it.
+    """
+    # Bytes of different minima agree once in 256 times.
+    needed = np.ceil(MINIMA * (level + (1 - level) / 256))
+    parents, children = [], []
+    left = np.arange(len(sketches))
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            reached, at = [], 0
+            while at < len(front) and len(left):
+                part = front[at : at + max(1, (COMPARED << 5) // (MINIMA * len(left)))]
+                at += len(part)
+                same = np.empty((len(part), len(left)), np.int16)
+                for row, own in enumerate(sketches[part]):
+                    same[row] = (sketches[left] == own).sum(axis=1)
+                hit = same.max(axis=0) >= needed
+                if hit.any():
+                    parents.append(part[same[:, hit].argmax(axis=0)])
+                    children.append(left[hit])
+                    reached.append(left[hit])
+                    left = left[~hit]
+            front = np.concatenate(reached) if reached else left[:0]
+    if not parents:
+        return left[:0], left[:0]
+    return np.concatenate(parents), np.concatenate(children)
+
+
+def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Likely links of one key. A large set is split by minima the keys do not use."""
+    if len(sketches) <= AT_ONCE:
+        return [_sketch_forest(sketches, level) for level in LEVELS]
+    found = []
+    for extra in range(SEGMENTS * SEGMENT, SEGMENTS * SEGMENT + 8):
+        order = np.argsort(sketches[:, extra], kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(sketches[order, extra])) + 1):
+            found += [(run[p], run[q]) for p, q in (_sketch_forest(sketches[run], level) for level in LEVELS)]
+    return found
+
+
+def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; the last key of a batch waits for the next one."""
+    keys, marks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in _closed(batches):
+        if batch is not None and batch.num_rows:
+            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, MINIMA)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat))
+        if not held or batch is not None and held[0][0][0] == held[-1][0][-1]:
+            continue  # one key so far
+        keys, marks, sketches = (np.concatenate(x) for x in zip(*held, strict=True))
+        ready = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[:ready])) + 1, [ready]))
+        a, b = [], []
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if end - start < 2:
+                continue
+            for p, q in _alike(sketches[start:end]):
+                a.append(marks[start + p])
+                b.append(marks[start + q])
+        if a:
+            one, other = np.concatenate(a), np.concatenate(b)
+            yield record(_EDGES, {"a": np.minimum(one, other), "b": np.maximum(one, other)})
+        held = [(keys[ready:], marks[ready:], sketches[ready:])] if ready < len(keys) else []
+
+
+def jaccard(one: str | None, other: str | None, width: int = SIMILAR_WORDS) -> float:
+    """Common share of two texts' different shingles; two texts without words are alike."""
+    a, b = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])) for t in (one, other))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a``, ``b`` between marks of different texts whose word shingles agree by ``similarity`` or more.
+
+    Three bits of a SimHash stand for far more than 0.8, so the signature here is one of
+    minima; it is indexed as the fingerprints are: cut into segments, each without one of
+    its values, equal keys meet and are verified. Two texts that agree by 0.8 share a
+    key but once in a thousand times. Within a key, estimates choose a forest of likely
+    links; these are checked on the whole texts. No text is sent per key.
+    """
+    signed = stage(signatures(docs, width), "signatures")
+    keyed = signed.select("mark", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = keyed.join(shared, "key", "left_semi").join(signed.select("mark", "sketch"), "mark")
+    dealt = met.select("key", "mark", "sketch").repartition("key").sortWithinPartitions("key", "mark")
+    likely = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
+
+    ends = likely.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    texts = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    texts = stage(texts.join(ends, "mark", "left_semi").dropDuplicates(["mark"]), "texts")
+    pairs = likely
+    for end, other in (("a", "b"), ("b", "a")):
+        side = texts.select(F.col("mark").alias(end), F.col("text").alias(f"text_{end}"))
+        pairs = join_unique(pairs, side, [end], "inner", other, HUB_LINKS)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            hit = pa.array([jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in both], pa.bool_())
+            yield batch.select([0, 1]).filter(hit)
+
+    return map_arrow(pairs.select("a", "b", "text_a", "text_b"), check, "a long, b long")
+
+
+def keep_one(
+    docs: DataFrame,
+    width: int = SHINGLE_WORDS,
+    limit: int = MAX_BITS,
+    words: int = SIMILAR_WORDS,
+    similarity: float = SIMILARITY,
+) -> DataFrame:
     """The documents without near duplicates: of each component the row of its smallest doc_id.
 
-    Columns stay as they are. Rows that share this doc_id are told apart by their texts,
-    and of rows alike in both one stays. A component whose doc_ids are all null keeps one.
+    Documents are linked by fingerprints of ``limit`` or fewer differing bits, and by
+    shingles of ``words`` words that agree by ``similarity`` or more; see
+    :func:`similar_links`. Texts that are null or have no words are alike. Columns stay as
+    they are. Rows that share this doc_id are told apart by their texts, and of rows alike
+    in both one stays. A component whose doc_ids are all null keeps one.
     """
-    found = stage(components(docs, width, limit).select("doc_id", "mark", "root"), "components")
+    prints = stage(components(docs, width, limit).select("doc_id", "mark", "root"), "components")
+    near = similar_links(docs, words, similarity)
+    of = prints.select("mark", "root").distinct()
+    for end, root in (("a", "one"), ("b", "other")):
+        near = near.join(of.select(F.col("mark").alias(end), F.col("root").alias(root)), end)
+    joined = connected_components(near.select(F.col("one").alias("a"), F.col("other").alias("b")))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    found = prints.join(joined, "root", "left").select("doc_id", "mark", F.coalesce("top", "root").alias("root"))
+    found = stage(found, "groups")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("first")
     winners = found.groupBy("root").agg(first).select("first.doc_id", "first.mark")
     repeated = found.groupBy("doc_id", "mark").count().filter("count > 1")

@@ -87,6 +87,64 @@ def test_large_runs_are_split_without_losing_links():
     assert set(plain_components(range(len(fps)), list(zip(*map(np.ndarray.tolist, parts), strict=True))).values()) == {0}
 
 
+def plain_jaccard(one, other):
+    a, b = (
+        {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for w in (re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in (one, other))
+    )
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited_texts(seed, bases, copies):
+    """Texts with copies of theirs in which some words are others."""
+    rng = random.Random(seed)
+    made = []
+    for _ in range(bases):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((4, 40, 150, 400)))]
+        made.append(" ".join(words))
+        for _ in range(copies):
+            share = rng.choice((0.005, 0.01, 0.02, 0.03, 0.1))
+            made.append(" ".join(f"x{rng.randrange(3000)}" if rng.random() < share else w for w in words))
+    return [*dict.fromkeys(made), "", " \n", "One Two", "one  two"]
+
+
+def test_similar_texts_are_linked_like_all_pairs(spark):
+    texts = edited_texts(3, 80, 12)
+    marks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS mark")
+    place = {r["mark"]: r["doc_id"] for r in marks.collect()}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(place[r["a"]], place[r["b"]]) for r in simhash.similar_links(docs).collect()]
+    assert all(plain_jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if plain_jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(linked) > 200
+    assert plain_components(range(len(texts)), got) == plain_components(range(len(texts)), linked)
+
+
+def test_large_sets_of_sketches_are_split_without_losing_links():
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(f"x{rng.randrange(9999)}" if rng.random() < 0.01 else w for w in base) for _ in range(300)]
+    sketches = np.array([(simhash.signature(t) >> np.uint64(16)).astype(np.uint8) for t in texts])
+    at_once, simhash.AT_ONCE = simhash.AT_ONCE, 100
+    try:
+        split = simhash._alike(sketches)
+    finally:
+        simhash.AT_ONCE = at_once
+    for found in (simhash._alike(sketches), split):
+        pairs = [(int(a), int(b)) for p, q in found for a, b in zip(p, q, strict=True)]
+        assert set(plain_components(range(300), pairs).values()) == {0}
+
+
+def test_keep_one_takes_near_copies_and_leaves_others(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(20, 280, 20)]  # J 0.967 to the first
+    far = " ".join(w if i % 8 else "gap" for i, w in enumerate(words))
+    texts = [" ".join(words), *near, far]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [0, len(texts) - 1]
+
+
 def test_components_of_a_long_path(spark):
     nodes = list(range(-40, 160))
     random.Random(1).shuffle(nodes)
