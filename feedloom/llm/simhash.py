@@ -34,7 +34,9 @@ MINIMA = 128
 # Shingles whose minima are taken at a time.
 MIXED = 4096
 # Estimates at which links are sought before the exact check; the estimate's deviation is 0.035.
-LEVELS = (0.72, 0.78, 0.84)
+LEVELS = (0.7, 0.77, 0.84)
+# Likeliest partners that are checked besides, for texts surely and hardly like another.
+SURE, FEW, MANY = 0.9, 3, 12
 # Links of one text that a task may hold before they are split.
 HUB_LINKS = 20_000
 
@@ -264,13 +266,34 @@ def signatures(docs: DataFrame, width: int = SIMILAR_WORDS) -> DataFrame:
     return map_arrow(rows, run, "mark long, keys array<long>, sketch binary").dropDuplicates(["mark"])
 
 
+def _agreeing(level: float) -> float:
+    """Bytes of two sketches that agree at an estimate of ``level``; those of different minima do once in 256 times."""
+    return np.ceil(MINIMA * (level + (1 - level) / 256))
+
+
+def _likeliest(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of each row and its likeliest partners: more where even the first is not sure to be alike."""
+    one, other = [], []
+    for row, own in enumerate(sketches):
+        same = (sketches == own).sum(axis=1)
+        same[row] = 0
+        near = np.flatnonzero(same >= _agreeing(LEVELS[0]))
+        if len(near):
+            most = FEW if same[near].max() >= _agreeing(SURE) else MANY
+            near = near[np.argsort(-same[near], kind="stable")[:most]]
+            one.append(np.full(len(near), row))
+            other.append(near)
+    if not one:
+        return np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate(one), np.concatenate(other)
+
+
 def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that span the estimates of ``level`` or more, found breadth first like :func:`_forest`.
 
     Each row is tied to the likest row of the part of the front that reaches it.
     """
-    # Bytes of different minima agree once in 256 times.
-    needed = np.ceil(MINIMA * (level + (1 - level) / 256))
+    needed = _agreeing(level)
     parents, children = [], []
     left = np.arange(len(sketches))
     while len(left) > 1:
@@ -298,12 +321,15 @@ def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.n
 def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Likely links of one key. A large set is split by minima the keys do not use."""
     if len(sketches) <= AT_ONCE:
-        return [_sketch_forest(sketches, level) for level in LEVELS]
+        return [_likeliest(sketches), *(_sketch_forest(sketches, level) for level in LEVELS)]
     found = []
     for extra in range(SEGMENTS * SEGMENT, SEGMENTS * SEGMENT + 8):
         order = np.argsort(sketches[:, extra], kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(sketches[order, extra])) + 1):
-            found += [(run[p], run[q]) for p, q in (_sketch_forest(sketches[run], level) for level in LEVELS)]
+            part = sketches[run]
+            links = [_likeliest(part)] if len(run) <= AT_ONCE else []
+            links += [_sketch_forest(part, level) for level in LEVELS]
+            found += [(run[p], run[q]) for p, q in links]
     return found
 
 
@@ -333,9 +359,12 @@ def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = [(keys[ready:], marks[ready:], sketches[ready:])] if ready < len(keys) else []
 
 
-def jaccard(one: str | None, other: str | None, width: int = SIMILAR_WORDS) -> float:
+def distinct_shingles(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Common share of two texts' different shingles; two texts without words are alike."""
-    a, b = (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])) for t in (one, other))
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
@@ -346,8 +375,9 @@ def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float
     Three bits of a SimHash stand for far more than 0.8, so the signature here is one of
     minima; it is indexed as the fingerprints are: cut into segments, each without one of
     its values, equal keys meet and are verified. Two texts that agree by 0.8 share a
-    key but once in a thousand times. Within a key, estimates choose a forest of likely
-    links; these are checked on the whole texts. No text is sent per key.
+    key but once in a thousand times. Within a key, estimates choose forests of likely
+    links and each text's likeliest partners; these are checked on the whole texts. No
+    text is sent per key.
     """
     signed = stage(signatures(docs, width), "signatures")
     keyed = signed.select("mark", F.explode("keys").alias("key"))
@@ -365,10 +395,14 @@ def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float
         pairs = join_unique(pairs, side, [end], "inner", other, HUB_LINKS)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, own = None, None
         for batch in batches:
-            both = zip(batch.column(2), batch.column(3), strict=True)
-            hit = pa.array([jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in both], pa.bool_())
-            yield batch.select([0, 1]).filter(hit)
+            hit = []
+            for b, one, other in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if own is None or b != mark:  # rows mostly come in order of b
+                    mark, own = b, distinct_shingles(other.as_py(), width)
+                hit.append(jaccard(distinct_shingles(one.as_py(), width), own) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     return map_arrow(pairs.select("a", "b", "text_a", "text_b"), check, "a long, b long")
 
