@@ -274,8 +274,9 @@ def _agreeing(level: float) -> float:
 def _likeliest(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of each row and its likeliest partners: more where even the first is not sure to be alike."""
     one, other = [], []
+    columns = np.ascontiguousarray(sketches.T)
     for row, own in enumerate(sketches):
-        same = (sketches == own).sum(axis=1)
+        same = (columns == own[:, None]).sum(axis=0, dtype=np.uint8).astype(np.int16)
         same[row] = 0
         near = np.flatnonzero(same >= _agreeing(LEVELS[0]))
         if len(near):
@@ -304,8 +305,9 @@ def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.n
                 part = front[at : at + max(1, (COMPARED << 5) // (MINIMA * len(left)))]
                 at += len(part)
                 same = np.empty((len(part), len(left)), np.int16)
+                columns = np.ascontiguousarray(sketches[left].T)
                 for row, own in enumerate(sketches[part]):
-                    same[row] = (sketches[left] == own).sum(axis=1)
+                    same[row] = (columns == own[:, None]).sum(axis=0, dtype=np.uint8)
                 hit = same.max(axis=0) >= needed
                 if hit.any():
                     parents.append(part[same[:, hit].argmax(axis=0)])
