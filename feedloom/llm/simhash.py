@@ -37,6 +37,10 @@ MIXED = 4096
 LEVELS = (0.7, 0.77, 0.84)
 # Likeliest partners that are checked besides, for texts surely and hardly like another.
 SURE, FEW, MANY = 0.9, 3, 12
+# Pairs between components are checked from this estimate on; one at 0.8 falls below it less than once in a million.
+LEAST = 0.6
+# Pairs that a task hands on at a time.
+HANDED = 1 << 16
 # Links of one text that a task may hold before they are split.
 HUB_LINKS = 20_000
 
@@ -160,39 +164,125 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None
     yield None
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
+    """Columns of whole keys and where each key starts and ends.
+
+    Rows come sorted by the first column; the last key of a batch waits for the next one.
+    """
+    held: list[list[np.ndarray]] = []
+    for batch in _closed(batches):
+        if batch is not None and batch.num_rows:
+            held.append([_values(column) for column in batch.columns])
+        if not held or batch is not None and held[0][0][0] == held[-1][0][-1]:
+            continue  # one key so far
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        keys = columns[0]
+        ready = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[:ready])) + 1, [ready]))
+        yield columns, list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        held = [[c[ready:] for c in columns]] if ready < len(keys) else []
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _edges(one: list[np.ndarray], other: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(one), np.concatenate(other)
+    return record(_EDGES, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _run_links(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the last key of a batch waits for the next one."""
-        held, kept, size = [], [], 0
-        for batch in _closed(batches):
-            if batch is not None:
-                held.append(batch.column(0).to_numpy(zero_copy_only=False))
-                kept.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-                size += batch.num_rows
-                if size == 0 or held[0][0] == held[-1][-1]:
-                    continue  # one key so far
-            if size == 0:
-                continue
-            keys, fps = np.concatenate(held), np.concatenate(kept)
-            ready = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[:ready])) + 1, [ready]))
-            sizes = np.diff(cuts)
-            pair = cuts[:-1][sizes == 2]
+        for (_, marks), runs in _by_key(batches):
+            fps = marks.view(np.uint64)
+            cuts = np.array(runs)
+            pair = cuts[cuts[:, 1] - cuts[:, 0] == 2, 0]
             pair = pair[np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= limit]
-            a, b = [fps[pair]], [fps[pair + 1]]
-            for start, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                group = fps[start : start + n]
-                p, q = _near(group, limit)
-                a.append(group[p])
-                b.append(group[q])
-            a, b = (np.concatenate(x).view(np.int64) for x in (a, b))
-            if len(a):
-                yield record(_EDGES, {"a": a, "b": b})
-            held, kept, size = [keys[ready:]], [fps[ready:]], len(keys) - ready
+            a, b = [marks[pair]], [marks[pair + 1]]
+            for start, end in cuts[cuts[:, 1] - cuts[:, 0] > 2].tolist():
+                p, q = _near(fps[start:end], limit)
+                a.append(marks[start + p])
+                b.append(marks[start + q])
+            if sum(map(len, a)):
+                yield _edges(a, b)
 
     return run
 
 
+def _across(alike, best: bool):
+    """Pairs of a cell's rows (cell, side, mark, root, value) that ``alike`` and whose roots differ.
+
+    Rows of side 0 meet those of side 1, or each other where the cell has no side 1. With
+    ``best`` a row keeps only its likest partner in each other component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, other, size = [], [], 0
+        for (_, sides, marks, roots, values), cells in _by_key(batches):
+            for start, end in cells:
+                second = np.flatnonzero(sides[start:end]) + start
+                first = np.flatnonzero(sides[start:end] == 0) + start
+                within = not len(second)
+                against = first if within else second
+                columns = np.ascontiguousarray(values[against].T)
+                for n, row in enumerate(first.tolist()):
+                    rest = against[n + 1 :] if within else against
+                    if not len(rest):
+                        continue
+                    score = alike(values[row], columns[..., n + 1 :] if within else columns)
+                    near = np.flatnonzero((score >= 0) & (roots[rest] != roots[row]))
+                    if best and len(near) > 1:
+                        near = near[np.argsort(-score[near], kind="stable")]
+                        near = near[np.unique(roots[rest[near]], return_index=True)[1]]
+                    if len(near):
+                        one.append(np.full(len(near), marks[row]))
+                        other.append(marks[rest[near]])
+                        size += len(near)
+                        if size >= HANDED:
+                            yield _edges(one, other)
+                            one, other, size = [], [], 0
+        if size:
+            yield _edges(one, other)
+
+    return run
+
+
+def _cells(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows ``cell``, ``side``, ``mark``, ``root`` in which all pairs of a key in different components meet.
+
+    A key wholly in one component has no cell. The rows of a large key are dealt over
+    parts, and a cell holds two of them; parts of its largest component meet only parts of the rest.
+    """
+    of = keyed.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left")
+    of = stage(of.select("key", "mark", F.coalesce("root", "mark").alias("root")), "rooted")
+    sizes = of.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    whole = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top"))
+    whole = whole.filter(F.col("n") > F.col("top.m"))
+    large = F.when(F.col("n") > AT_ONCE, F.col("top.m")).otherwise(F.lit(0))
+    fans = whole.select(
+        "key",
+        F.when(F.col("n") > AT_ONCE, F.col("top.root")).alias("top"),
+        F.ceil((F.col("n") - large) / AT_ONCE).cast("long").alias("few"),
+        F.ceil(large / AT_ONCE).cast("long").alias("many"),
+    )
+    joined = of.join(fans, "key").withColumn("big", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
+    joined = joined.withColumn("at", F.pmod(F.xxhash64("mark", "key"), F.when(F.col("big"), F.col("many")).otherwise(F.col("few"))))
+
+    def cell(i, j, side):
+        return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    at, few, many, zero = F.col("at"), F.col("few"), F.col("many"), F.lit(0).cast("long")
+    rest = F.transform(F.sequence(zero, few - 1), lambda x: cell(F.least(at, x), F.greatest(at, x), x < at))
+    top = F.transform(F.sequence(zero, F.greatest(many, F.lit(1)) - 1), lambda y: cell(at, few + y, F.lit(0)))
+    own = F.transform(F.sequence(zero, few - 1), lambda x: cell(x, few + at, F.lit(1)))
+    met = F.when(F.col("big"), own).when(many > 0, F.concat(rest, top)).otherwise(rest)
+    exploded = joined.select("key", "mark", "root", F.explode(met).alias("c"))
+    return exploded.select(F.xxhash64("key", "c.i", "c.j").alias("cell"), "c.side", "mark", "root")
+
+
 def links(prints: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """Links ``a``, ``b`` between different fingerprints that connect all within ``limit`` bits.
 
@@ -320,6 +410,12 @@ def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.n
     return np.concatenate(parents), np.concatenate(children)
 
 
+def _agreement(own: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How far the agreeing bytes of a sketch and others lie above those of an estimate of ``LEAST``."""
+    same = (columns == own[:, None]).sum(axis=0, dtype=np.uint8)
+    return same.astype(np.int16) - np.int16(_agreeing(LEAST))
+
+
 def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Likely links of one key. A large set is split by minima the keys do not use."""
     if len(sketches) <= AT_ONCE:
@@ -336,29 +432,17 @@ def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the last key of a batch waits for the next one."""
-    keys, marks = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for batch in _closed(batches):
-        if batch is not None and batch.num_rows:
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, MINIMA)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), flat))
-        if not held or batch is not None and held[0][0][0] == held[-1][0][-1]:
-            continue  # one key so far
-        keys, marks, sketches = (np.concatenate(x) for x in zip(*held, strict=True))
-        ready = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[:ready])) + 1, [ready]))
-        a, b = [], []
-        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if end - start < 2:
-                continue
+    for (_, marks, sketches), runs in _by_key(batches):
+        cuts = np.array(runs)
+        pair = cuts[cuts[:, 1] - cuts[:, 0] == 2, 0]
+        pair = pair[(sketches[pair] == sketches[pair + 1]).sum(axis=1) >= _agreeing(LEAST)]
+        a, b = [marks[pair]], [marks[pair + 1]]
+        for start, end in cuts[cuts[:, 1] - cuts[:, 0] > 2].tolist():
             for p, q in _alike(sketches[start:end]):
                 a.append(marks[start + p])
                 b.append(marks[start + q])
-        if a:
-            one, other = np.concatenate(a), np.concatenate(b)
-            yield record(_EDGES, {"a": np.minimum(one, other), "b": np.maximum(one, other)})
-        held = [(keys[ready:], marks[ready:], sketches[ready:])] if ready < len(keys) else []
+        if sum(map(len, a)):
+            yield _edges(a, b)
 
 
 def distinct_shingles(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
@@ -377,17 +461,38 @@ def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float
     Three bits of a SimHash stand for far more than 0.8, so the signature here is one of
     minima; it is indexed as the fingerprints are: cut into segments, each without one of
     its values, equal keys meet and are verified. Two texts that agree by 0.8 share a
-    key but once in a thousand times. Within a key, estimates choose forests of likely
-    links and each text's likeliest partners; these are checked on the whole texts. No
-    text is sent per key.
+    key but once in a thousand times. Links are checked on the whole texts in three turns:
+    forests of likely links, then each text's likest partner in every other component of
+    its keys, then all pairs left between different components. So only links inside a
+    component are skipped, however large the key. No text is sent per key.
     """
     signed = stage(signatures(docs, width), "signatures")
+    sketches = signed.select("mark", "sketch")
     keyed = signed.select("mark", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    met = keyed.join(shared, "key", "left_semi").join(signed.select("mark", "sketch"), "mark")
-    dealt = met.select("key", "mark", "sketch").repartition("key").sortWithinPartitions("key", "mark")
-    likely = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keyed = stage(keyed.join(shared, "key").select("key", "mark", "n"), "keys")
+    parted = keyed.select("key", "mark").join(sketches, "mark").select("key", "mark", "sketch")
+    dealt = parted.repartition("key").sortWithinPartitions("key", "mark")
+    tested = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
+    found = stage(_verified(docs, tested, width, similarity), "similar")
+    roots = None
+    for best in (True, False):
+        roots = roots or connected_components(found)
+        cells = _cells(keyed.select("key", "mark"), roots).join(sketches, "mark")
+        cells = cells.select("cell", "side", "mark", "root", "sketch").repartition("cell").sortWithinPartitions("cell")
+        met = stage(map_arrow(cells, _across(_agreement, best), "a long, b long").distinct(), "met")
+        if not met.limit(1).count():
+            break  # no likely pair between components is left
+        more = stage(met.join(tested, ["a", "b"], "left_anti"), "likely")
+        if more.limit(1).count():
+            tested = tested.unionByName(more)
+            found = found.unionByName(stage(_verified(docs, more, width, similarity), "similar"))
+            roots = None
+    return found
+
 
+def _verified(docs: DataFrame, likely: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs of marks whose whole texts are as similar."""
     ends = likely.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
     texts = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     texts = stage(texts.join(ends, "mark", "left_semi").dropDuplicates(["mark"]), "texts")

@@ -137,6 +137,28 @@ def test_large_sets_of_sketches_are_split_without_losing_links():
         assert set(plain_components(range(300), pairs).values()) == {0}
 
 
+def similar_components(spark, texts):
+    """Roots by all pairs and by similar_links, as lists of links between places."""
+    sets = [plain_shingles(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    place = {r["mark"]: r["doc_id"] for r in df.selectExpr("doc_id", "xxhash64(text) AS mark").collect()}
+    got = [(place[r["a"]], place[r["b"]]) for r in simhash.similar_links(df.select("text")).collect()]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if plain_jaccard(sets[i], sets[j]) >= 0.8]
+    assert all(plain_jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
+    return plain_components(range(len(texts)), linked), plain_components(range(len(texts)), got)
+
+
+def loose_copies(seed, copies):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    return [" ".join(f"x{rng.randrange(9999)}" if rng.random() < 0.018 else w for w in base) for _ in range(copies)]
+
+
+def test_links_near_the_bound_are_sought_until_none_is_left(spark):
+    want, got = similar_components(spark, loose_copies(2, 240))
+    assert got == want
+
+
 def test_keep_one_takes_near_copies_and_leaves_others(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(5000)}" for _ in range(300)]
