@@ -19,7 +19,7 @@ MAX_BITS = 3
 SEED = 42
 # Shingles whose bits are counted at a time.
 COUNTED = 1 << 16
-# Fingerprints of one key that are searched as they are; larger sets are split by a second segment.
+# Rows of one key that a task searches as they are; a larger key is dealt over several.
 AT_ONCE = 8192
 # Comparisons held in memory at a time.
 COMPARED = 1 << 19
@@ -35,8 +35,6 @@ MINIMA = 128
 MIXED = 4096
 # Estimates at which links are sought before the exact check; the estimate's deviation is 0.035.
 LEVELS = (0.7, 0.77, 0.84)
-# Likeliest partners that are checked besides, for texts surely and hardly like another.
-SURE, FEW, MANY = 0.9, 3, 12
 # Pairs between components are checked from this estimate on; one at 0.8 falls below it less than once in a million.
 LEAST = 0.6
 # Pairs that a task hands on at a time.
@@ -250,6 +248,13 @@ def _across(alike, best: bool):
     return run
 
 
+def _parted(n: str = "n") -> F.Column:
+    """The key of a row; a key of more than ``AT_ONCE`` rows becomes as many keys as it needs."""
+    fan = F.ceil(F.col(n) / AT_ONCE).cast("long")
+    part = F.xxhash64("key", F.pmod(F.xxhash64("mark", "key"), fan))
+    return F.when(F.col(n) > AT_ONCE, part).otherwise(F.col("key"))
+
+
 def _cells(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows ``cell``, ``side``, ``mark``, ``root`` in which all pairs of a key in different components meet.
 
@@ -361,24 +366,6 @@ def _agreeing(level: float) -> float:
     return np.ceil(MINIMA * (level + (1 - level) / 256))
 
 
-def _likeliest(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of each row and its likeliest partners: more where even the first is not sure to be alike."""
-    one, other = [], []
-    columns = np.ascontiguousarray(sketches.T)
-    for row, own in enumerate(sketches):
-        same = (columns == own[:, None]).sum(axis=0, dtype=np.uint8).astype(np.int16)
-        same[row] = 0
-        near = np.flatnonzero(same >= _agreeing(LEVELS[0]))
-        if len(near):
-            most = FEW if same[near].max() >= _agreeing(SURE) else MANY
-            near = near[np.argsort(-same[near], kind="stable")[:most]]
-            one.append(np.full(len(near), row))
-            other.append(near)
-    if not one:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(one), np.concatenate(other)
-
-
 def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that span the estimates of ``level`` or more, found breadth first like :func:`_forest`.
 
@@ -417,18 +404,8 @@ def _agreement(own: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 
 def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Likely links of one key. A large set is split by minima the keys do not use."""
-    if len(sketches) <= AT_ONCE:
-        return [_likeliest(sketches), *(_sketch_forest(sketches, level) for level in LEVELS)]
-    found = []
-    for extra in range(SEGMENTS * SEGMENT, SEGMENTS * SEGMENT + 8):
-        order = np.argsort(sketches[:, extra], kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(sketches[order, extra])) + 1):
-            part = sketches[run]
-            links = [_likeliest(part)] if len(run) <= AT_ONCE else []
-            links += [_sketch_forest(part, level) for level in LEVELS]
-            found += [(run[p], run[q]) for p, q in links]
-    return found
+    """Likely links of one key, which connect most of it before pairs are sought between components."""
+    return [_sketch_forest(sketches, level) for level in LEVELS]
 
 
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +448,7 @@ def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float
     keyed = signed.select("mark", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = stage(keyed.join(shared, "key").select("key", "mark", "n"), "keys")
-    parted = keyed.select("key", "mark").join(sketches, "mark").select("key", "mark", "sketch")
+    parted = keyed.select(_parted().alias("key"), "mark").join(sketches, "mark").select("key", "mark", "sketch")
     dealt = parted.repartition("key").sortWithinPartitions("key", "mark")
     tested = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
     found = stage(_verified(docs, tested, width, similarity), "similar")

@@ -154,6 +154,12 @@ def loose_copies(seed, copies):
     return [" ".join(f"x{rng.randrange(9999)}" if rng.random() < 0.018 else w for w in base) for _ in range(copies)]
 
 
+def test_a_group_in_many_parts_is_linked_like_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 40)
+    want, got = similar_components(spark, loose_copies(1, 160))
+    assert got == want
+
+
 def test_links_near_the_bound_are_sought_until_none_is_left(spark):
     want, got = similar_components(spark, loose_copies(2, 240))
     assert got == want
