@@ -52,22 +52,24 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def gapless(df: DataFrame, group: str, order: Sequence[str], spread: Column, total: int, name: str = "rank") -> DataFrame:
+def gapless(df: DataFrame, group: str, order: Sequence[str], spread: Column, total: int, name: str = "rank", parts: Sequence[str] = ()) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps and without one task per group.
 
     Rows are dealt over buckets by the hash of ``spread``; each bucket numbers its own
     rows in ``order`` and starts after the rows of the buckets before it. Groups may
-    be as large as the table: a bucket holds about ``RANK_ROWS`` rows.
+    be as large as the table: a bucket holds about ``RANK_ROWS`` rows. Columns ``parts`` cut
+    a bucket further where one value of ``spread`` has more; the parts follow each other in their order.
     """
     buckets = max(1, -(-total // RANK_ROWS))
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(*order)
+    at = ["_bucket", *parts]
+    before = Window.partitionBy(group).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(group, *at).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(group, *at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, *at).orderBy(*order)
     numbered = cut.withColumn("_at", F.row_number().over(inside) - 1)
     return (
-        numbered.join(starts, [group, "_bucket"])
+        numbered.join(starts, [group, *at])
         .withColumn(name, F.col("_start") + F.col("_at"))
         .select(*df.columns, name)
     )

@@ -13,7 +13,7 @@ from feedloom.session import stage
 
 SHARDS = 8
 ROUNDS = 12
-# Rows of equal texts that stay linked as one group; a larger group is dealt over several.
+# Rows of one group that a task numbers at a time; a larger group is numbered part by part.
 GROUP_ROWS = 50_000
 # A round that moves a smaller share of the linked documents is the last one.
 SETTLED = 0.0005
@@ -67,18 +67,26 @@ def _documents(docs: DataFrame) -> DataFrame:
 def _groups(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """Rows with ``linked`` (their text comes again) and ``node``, the group they are linked in.
 
-    A group that fits no shard, or no task, is dealt over as many nodes as it needs.
+    Only a group that fits no shard is dealt over as many nodes as it needs. The rows of a
+    node of more than ``GROUP_ROWS`` are dealt over ``parts`` for the work: ``large`` is
+    the node (else 0) and ``part`` the row's part.
     """
-    most = max(2, min(GROUP_ROWS, total // (2 * shards)))
+    most = max(2, total // shards)
     sizes = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    fans = sizes.select("text_hash", F.ceil(F.col("n") / most).cast("long").alias("fan"))
+    fan = F.ceil(F.col("n") / most).cast("long")
+    parts = F.ceil(F.col("n") / fan / GROUP_ROWS).cast("long")
+    fans = sizes.select("text_hash", fan.alias("fan"), parts.alias("parts"))
     joined = rows.join(fans, "text_hash", "left")
     salt = F.when(F.col("fan") > 1, F.pmod(F.xxhash64("row"), "fan")).otherwise(F.lit(0))
-    return joined.select(*rows.columns, F.col("fan").isNotNull().alias("linked"), F.xxhash64("text_hash", salt).alias("node"))
+    dealt = joined.select(*rows.columns, F.col("fan").isNotNull().alias("linked"), F.xxhash64("text_hash", salt).alias("node"), "parts")
+    many = F.col("parts") > 1
+    part = F.when(many, F.pmod(F.xxhash64("row", F.lit("part")), "parts")).otherwise(F.lit(0).cast("long"))
+    large = F.when(many, F.col("node")).otherwise(F.lit(0).cast("long"))
+    return dealt.withColumn("large", large).withColumn("part", part).withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
 
 
 def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Moves linked rows (``row``, ``node``, ``shard``) towards the shard of most of their neighbours.
+    """Moves linked rows (``row``, ``node``, ``large``, ``part``, ``parts``, ``shard``) towards the shard of most of their neighbours.
 
     One round: the neighbours of every node are counted by shard, each row is joined to its
     node's fullest shard, and of the rows that want from one shard to another a share moves
@@ -87,10 +95,11 @@ def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
     """
     shards = len(capacity)
     for turn in range(rounds):
-        near = linked.groupBy("node", "shard").agg(F.count(F.lit(1)).alias("n"))
+        near = linked.groupBy("node", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
         ranked = F.struct("n", F.xxhash64("node", "shard").alias("tie"), "shard")
-        aims = near.groupBy("node").agg(F.max(ranked).alias("top")).select("node", F.col("top.shard").alias("aim"))
-        aimed = stage(linked.join(aims, "node"), "aims")
+        aims = near.groupBy("node").agg(F.max(ranked).alias("top"), F.max("parts").alias("most"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("part")
+        aimed = stage(linked.join(aims.select("node", every, F.col("top.shard").alias("aim")), ["node", "part"]), "aims")
         flows = {(r["shard"], r["aim"]): r["count"] for r in aimed.groupBy("shard", "aim").count().collect()}
         held = [sum(n for (origin, _), n in flows.items() if origin == s) for s in range(shards)]
         wants = {k: n for k, n in flows.items() if k[0] != k[1]}
@@ -102,7 +111,8 @@ def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         grid = F.array(*[F.array(*[F.lit(share.get((a, b), 0.0)) for b in range(shards)]) for a in range(shards)])
         odds = grid[F.col("shard")][F.col("aim")]
         draw = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1_000_003)) / 1_000_003.0
-        linked = aimed.select("row", "node", F.when(draw < odds, F.col("aim")).otherwise(F.col("shard")).alias("shard"))
+        kept = ("row", "node", "large", "part", "parts")
+        linked = aimed.select(*kept, F.when(draw < odds, F.col("aim")).otherwise(F.col("shard")).alias("shard"))
         linked = stage(linked, "labels")
     return linked
 
@@ -125,18 +135,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     capacity = capacities(total, shards)
     nodes = stage(_groups(rows, total, shards), "groups")
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    linked = nodes.filter("linked").select("row", "node", start.alias("shard"))
+    linked = nodes.filter("linked").select("row", "node", "large", "part", "parts", start.alias("shard"))
     settled = propagate(linked, [math.ceil(c * (1 + SLACK)) for c in capacity], rounds)
     # Linked rows take the first places of their shard, node by node.
-    placed = gapless(settled, "shard", ["node", "row"], F.col("node"), total)
+    placed = gapless(settled, "shard", ["node", "row"], F.col("node"), total, parts=["large", "part"])
     room = F.array(*[F.lit(c) for c in capacity])[F.col("shard")]
     placed = stage(placed.withColumn("stays", F.col("rank") < room), "placed")
     counted = {r["shard"]: r["count"] for r in placed.filter("stays").groupBy("shard").count().collect()}
     taken = [counted.get(s, 0) for s in range(shards)]
     # All others fill what is left, in one numbering by node that is cut at the shards' free places.
-    single = nodes.filter("NOT linked").select("row", "node", F.lit(0).alias("pool"))
-    over = placed.filter("NOT stays").select("row", "node", F.lit(0).alias("pool"))
-    free = gapless(single.unionByName(over), "pool", ["node", "row"], F.col("node"), total)
+    single = nodes.filter("NOT linked").select("row", "node", "large", "part", F.lit(0).alias("pool"))
+    over = placed.filter("NOT stays").select("row", "node", "large", "part", F.lit(0).alias("pool"))
+    free = gapless(single.unionByName(over), "pool", ["node", "row"], F.col("node"), total, parts=["large", "part"])
     edges = [0, *accumulate(c - t for c, t in zip(capacity, taken, strict=True))]
     shard = F.lit(shards - 1)
     for s in range(shards - 2, -1, -1):

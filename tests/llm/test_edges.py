@@ -139,6 +139,15 @@ def test_a_hot_group_is_dealt_over_shards(spark):
     assert groups.k.max() <= 8
 
 
+def test_a_group_that_fits_a_shard_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 200)
+    df = spark.range(8000).selectExpr("id AS doc_id", "IF(id % 10 = 0, 'same', concat('text ', id)) AS text")
+    found = sharding.assign(df).toPandas()
+    assert found[found.doc_id % 10 == 0].shard.nunique() == 1
+    assert found.groupby("shard").size().tolist() == [1000] * 8
+    assert all(sorted(some) == list(range(1000)) for _, some in found.groupby("shard").slot)
+
+
 def test_licences_are_inherited_from_the_nearest_folder(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
