@@ -294,13 +294,31 @@ def links(prints: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     Each different fingerprint goes once to each of its 64 variant keys; equal keys meet
     in one sorted run and are verified there. Of a run only a spanning forest of its true
     links is returned, so a group of n near copies gives n - 1 links for a key, not
-    n * n. Equal texts are one fingerprint here, so a run holds only what differs.
+    n * n. Equal texts are one fingerprint here, so a run holds only what differs. Keys are
+    counted first: one of more than ``AT_ONCE`` rows is dealt over tasks in parts, and what
+    the parts leave in different components is compared afterwards, parts by parts.
     """
     if not 0 < limit <= 3:
         raise ValueError("two one-wildcard halves cover one to three differing bits")
-    keyed = prints.select("fp").distinct().select(F.explode(variant_keys()).alias("key"), "fp")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return map_arrow(dealt, _run_links(limit), "a long, b long").distinct()
+    keyed = prints.select("fp").distinct().select(F.explode(variant_keys()).alias("key"), F.col("fp").alias("mark"))
+    hot = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > AT_ONCE), "hot")
+    some = bool(hot.limit(1).count())
+    if some:
+        parted = keyed.join(F.broadcast(hot), "key", "left").select(_parted().alias("key"), "mark")
+    else:
+        parted = keyed
+    dealt = parted.repartition("key").sortWithinPartitions("key", "mark")
+    found = map_arrow(dealt, _run_links(limit), "a long, b long").distinct()
+    if not some:
+        return found
+    found = stage(found, "near")
+    cells = _cells(keyed.join(F.broadcast(hot.select("key")), "key", "left_semi"), connected_components(found))
+    cells = cells.withColumn("fp", F.col("mark")).repartition("cell").sortWithinPartitions("cell")
+
+    def within(own: np.int64, others: np.ndarray) -> np.ndarray:
+        return limit - np.bitwise_count(own.view(np.uint64) ^ others.view(np.uint64)).astype(np.int16)
+
+    return found.unionByName(map_arrow(cells, _across(within, True), "a long, b long")).distinct()
 
 
 def components(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:

@@ -165,6 +165,22 @@ def test_links_near_the_bound_are_sought_until_none_is_left(spark):
     assert got == want
 
 
+def test_hot_fingerprint_keys_are_dealt_over_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    center = rng.getrandbits(64)
+    prints = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3, 4, 5)))) for _ in range(400)})
+    df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
+    linked = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 3]
+    seen = []
+    monkeypatch.setattr(simhash, "AT_ONCE", 8)
+    cells = simhash._cells
+    monkeypatch.setattr(simhash, "_cells", lambda *a: seen.append(cells(*a)) or seen[-1])
+    got = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df).collect()]
+    assert all((a ^ b).bit_count() <= 3 for a, b in got)
+    assert plain_components(prints, got) == plain_components(prints, linked)
+    assert seen and max(r["count"] for r in seen[0].groupBy("cell").count().collect()) <= 60
+
+
 def test_keep_one_takes_near_copies_and_leaves_others(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(5000)}" for _ in range(300)]
