@@ -27,6 +27,12 @@ INLINE = frozenset(
 )
 # Elements whose content is no text of the page, up to their end tag.
 RAW = frozenset("script style title textarea noscript template iframe svg select object".split())
+# Start tags that leave an svg, and elements of an svg that hold HTML of their own.
+LEAVE_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
+HOLD_HTML = frozenset("foreignobject desc title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that say nothing about what they hold, so that it does not matter where they end.
@@ -61,13 +67,50 @@ def _chrome(name: str, attributes: str, article: bool) -> bool:
     return False
 
 
+def _svg_end(page: str, at: int, names: frozenset[str]) -> int:
+    """Where an svg ends whose content begins at ``at``: after its end tag, or before a tag that leaves it.
+
+    These are the start tags of ``LEAVE_SVG`` and the end tags of ``names``, the elements around it.
+    """
+    depth, inner = 1, []
+    for tag in _TAG.finditer(page, at):
+        name = (tag[2] or "").lower()
+        if not name or tag[3].endswith("/"):
+            continue
+        if name in HOLD_HTML:
+            if not tag[1]:
+                inner.append(name)
+            elif name in inner:
+                del inner[inner.index(name) :]
+        elif name == "svg":
+            depth += -1 if tag[1] else 1
+            if not depth:
+                return tag.end()
+        elif not inner and (name in names if tag[1] else name in LEAVE_SVG):
+            return tag.start()
+    return len(page)
+
+
+def _object_ends(page: str) -> dict[int, int]:
+    """Where the content of each closed object begins and where the object ends."""
+    ends, opened = {}, []
+    for tag in _TAG.finditer(page):
+        if (tag[2] or "").lower() == "object":
+            if not tag[1]:
+                opened.append(tag.end())
+            elif opened:
+                ends[opened.pop()] = tag.end()
+    return ends
+
+
 def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     """Text blocks of a page in order: text, characters of it in links, in an article, in page chrome, heading.
 
     A block ends at every tag that is not inline. References are decoded after the tags
     are found, white space becomes one space, empty blocks are left out. Unclosed and
     stray tags are taken as browsers do in simple cases: an end tag closes what is open
-    above its partner, one without partner closes nothing.
+    above its partner, one without partner closes nothing. An svg ends at the latest where
+    a block follows or an element around it ends; what follows an unclosed object is text of the page.
     """
     if not page:
         return []
@@ -77,6 +120,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading = 0, False
+    objects: dict[int, int] | None = None
 
     def close() -> None:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
@@ -114,8 +158,14 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
         in_link = 0
         if name in RAW and not tag[1]:
             if not tag[3].endswith("/") or name in ("script", "style", "title"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                if name == "svg":
+                    at = _svg_end(page, at, FLAT.union(t[0] for t in open_tags))
+                elif name == "object":
+                    objects = _object_ends(page) if objects is None else objects
+                    at = objects.get(at, at)
+                else:
+                    stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                    at = stop.end() if stop else end
         elif name not in VOID and name not in FLAT:
             if not tag[1]:
                 if not tag[3].endswith("/"):

@@ -191,6 +191,14 @@ def test_pages_of_odd_tables(spark):
     assert html.extract(none(pages)).count() == 0
 
 
+def test_text_after_unclosed_svg_or_object_is_kept():
+    texts = lambda page: [b[0] for b in html.blocks(page)]
+    assert texts("<div>one<svg><path d='x'><text>drawn</text><p>two</p></div>three") == ["one", "two", "three"]
+    assert texts("<section><svg><text>drawn</section>after <svg><g/></svg>end") == ["after", "end"]
+    assert texts("a<object data=x><p>kept</p><object>fallback</object>b") == ["a", "kept", "b"]
+    assert texts("a<svg><foreignObject><div>drawn</div></foreignObject></svg>b") == ["a", "b"]
+
+
 def test_urls_of_odd_tables(spark):
     rows = [
         (1, "http://A.Example.ORG/es/x?y", "org/", "block"),
