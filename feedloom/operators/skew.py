@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.session import stage
+
 # Rows of one key that a single task may hold.
 HOT_ROWS = 500_000
-# A key below this share of the rows fits a task whatever the size of the table.
-HOT_SHARE = 1 / 4096
+# Counters of a sketch for each key that may be heavy.
+SKETCH_ROOM = 16
+# Tasks over which one key's rows go where its heavy keys are too many to be sent everywhere.
+SPREAD = 64
 # Rows of a narrow lookup table that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -33,27 +37,41 @@ def _fused(keys: Sequence[str]) -> Column:
     return F.concat(*[part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t)])
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[tuple[str, int]]:
-    """Keys with more than ``hot_rows`` rows and more than ``HOT_SHARE`` of all.
+def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """``key`` and its number of ``rows``, for every key of more than ``limit`` rows.
 
-    ``freqItems`` misses no key above its support and returns at most
-    1/support candidates, so what reaches the driver is bounded by a constant.
-    A second pass counts the candidates exactly.
+    A count-min sketch comes first: keys are hashed twice to a table of counters, combined
+    in each map task before the shuffle. A key is a candidate if both its counters pass
+    ``limit``. Counters are never too low, so no heavy key is missed, whatever the size of
+    the table; only candidates are then counted exactly. The sketch grows with rows /
+    ``limit``, so that heavy keys fill counters and chance does not, and at most
+    2 * rows / ``limit`` of them are full. NULL is no key.
     """
     keyed = df.select(key).filter(F.col(key).isNotNull())
     total = keyed.count()
-    if total <= hot_rows:
-        return []
-    found = keyed.stat.freqItems([key], HOT_SHARE)
-    candidates = found.select(F.explode(F.col(f"{key}_freqItems")).alias(key))
-    limit = max(hot_rows, int(total * HOT_SHARE))
-    counted = (
-        keyed.join(F.broadcast(candidates), key)
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-    )
-    return [(row[key], row["n"]) for row in counted.collect()]
+    if total <= limit:
+        return keyed.limit(0).withColumn("rows", F.lit(0).cast("long"))
+    slots = 1 << max(10, (SKETCH_ROOM * total // limit).bit_length())
+    hashed = [F.pmod(F.xxhash64(F.col(key), F.lit(n)), F.lit(slots)) for n in (0, 1)]
+    marked = keyed.select(F.explode(F.array(*[F.struct(F.lit(n).alias("n"), h.alias("slot")) for n, h in enumerate(hashed)])).alias("c"))
+    full = stage(marked.groupBy("c.n", "c.slot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > limit).select("n", "slot"), "sketch")
+    if not full.limit(1).count():
+        return keyed.limit(0).withColumn("rows", F.lit(0).cast("long"))
+    suspects = keyed
+    if small_enough(full):  # otherwise all keys are counted: each is one row per map task
+        for n, h in enumerate(hashed):
+            side = full.filter(F.col("n") == n).select(F.col("slot").alias("_slot"))
+            suspects = suspects.withColumn("_slot", h).join(F.broadcast(side), "_slot", "left_semi").drop("_slot")
+    return stage(suspects.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit), "heavy")
+
+
+def _fanned(keyed: DataFrame, fan: DataFrame, spread: str) -> DataFrame:
+    """``keyed`` with the ``_fan`` of its heavy keys; too many of these for a broadcast are met over spread rows."""
+    if small_enough(fan):
+        return keyed.join(F.broadcast(fan), F.col("_key") == F.col("_hot"), "left")
+    copies = fan.withColumn("_there", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = keyed.withColumn("_here", F.pmod(F.xxhash64(F.col(spread)), F.lit(SPREAD)))
+    return rows.join(copies, (F.col("_key") == F.col("_hot")) & (F.col("_here") == F.col("_there")), "left")
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -91,14 +109,13 @@ def join_unique(
     lookup = right.filter(~any_null(on)).select(_fused(on).alias("_right"), *extra)
     match = (F.col("_key") == F.col("_right")) & F.col("_ok")
 
-    hot = hot_keys(keyed.filter("_ok"), "_key", hot_rows)
-    if not hot:
+    hot = heavy_keys(keyed.filter("_ok"), "_key", hot_rows)
+    if not hot.limit(1).count():
         return keyed.join(lookup, match, how).select(*left.columns, *extra)
 
-    fans = [(key, -(-n // hot_rows)) for key, n in hot]
-    fan = F.broadcast(left.sparkSession.createDataFrame(fans, "_hot string, _fan long"))
+    fan = hot.select(F.col("_key").alias("_hot"), F.ceil(F.col("rows") / hot_rows).cast("long").alias("_fan"))
     salt = F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("_fan")), F.lit(0))
-    salted = keyed.join(fan, F.col("_key") == F.col("_hot"), "left").withColumn("_salt", salt)
+    salted = _fanned(keyed, fan, spread).withColumn("_salt", salt)
     repeats = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_fan"), F.lit(1)) - 1)
     repeated = lookup.join(fan, F.col("_right") == F.col("_hot"), "left").select(
         "_right", *extra, F.explode(repeats).alias("_copy")

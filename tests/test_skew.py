@@ -22,8 +22,8 @@ def right(spark):
 
 
 def test_hot_keys_are_found_exactly(left):
-    assert skew.hot_keys(left, "k", hot_rows=100) == [("hot", 300)]
-    assert skew.hot_keys(left, "k", hot_rows=300) == []
+    assert [tuple(r) for r in skew.heavy_keys(left, "k", 100).collect()] == [("hot", 300)]
+    assert skew.heavy_keys(left, "k", 300).collect() == []
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
