@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import decontaminate, html, langid, licenses, linededup, packing, sharding, simhash, topk, urls
+from feedloom.llm import (
+    crosspolytope,
+    decontaminate,
+    html,
+    langid,
+    licenses,
+    linededup,
+    packing,
+    runs,
+    sharding,
+    simhash,
+    spelling,
+    topk,
+    urls,
+)
 from feedloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +66,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return crosspolytope.components(table(spark, folder, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"), plant=True)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -65,9 +91,16 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_line_dedup,
         op10_packing,
+        op11_embedding_dedup,
+        op12_periodic_runs,
+        op13_spelling_variants,
     )
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_url_filter": urls.judge_sql(), "op3_exact_topk": topk.top_k_sql()}
+    return {
+        "op2_url_filter": urls.judge_sql(),
+        "op3_exact_topk": topk.top_k_sql(),
+        "op11_embedding_dedup": crosspolytope.components_sql(),
+    }

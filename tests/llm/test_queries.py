@@ -20,7 +20,7 @@ def test_query_against_sql(spark, name):
 
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 10
+    assert {*queries.QUERIES, "pipeline"} <= names and len(queries.QUERIES) == 13
     assert set(queries.oracles()) <= set(__spark_entry__.oracle_sql())
 
 
