@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ TRIALS = 4000
 SKETCH_BITS, LENIENT = 256, 6.0
 # Rows of one bucket that a task compares as they are; a larger bucket is dealt over several.
 AT_ONCE = 4096
+# Rows whose cells are searched at a time.
+GATHERED = 1 << 14
 # Similarities, and pairs of linked rows, held in memory at a time.
 COMPARED, PAIRS = 1 << 21, 1 << 16
 
@@ -162,29 +165,36 @@ def _coded(reps: DataFrame, kind: str, cosine: float, hashes: int, probes: int,
     return map_arrow(reps.select("node", "vector"), run, "node long, slots array<long>, sketch binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Table]:
-    """Rows of whole cells; the first ``parts`` columns tell cells apart and rows come sorted by them."""
-    held: list[pa.RecordBatch] = []
+def _cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of many whole cells at a time and where each cell starts.
 
-    def name(batch: pa.RecordBatch, row: int) -> tuple:
-        return tuple(batch.column(c)[row].as_py() for c in range(parts))
-
-    for batch in batches:
-        while batch.num_rows:
-            if held and name(held[-1], held[-1].num_rows - 1) == name(batch, 0):
-                same = np.ones(batch.num_rows, bool)
-            else:
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, same = [], np.ones(batch.num_rows, bool)
-            for c in range(parts):
-                column = batch.column(c)
-                same &= pa.compute.equal(column, column[0]).to_numpy(zero_copy_only=False)
-            end = len(same) if same.all() else int(np.argmin(same))
-            held.append(batch.slice(0, end))
-            batch = batch.slice(end)
-    if held:
-        yield pa.Table.from_batches(held)
+    The first ``parts`` columns tell cells apart and rows come sorted by them.
+    """
+    held, size = [], 0
+    for batch in _closed(batches):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+            if size < GATHERED:
+                continue
+        if not size:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(size, bool)
+        new[0] = True
+        for c in range(parts):
+            column = table.column(c)
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy()
+        starts = np.flatnonzero(new)
+        ready = size if batch is None else int(starts[-1])  # the last cell may go on
+        if ready:
+            yield table.slice(0, ready), starts[starts < ready]
+            held, size = table.slice(ready).to_batches(), size - ready
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _blocks(sides: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -202,23 +212,23 @@ def _thinned(allowed: int):
     """Rows of a cell that have a likely partner there: no more rows out than in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cell", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("slot", pa.int64())])
-        for cell in _runs(batches, 1):
-            if cell.num_rows < 2:
-                continue
-            sides = cell.column("side").to_numpy()
-            sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(len(sides), -1)
+        for table, starts in _cells(batches, 1):
+            sides = table.column("side").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(sides), -1)
+            sizes = np.diff(np.append(starts, len(sides)))
+            end = np.repeat(starts + sizes, sizes)
+            sided = np.repeat(np.logical_or.reduceat(sides > 0, starts), sizes)
             likely = np.zeros(len(sides), bool)
-            for block, against, within in _blocks(sides, sketch.shape[1]):
-                far = np.bitwise_count(sketch[block][:, None] ^ sketch[against][None]).sum(axis=2, dtype=np.int32)
-                near = far <= allowed
-                if within:
-                    near &= against[None] > block[:, None]
-                likely[block] |= near.any(axis=1)
-                likely[against] |= near.any(axis=0)
+            step, rows = 1, np.flatnonzero(end > np.arange(len(sides)) + 1)
+            while len(rows):
+                other = rows + step
+                far = np.bitwise_count(sketch[rows] ^ sketch[other]).sum(axis=1, dtype=np.int32)
+                near = (far <= allowed) & (~sided[rows] | (sides[rows] != sides[other]))
+                likely[rows[near]] = likely[other[near]] = True
+                step += 1
+                rows = rows[end[rows] > rows + step]
             if likely.any():
-                kept = cell.select(["cell", "side", "node", "slot"]).filter(pa.array(likely))
-                yield from kept.cast(schema).combine_chunks().to_batches()
+                yield from table.select(["cell", "side", "node", "slot"]).filter(pa.array(likely)).to_batches()
 
     return run
 
@@ -255,13 +265,20 @@ def _hooked(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(one), np.concatenate(other)
 
 
+def _single(tables: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.Table]:
+    """One cell after the other, those of a single row left out."""
+    for table, starts in tables:
+        ends = np.append(starts[1:], table.num_rows)
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if end - start > 1:
+                yield table.slice(start, end - start)
+
+
 def _linked(kind: str, cosine: float, width: int):
     """Of each cell: how many vectors each row links, counting pairs that meet here first, and a forest of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _runs(batches, 4):
-            if cell.num_rows < 2:
-                continue
+        for cell in _single(_cells(batches, 4)):
             nodes, sides, times = (cell.column(c).to_numpy() for c in ("node", "side", "n"))
             unit = _units(cell.column("vector").to_pylist(), kind)
             slots = np.array(cell.column("slots").to_pylist(), np.int64)

@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,10 +286,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ordered(one: pa.Table, other: pa.Table) -> Iterator[pa.RecordBatch]:
     """The pairs with the smaller word first, so that a pair found twice is the same row."""
-    turn = pa.compute.greater(one["word"], other["word"])
+    turn = pc.greater(one["word"], other["word"])
     columns = []
     for first, second in ((one, other), (other, one)):
-        columns += [pa.compute.if_else(turn, second[c], first[c]) for c in ("word", "n")]
+        columns += [pc.if_else(turn, second[c], first[c]) for c in ("word", "n")]
     yield from pa.Table.from_arrays(columns, schema=_PAIRS).to_batches()
 
 
