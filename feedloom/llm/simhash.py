@@ -35,16 +35,21 @@ MINIMA = 128
 MIXED = 4096
 # Estimates at which links are sought before the exact check; the estimate's deviation is 0.035.
 LEVELS = (0.7, 0.77, 0.84)
-# Pairs between components are checked from this estimate on; one at 0.8 falls below it less than once in a million.
+# Texts of different components are compared if a partner's estimate reaches this; one at 0.8 falls below it less than once in a million.
 LEAST = 0.6
 # Pairs that a task hands on at a time.
 HANDED = 1 << 16
 # Links of one text that a task may hold before they are split.
 HUB_LINKS = 20_000
+# Rows of one key whose texts a task holds; more are dealt over several.
+TEXTS_AT_ONCE = 1024
+# Texts a task remembers having handed on.
+REMEMBERED = 100_000
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, MINIMA, np.uint64, endpoint=False) | np.uint64(1)
 _SIGNATURES = pa.schema([("mark", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
+_CELLED = pa.schema([("cell", pa.int64()), ("side", pa.int32()), ("mark", pa.int64()), ("root", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -255,7 +260,7 @@ def _parted(n: str = "n") -> F.Column:
     return F.when(F.col(n) > AT_ONCE, part).otherwise(F.col("key"))
 
 
-def _cells(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+def _cells(keyed: DataFrame, roots: DataFrame, at_once: int) -> DataFrame:
     """Rows ``cell``, ``side``, ``mark``, ``root`` in which all pairs of a key in different components meet.
 
     A key wholly in one component has no cell. The rows of a large key are dealt over
@@ -266,12 +271,12 @@ def _cells(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = of.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
     whole = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top"))
     whole = whole.filter(F.col("n") > F.col("top.m"))
-    large = F.when(F.col("n") > AT_ONCE, F.col("top.m")).otherwise(F.lit(0))
+    large = F.when(F.col("n") > at_once, F.col("top.m")).otherwise(F.lit(0))
     fans = whole.select(
         "key",
-        F.when(F.col("n") > AT_ONCE, F.col("top.root")).alias("top"),
-        F.ceil((F.col("n") - large) / AT_ONCE).cast("long").alias("few"),
-        F.ceil(large / AT_ONCE).cast("long").alias("many"),
+        F.when(F.col("n") > at_once, F.col("top.root")).alias("top"),
+        F.ceil((F.col("n") - large) / at_once).cast("long").alias("few"),
+        F.ceil(large / at_once).cast("long").alias("many"),
     )
     joined = of.join(fans, "key").withColumn("big", F.coalesce(F.col("root") == F.col("top"), F.lit(False)))
     joined = joined.withColumn("at", F.pmod(F.xxhash64("mark", "key"), F.when(F.col("big"), F.col("many")).otherwise(F.col("few"))))
@@ -312,7 +317,7 @@ def links(prints: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     if not some:
         return found
     found = stage(found, "near")
-    cells = _cells(keyed.join(F.broadcast(hot.select("key")), "key", "left_semi"), connected_components(found))
+    cells = _cells(keyed.join(F.broadcast(hot.select("key")), "key", "left_semi"), connected_components(found), AT_ONCE)
     cells = cells.withColumn("fp", F.col("mark")).repartition("cell").sortWithinPartitions("cell")
 
     def within(own: np.int64, others: np.ndarray) -> np.ndarray:
@@ -415,12 +420,6 @@ def _sketch_forest(sketches: np.ndarray, level: float) -> tuple[np.ndarray, np.n
     return np.concatenate(parents), np.concatenate(children)
 
 
-def _agreement(own: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """How far the agreeing bytes of a sketch and others lie above those of an estimate of ``LEAST``."""
-    same = (columns == own[:, None]).sum(axis=0, dtype=np.uint8)
-    return same.astype(np.int16) - np.int16(_agreeing(LEAST))
-
-
 def _alike(sketches: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Likely links of one key, which connect most of it before pairs are sought between components."""
     return [_sketch_forest(sketches, level) for level in LEVELS]
@@ -450,47 +449,148 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell (cell, side, mark, root, sketch) with a likely partner in another component there."""
+    needed = _agreeing(LEAST)
+    for (cells, sides, marks, roots, sketches), runs in _by_key(batches):
+        likely = np.zeros(len(cells), bool)
+        for start, end in runs:
+            first, second = _sides(sides[start:end], start)
+            columns = np.ascontiguousarray(sketches[second].T)
+            for row in first.tolist():
+                other = second[(columns == sketches[row][:, None]).sum(axis=0, dtype=np.uint8) >= needed]
+                other = other[roots[other] != roots[row]]
+                likely[other] = True
+                likely[row] |= len(other) > 0
+        if likely.any():
+            yield record(_CELLED, {"cell": cells[likely], "side": sides[likely], "mark": marks[likely], "root": roots[likely]})
+
+
+def _sides(sides: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that look for partners and rows that are partners: all, or side 0 and side 1 where there is a side 1."""
+    second = np.flatnonzero(sides) + start
+    first = np.flatnonzero(sides == 0) + start
+    return (first, second) if len(second) else (first, first)
+
+
+def _exact_links(width: int, similarity: float):
+    """Of each cell (cell, side, mark, root, text) links of ``similarity`` or more that connect its components.
+
+    The texts' shingles are numbered and each number lists its texts, so the common shingles of one text
+    with all others are counted at once and exactly. Rows out are fewer than rows in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sides, marks, roots, sets in _cell_texts(batches, width):
+            first, second = _sides(sides, 0)
+            sizes = np.array([len(x) for x in sets])
+            empty = np.flatnonzero(sizes == 0)
+            owners = np.repeat(second, sizes[second])
+            listed = np.concatenate([np.zeros(0, np.uint64), *[sets[n] for n in second.tolist()]])
+            order = np.argsort(listed, kind="stable")
+            listed, owners = listed[order], owners[order]
+            group = np.unique(roots, return_inverse=True)[1]
+            one, other = [], []
+            for row in first.tolist():
+                own = sets[row]
+                low, high = np.searchsorted(listed, own), np.searchsorted(listed, own, side="right")
+                common = np.bincount(owners[_spans(low, high)], minlength=len(sizes))
+                with np.errstate(invalid="ignore"):
+                    alike = common / (sizes[row] + sizes - common) >= similarity
+                if not sizes[row]:
+                    alike[empty] = True
+                hits = second[alike[second] & (group[second] != group[row])]
+                for hit in hits.tolist():
+                    if group[hit] != group[row]:
+                        group[group == group[hit]] = group[row]
+                        one.append(marks[row])
+                        other.append(marks[hit])
+            if one:
+                yield _edges([np.array(one)], [np.array(other)])
+
+    return run
+
+
+def _spans(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    length = high - low
+    return np.repeat(low - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _cell_texts(batches: Iterator[pa.RecordBatch], width: int):
+    """Sides, marks, roots and different shingles of one cell after the other; rows come sorted by cell."""
+    cell, held = None, []
+    for batch in slices(batches, 100):
+        cells, sides, marks, roots = (batch.column(c).to_pylist() for c in range(4))
+        for n, own in enumerate(cells):
+            if held and own != cell:
+                yield _columns(held)
+                held = []
+            cell = own
+            held.append((sides[n], marks[n], roots[n], distinct_shingles(batch.column(4)[n].as_py(), width)))
+    if held:
+        yield _columns(held)
+
+
+def _columns(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    sides, marks, roots, sets = zip(*rows, strict=True)
+    return np.array(sides), np.array(marks), np.array(roots), list(sets)
+
+
 def similar_links(docs: DataFrame, width: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a``, ``b`` between marks of different texts whose word shingles agree by ``similarity`` or more.
 
     Three bits of a SimHash stand for far more than 0.8, so the signature here is one of
     minima; it is indexed as the fingerprints are: cut into segments, each without one of
     its values, equal keys meet and are verified. Two texts that agree by 0.8 share a
-    key but once in a thousand times. Links are checked on the whole texts in three turns:
-    forests of likely links, then each text's likest partner in every other component of
-    its keys, then all pairs left between different components. So only links inside a
-    component are skipped, however large the key. No text is sent per key.
+    key but once in a thousand times. In each key forests of likely links come first and are
+    checked on the whole texts. What then still lies in different components of a key
+    and has a likely partner there meets in cells with its text, where all pairs of components
+    are compared exactly; a cell returns only links that connect its components. So only links
+    inside a component are skipped, however large the key, and no stage returns pairs.
     """
     signed = stage(signatures(docs, width), "signatures")
     sketches = signed.select("mark", "sketch")
     keyed = signed.select("mark", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = stage(keyed.join(shared, "key").select("key", "mark", "n"), "keys")
+    texts = stage(_texts(docs, keyed.select("mark").distinct()), "texts")
     parted = keyed.select(_parted().alias("key"), "mark").join(sketches, "mark").select("key", "mark", "sketch")
     dealt = parted.repartition("key").sortWithinPartitions("key", "mark")
-    tested = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
-    found = stage(_verified(docs, tested, width, similarity), "similar")
-    roots = None
-    for best in (True, False):
-        roots = roots or connected_components(found)
-        cells = _cells(keyed.select("key", "mark"), roots).join(sketches, "mark")
-        cells = cells.select("cell", "side", "mark", "root", "sketch").repartition("cell").sortWithinPartitions("cell")
-        met = stage(map_arrow(cells, _across(_agreement, best), "a long, b long").distinct(), "met")
-        if not met.limit(1).count():
-            break  # no likely pair between components is left
-        more = stage(met.join(tested, ["a", "b"], "left_anti"), "likely")
-        if more.limit(1).count():
-            tested = tested.unionByName(more)
-            found = found.unionByName(stage(_verified(docs, more, width, similarity), "similar"))
-            roots = None
-    return found
-
-
-def _verified(docs: DataFrame, likely: DataFrame, width: int, similarity: float) -> DataFrame:
+    likely = stage(map_arrow(dealt, _sketch_links, "a long, b long").distinct(), "likely")
+    found = stage(_verified(texts, likely, width, similarity), "similar")
+    cells = _cells(keyed.select("key", "mark"), connected_components(found), TEXTS_AT_ONCE).join(sketches, "mark")
+    cells = cells.select("cell", "side", "mark", "root", "sketch").repartition("cell").sortWithinPartitions("cell")
+    left = stage(map_arrow(cells, _likely_rows, "cell long, side int, mark long, root long"), "left")
+    meet = left.join(texts, "mark").select("cell", "side", "mark", "root", "text")
+    meet = meet.repartition("cell").sortWithinPartitions("cell")
+    more = stage(map_arrow(meet, _exact_links(width, similarity), "a long, b long").distinct(), "similar")
+    return found.unionByName(more)
+
+
+def _texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``mark`` and ``text`` of the texts with these marks, each once.
+
+    A task hands on the copies of a text once for as long as it remembers it, so that a text
+    with many copies is not gathered in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, None] = {}
+        for batch in batches:
+            new = []
+            for mark in batch.column(0).to_pylist():
+                new.append(mark not in seen)
+                seen[mark] = None
+                if len(seen) > REMEMBERED:
+                    del seen[next(iter(seen))]
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    rows = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "mark long, text string").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+
+
+def _verified(texts: DataFrame, likely: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs of marks whose whole texts are as similar."""
-    ends = likely.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    texts = stage(texts.join(ends, "mark", "left_semi").dropDuplicates(["mark"]), "texts")
     pairs = likely
     for end, other in (("a", "b"), ("b", "a")):
         side = texts.select(F.col("mark").alias(end), F.col("text").alias(f"text_{end}"))

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -160,6 +161,32 @@ def test_a_group_in_many_parts_is_linked_like_a_small_one(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_of_a_large_key_meet_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 40)
+    monkeypatch.setattr(simhash, "TEXTS_AT_ONCE", 25)
+    want, got = similar_components(spark, loose_copies(3, 120))
+    assert got == want
+
+
+def test_a_cell_returns_links_that_connect_and_no_pairs():
+    texts = loose_copies(4, 90) + ["", " "]
+    sets = [plain_shingles(t) for t in texts]
+    batch = pa.RecordBatch.from_pydict(
+        {"cell": [1] * 92, "side": np.zeros(92, np.int32), "mark": range(92), "root": range(92), "text": texts}
+    )
+    found = [(a, b) for out in simhash._exact_links(5, 0.8)(iter([batch])) for a, b in zip(*out.to_pydict().values(), strict=True)]
+    linked = [(i, j) for i in range(92) for j in range(i) if plain_jaccard(sets[i], sets[j]) >= 0.8]
+    assert all(plain_jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
+    assert plain_components(range(92), found) == plain_components(range(92), linked)
+    assert len(linked) > 500 and len(found) < 92
+
+
+def test_pipeline_stage_links_what_fingerprints_do_not(spark):
+    df = spark.createDataFrame(list(enumerate(loose_copies(7, 6))), "doc_id long, text string")
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() > 1
+    assert [r["doc_id"] for r in simhash.keep_one(df).collect()] == [0]
+
+
 def test_links_near_the_bound_are_sought_until_none_is_left(spark):
     want, got = similar_components(spark, loose_copies(2, 240))
     assert got == want
