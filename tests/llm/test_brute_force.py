@@ -182,7 +182,10 @@ def test_a_cell_returns_links_that_connect_and_no_pairs():
 
 
 def test_pipeline_stage_links_what_fingerprints_do_not(spark):
-    df = spark.createDataFrame(list(enumerate(loose_copies(7, 6))), "doc_id long, text string")
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    texts = [" ".join(f"x{n}" if k % 130 == 10 * n else w for k, w in enumerate(base)) for n in range(6)]  # J 0.86
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.near_duplicates(df).select("component_id").distinct().count() > 1
     assert [r["doc_id"] for r in simhash.keep_one(df).collect()] == [0]
 
