@@ -23,6 +23,8 @@ GROUP = ["team_id", "sentiment_category", "feedback_start_date", "feedback_end_d
 # a part of its own. A part of several posts stays under twice as many characters. A warehouse
 # text column ends at 16 MiB, so any group that fits one there is a single part here.
 PART_CHARS = 16_000_000
+# Characters of posts that one task of the range sort reads. Parts are cut by running sums, so a task may hold many.
+RANGE_CHARS = 256_000_000
 LABEL_CHARS = 16  # room for "n. " and the separator
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -147,7 +149,12 @@ def _number(df: DataFrame, hot_rows: int, part_chars: int) -> tuple[DataFrame, b
     if posts <= hot_rows and chars <= part_chars:
         return _number_by_window(df), False
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _number_by_range(df, max(usual, -(-all_posts // hot_rows), -(-all_chars // part_chars)), part_chars), True
+    return _number_by_range(df, ranges(all_posts, all_chars, hot_rows, usual), part_chars), True
+
+
+def ranges(posts: int, chars: int, hot_rows: int, usual: int) -> int:
+    """Tasks of the range sort: by rows and by characters, not by the number of text parts."""
+    return max(usual, -(-posts // hot_rows), -(-chars // RANGE_CHARS))
 
 
 def number_posts(df: DataFrame, hot_rows: int = HOT_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
