@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from feedloom import schemas
 from feedloom.functions.text import tokens
 from feedloom.operators.flatten import post_rows
-from feedloom.operators.skew import join_unique, small_enough
+from feedloom.operators.skew import BROADCAST_ROWS, join_unique, small_enough
 from feedloom.session import stage
 
-# A word list up to this size travels inside the plan as literals.
+# A word list up to this size travels inside the plan as literals, a longer one as a hash table, and
+# one of over BROADCAST_ROWS words is joined.
 INLINE_LEXICON = 2_000
 
 
@@ -24,16 +26,68 @@ def polarity(positive: Column, negative: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise((positive - negative) / total)
 
 
-def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
+def _tallied(text: Column, listed: Callable[[Column], Column], up: Callable[[Column], Column]) -> Column:
     """One pass over the words; listed words are picked first, then tallied."""
-    hits = F.filter(tokens(text), lambda t: t.isin(positive + negative))
     start = F.struct(F.lit(0).alias("ups"), F.lit(0).alias("downs"))
 
     def tally(seen: Column, token: Column) -> Column:
-        up = token.isin(positive).cast("int")
-        return F.struct((seen["ups"] + up).alias("ups"), (seen["downs"] + 1 - up).alias("downs"))
+        hit = up(token).cast("int")
+        return F.struct((seen["ups"] + hit).alias("ups"), (seen["downs"] + 1 - hit).alias("downs"))
+
+    return F.aggregate(F.filter(tokens(text), listed), start, tally, lambda seen: polarity(seen["ups"], seen["downs"]))
+
+
+def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
+    return _tallied(text, lambda t: t.isin(positive + negative), lambda t: t.isin(positive))
+
+
+def _slot(token: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+
 
-    return F.aggregate(hits, start, tally, lambda seen: polarity(seen["ups"], seen["downs"]))
+def _table_score(text: Column, words: list, slots: int) -> Column:
+    """:func:`lexicon_score` with the words in a hash table of ``slots`` short lists, one constant of the plan.
+
+    ``words`` are rows of token, whether it is positive, and slot. A word is compared with those
+    of its slot only, and no row is moved, so it serves batches and streams alike.
+    """
+
+    def among(up: bool) -> Callable[[Column], Column]:
+        lists: list[list[str]] = [[] for _ in range(slots)]
+        for word in words:
+            if not up or word["up"]:
+                lists[word["slot"]].append(word["token"])
+        table = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<array<string>>")
+        return lambda t: F.array_contains(F.get(table, _slot(t, slots)), t)
+
+    return _tallied(text, among(False), among(True))
+
+
+def _joined_score(df: DataFrame, words: DataFrame, text_col: str, spread: str, out: str) -> DataFrame:
+    """The same scores for a word list of any size, tallied once per different text.
+
+    Texts are told apart by a 128-bit hash. A text's repeats of a word are merged first, so a
+    frequent word has one row per text, which the join spreads if there are too many.
+    """
+    key = unused(df, "_text_key")
+    marked = df.withColumn(key, F.md5(text_col))
+    texts = marked.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"))
+    found = texts.dropDuplicates(["key"]).select("key", F.explode(tokens(F.col("text"))).alias("token"))
+    found = stage(found.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")), "words")
+    hits = join_unique(found, words, ["token"], "inner", "key")
+    up = F.col("up").cast("int")
+    score = polarity(F.sum(F.col("n") * up), F.sum(F.col("n") * (1 - up)))
+    scores = stage(hits.groupBy("key").agg(score.alias("_score")).select(F.col("key").alias(key), "_score"), "scores")
+    joined = join_unique(marked, scores, [key], "left", spread)
+    score = F.when(F.col(key).isNotNull(), F.coalesce("_score", F.lit(0.0)))
+    return joined.select(*[c for c in df.columns if c != out], score.alias(out))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
 
 
 def score_sentiment(
@@ -41,32 +95,27 @@ def score_sentiment(
 ) -> DataFrame:
     """Score ``text_col`` with a lexicon of ``token`` and ``polarity`` (+1 or -1).
 
-    A short lexicon is read (never more than ``INLINE_LEXICON`` + 1 rows) and
-    scored in place without a shuffle. A longer one is joined to the exploded
-    words, by broadcast if its size allows, and tallied per text within each task
-    before the shuffle. ``key`` is unique.
+    A token listed several times counts once per occurrence in a text, and as positive if any of its
+    entries is. Entries without a token or a polarity, or of polarity 0, are left out. A NULL
+    text has no score, one without listed words 0; ids may repeat or be NULL. The size of
+    the lexicon chooses the plan and never changes a score: up to ``BROADCAST_ROWS`` words
+    are read (never more than one beyond that) and scored in place without a shuffle, on streams
+    too. Longer lists are joined to the words of different texts, which a stream
+    cannot do: score it in ``foreachBatch`` then. ``key`` is a column that spreads rows of one text.
     """
-    words = lexicon.limit(INLINE_LEXICON + 1).collect()
-    if len(words) <= INLINE_LEXICON:
-        positive = [w["token"] for w in words if w["polarity"] > 0]
-        negative = [w["token"] for w in words if w["polarity"] < 0]
-        return df.withColumn(out, lexicon_score(F.col(text_col), positive, negative))
-    small = small_enough(lexicon)
-    found = df.select(key, F.explode(tokens(F.col(text_col))).alias("token"))
-    if not small:
-        # A text's repeats of a word are merged first; then a frequent word has
-        # one row per text, which the join spreads if there are too many.
-        found = stage(found.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")), "words")
-    else:
-        found = found.withColumn("n", F.lit(1))
-    hits = join_unique(found, lexicon.select("token", "polarity"), ["token"], "inner", key, small_right=small)
-    matched = hits.groupBy(key).agg(
-        F.sum(F.when(F.col("polarity") > 0, F.col("n")).otherwise(0)).alias("_ups"),
-        F.sum(F.when(F.col("polarity") < 0, F.col("n")).otherwise(0)).alias("_downs"),
-    )
-    zero = F.lit(0)
-    score = polarity(F.coalesce(F.col("_ups"), zero), F.coalesce(F.col("_downs"), zero))
-    return df.join(matched, key, "left").withColumn(out, score).drop("_ups", "_downs")
+    entries = lexicon.filter(F.col("token").isNotNull() & (F.col("polarity") != 0))
+    listed = entries.groupBy("token").agg((F.max("polarity") > 0).alias("up"))
+    if small_enough(listed):
+        size = listed.count()
+        slots = 1 << max(0, size).bit_length()
+        words = listed.select("token", "up", _slot(F.col("token"), slots).alias("slot")).collect()
+        if size > INLINE_LEXICON:
+            return df.withColumn(out, _table_score(F.col(text_col), words, slots))
+        positive = [w["token"] for w in words if w["up"]]
+        return df.withColumn(out, lexicon_score(F.col(text_col), positive, [w["token"] for w in words if not w["up"]]))
+    if df.isStreaming:
+        raise ValueError(f"a lexicon of over {BROADCAST_ROWS} words cannot score a stream; score each batch in foreachBatch")
+    return _joined_score(df, listed, text_col, key, out)
 
 
 def score_with(
