@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from feedloom import schemas
 from feedloom.functions.time import week_start
 from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
-from feedloom.operators.incremental import emit_closed_weeks, newer_than, one_per_key
+from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key
 from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
 from feedloom.plans.marts import Events, post_summary, thread_reconstruction, weighted_posts
 from feedloom.session import stage
-from feedloom.sources.tables import merge_partitions, read_table, replace_partitions, write_full
+from feedloom.sources.snapshots import Snapshots, folder_of
+from feedloom.sources.tables import touched_partitions
 
 WEEK = "week"
 NO_TIME = "1970-01-01"
@@ -31,14 +33,41 @@ def _with_week(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Folder of tables: base, posts, replies, reactions, control and summary."""
+    """Versioned tables: base, posts, replies, reactions, control, summary, threads and weighted.
 
-    def __init__(self, spark: SparkSession, root: str):
+    A store shows the version it was opened at, by default the last one, until
+    :meth:`refresh`. Changes are made inside :meth:`change`; the store sees its own at once,
+    others all together when the block ends. A block that fails leaves nothing behind.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
         self.spark = spark
         self.root = root
+        self.snapshots = Snapshots(spark, root)
+        self.refresh(version)
+
+    def refresh(self, version: int | None = None) -> None:
+        """Move to a version, by default the last one."""
+        self.version = max(self.snapshots.versions(), default=0) if version is None else version
+        self._folders = self.snapshots.manifest(self.version)
+
+    @contextmanager
+    def change(self) -> Iterator[None]:
+        """Publish all that is changed inside as the next version."""
+        before = dict(self._folders)
+        try:
+            yield
+            if self._folders != before:
+                self.snapshots.publish(self.version + 1, self._folders)
+                self.version += 1
+        except BaseException:
+            self._folders = before
+            raise
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """Folder of a table that is written whole."""
+        folders = self._folders.get(name, [])
+        return f"{self.root}/data/{name}/{folders[0]}" if len(folders) == 1 else f"{self.root}/{name}"
 
     @cached_property
     def _schemas(self) -> dict[str, StructType]:
@@ -48,9 +77,18 @@ class Store:
         known = {name: _with_week(df).schema for name, df in tables.items()}
         return {**known, "control": schemas.CONTROL_SCHEMA}
 
-    def find(self, name: str) -> DataFrame | None:
+    def find(self, name: str, schema: StructType | None = None) -> DataFrame | None:
         """The table, or None before its first write."""
-        return read_table(self.spark, self.path(name), self._schemas.get(name))
+        folders = self._folders.get(name)
+        if folders is None:
+            return None
+        schema = self._schemas.get(name, schema)
+        if schema is None:  # what the first folder holds, besides its own name
+            found = self.spark.read.option("basePath", f"{self.root}/data/{name}").parquet(f"{self.root}/data/{name}/{folders[0]}")
+            schema = found.drop("run").schema
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.snapshots.read(name, folders, schema)
 
     def read(self, name: str) -> DataFrame:
         """The table, empty before its first write."""
@@ -60,6 +98,30 @@ class Store:
     def events(self) -> Events:
         return Events(self.read("posts"), self.read("replies"), self.read("reactions"))
 
+    def write(self, name: str, rows: DataFrame) -> None:
+        """Replace the whole table."""
+        self._folders = {**self._folders, name: self.snapshots.write(name, rows)}
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self._folders = {**self._folders, name: self._folders.get(name, []) + self.snapshots.write(name, rows)}
+
+    def replace(self, name: str, rows: DataFrame, partition: str, touched: list) -> None:
+        """Let ``rows`` be all that the ``touched`` partitions hold."""
+        new = self.snapshots.write(name, rows, partition)
+        gone = {folder_of(partition, v) for v in touched} | {f.split("/")[-1] for f in new}
+        kept = [f for f in self._folders.get(name, []) if f.split("/")[-1] not in gone]
+        self._folders = {**self._folders, name: kept + new}
+
+    def merge(self, name: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
+        """Merge rows by key into new folders of the partitions that change."""
+        existing = self.find(name, incoming.schema)
+        if existing is None:
+            self.replace(name, one_per_key(incoming, keys), partition, [])
+            return
+        touched, inside = touched_partitions(existing, incoming, keys, partition)
+        if touched:
+            self.replace(name, merge_incremental(existing.filter(inside), incoming, keys), partition, touched)
+
 
 def _purge(store: Store, name: str, known: Removals) -> None:
     """Carry deletions on to a stored table; rewrites only the weeks that lose rows."""
@@ -70,7 +132,7 @@ def _purge(store: Store, name: str, known: Removals) -> None:
     weeks = [row[WEEK] for row in hit.collect()]
     if weeks:
         rows = table.filter(F.col(WEEK).isin(weeks))
-        replace_partitions(delete_flattened(rows, known), store.path(name), WEEK, weeks)
+        store.replace(name, delete_flattened(rows, known), WEEK, weeks)
 
 
 def load_events(
@@ -84,17 +146,32 @@ def load_events(
     strict_null_hwm: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> None:
-    """Bring base, posts, replies and reactions up to date with ``raw``.
+    """Bring base, posts, replies and reactions up to date with ``raw``, as one new version.
 
     Only rows from the base table's high-water mark on, and those without a time,
     are parsed and scored; the merge by id takes each once. With ``inclusive`` off
-    rows tied with the mark count as loaded. The base table is written last: after a failure the same
-    rows are loaded again and merged by id. ``control`` deletes from the new rows
+    rows tied with the mark count as loaded. After a failure the store is as before
+    and the run can be repeated. ``control`` deletes from the new rows
     and, unless ``propagate_deletes`` is off, from the tables loaded earlier.
     """
+    with store.change():
+        _load(store, raw, scorer, control, propagate_deletes, match_user, inclusive, strict_null_hwm, hot_rows)
+
+
+def _load(
+    store: Store,
+    raw: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    control: DataFrame | None = None,
+    propagate_deletes: bool = True,
+    match_user: bool = False,
+    inclusive: bool = True,
+    strict_null_hwm: bool = False,
+    hot_rows: int = HOT_ROWS,
+) -> None:
     known = None
     if control is not None:
-        control.select(*schemas.CONTROL_SCHEMA.names).write.mode("append").parquet(store.path("control"))
+        store.append("control", control.select(*schemas.CONTROL_SCHEMA.names))
     all_control = store.find("control")
     if all_control is not None:
         known = removals(all_control, match_user, hot_rows)
@@ -111,7 +188,7 @@ def load_events(
         "base": base.select(*schemas.BASE_COLUMNS),
     }
     for name, rows in incoming.items():
-        merge_partitions(store.spark, store.path(name), _with_week(rows), ["id"], WEEK)
+        store.merge(name, _with_week(rows), ["id"], WEEK)
 
 
 def emit_summaries(
@@ -121,19 +198,23 @@ def emit_summaries(
     generator: Callable | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame | None:
-    """Summarise the weeks due and add them to the summary table.
+    """Summarise the weeks due and add them to the summary table, as one new version.
 
     The posts of weeks that are not due are pruned by partition before weights
     are computed. Returns the whole summary table.
     """
+    with store.change():
+        _emit(store, now, mode, generator, hot_rows)
+    return store.find("summary")
+
+
+def _emit(store: Store, now: str | None, mode: str, generator: Callable | None, hot_rows: int) -> None:
     emitted = store.find("summary")
     events = store.events()
     due = emit_closed_weeks(events.posts.withColumn("feedback_start_date", F.col(WEEK)), emitted, now, mode)
     fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows)
     fresh = stage(fresh, "summary")
-    keys = ["team_id", "sentiment_category", "feedback_start_date", "part_no"]
-    merge_partitions(store.spark, store.path("summary"), fresh, keys, "feedback_start_date")
-    return read_table(store.spark, store.path("summary"), fresh.schema)
+    store.merge("summary", fresh, ["team_id", "sentiment_category", "feedback_start_date", "part_no"], "feedback_start_date")
 
 
 def run_pipeline(
@@ -146,13 +227,16 @@ def run_pipeline(
     generator: Callable | None = None,
     **load_options,
 ) -> DataFrame | None:
-    """One run, from raw events to newly emitted summaries."""
-    load_events(store, raw, scorer, control, **load_options)
-    return emit_summaries(store, now, mode, generator, load_options.get("hot_rows", HOT_ROWS))
+    """One run, from raw events to newly emitted summaries, published as one version."""
+    with store.change():
+        _load(store, raw, scorer, control, **load_options)
+        _emit(store, now, mode, generator, load_options.get("hot_rows", HOT_ROWS))
+    return store.find("summary")
 
 
 def refresh_marts(store: Store, hot_rows: int = HOT_ROWS) -> None:
-    """Rebuild the thread and weight tables in full."""
+    """Rebuild the thread and weight tables in full, as one new version."""
     events = store.events()
-    write_full(thread_reconstruction(events), store.path("threads"))
-    write_full(weighted_posts(events, hot_rows), store.path("weighted"))
+    with store.change():
+        store.write("threads", thread_reconstruction(events))
+        store.write("weighted", weighted_posts(events, hot_rows))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,7 +16,7 @@ from feedloom.operators.skew import any_null
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object, as Spark itself resolves them."""
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     With ``schema`` older files are read in that schema: columns they lack are
     NULL and columns since dropped are not read.
     """
-    files, location = _filesystem(spark, path)
+    files, location = filesystem(spark, path)
     if not files.exists(location):
         return None
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -44,35 +44,40 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def _values(df: DataFrame, col: str) -> list:
+def partition_values(df: DataFrame, col: str) -> list:
     """Distinct partition values; as many as the table has weeks."""
     return [row[0] for row in df.select(col).distinct().collect()]
 
 
+def touched_partitions(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], partition: str) -> tuple[list, Column]:
+    """Values of the partitions that a merge changes, and whether a row lies in one of them.
+
+    A partition changes if it receives rows or holds a row that is replaced. Finding the latter
+    reads just the key columns.
+    """
+    keys = list(keys)
+    narrow = list(dict.fromkeys([*keys, partition]))
+    arriving = incoming.select(*keys).filter(~any_null(keys)).distinct()
+    replaced = existing.select(*narrow).join(arriving, keys, "left_semi")
+    touched = partition_values(incoming.select(partition).union(replaced.select(partition)), partition)
+    inside = F.col(partition).isin([v for v in touched if v is not None])
+    return touched, inside | F.col(partition).isNull() if None in touched else inside
+
+
 def merge_partitions(
     spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str
 ) -> None:
-    """Merge rows by key and rewrite only the partitions that change.
+    """Merge rows by key and rewrite only the partitions that change, in place.
 
-    A partition changes if it receives rows or holds a row that is replaced.
-    Finding the latter reads just the key columns. ``incoming`` is read several
-    times, so it should come from a stored table.
+    ``incoming`` is read several times, so it should come from a stored table.
     """
     existing = read_table(spark, path, incoming.schema)
     if existing is None:
         one_per_key(incoming, keys).write.partitionBy(partition).parquet(path)
         return
-    keys = list(keys)
-    narrow = list(dict.fromkeys([*keys, partition]))
-    arriving = incoming.select(*keys).filter(~any_null(keys)).distinct()
-    replaced = existing.select(*narrow).join(arriving, keys, "left_semi")
-    touched = _values(incoming.select(partition).union(replaced.select(partition)), partition)
+    touched, inside = touched_partitions(existing, incoming, keys, partition)
     if touched:
-        in_touched = F.col(partition).isin([v for v in touched if v is not None])
-        if None in touched:
-            in_touched = in_touched | F.col(partition).isNull()
-        rows = existing.filter(in_touched)
-        replace_partitions(merge_incremental(rows, incoming, keys), path, partition, touched)
+        replace_partitions(merge_incremental(existing.filter(inside), incoming, keys), path, partition, touched)
 
 
 def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list) -> None:
@@ -81,10 +86,10 @@ def replace_partitions(rows: DataFrame, path: str, partition: str, touched: list
     ``rows`` may read those partitions: a dynamic overwrite writes next to the
     table and moves partitions into place when all tasks are done.
     """
-    left = _values(rows, partition)
+    left = partition_values(rows, partition)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     # Dynamic overwrite keeps a partition that gets no rows.
     for value in set(touched) - set(left):
         value = NO_VALUE if value is None else value
-        files, folder = _filesystem(rows.sparkSession, f"{path}/{partition}={value}")
+        files, folder = filesystem(rows.sparkSession, f"{path}/{partition}={value}")
         files.delete(folder, True)
