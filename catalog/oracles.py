@@ -276,6 +276,11 @@ _ROUTED = f"""SELECT 'stored' AS kind, id, {_TIME}, NULL::VARCHAR AS target_ts,
   UNION ALL SELECT kind, NULL, {_TIME}, target_ts, reaction FROM control"""
 
 
+_VERDICTS = """SELECT 'store' AS tag, id FROM raw UNION ALL SELECT 'control', NULL FROM control
+  UNION ALL SELECT CASE WHEN event_type = 'click' THEN 'store' ELSE 'rejected' END, event_id FROM events
+  UNION ALL SELECT CASE WHEN text IS NULL OR json_valid(text) THEN 'store' ELSE 'malformed' END, doc_id FROM documents"""
+
+
 def _answers() -> dict[str, str]:
     posts_out = f"SELECT * REPLACE ({_TIME}, round(sentiment_score, 6) AS sentiment_score) FROM posts"
     with_time = f"SELECT * REPLACE ({_TIME}) FROM"
@@ -368,6 +373,8 @@ def _answers() -> dict[str, str]:
         "route_events": _ROUTED,
         "split_valid": """SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'valid' ELSE 'rejected' END AS verdict
             FROM events""",
+        "event_verdicts": _VERDICTS,
+        "stream_event_verdicts": _VERDICTS,
         "ts_convert": f"""SELECT id, true AS valid,
             strftime(make_timestamp(CAST(CAST({_STAMP} AS DECIMAL(20, 6)) * 1000000 AS BIGINT)),
               '%Y-%m-%dT%H:%M:%S.%gZ') AS iso,

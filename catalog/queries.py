@@ -462,6 +462,19 @@ def split_valid(spark, folder):
     )
 
 
+def every_kind_of_event(spark, folder):
+    """Events to store, deletions, events without usable timestamps, and texts that are no JSON."""
+    no_time = F.lit(None).cast("timestamp").alias("event_time")
+    texts = given.read(spark, folder, "documents").select(F.col("doc_id").alias("id"), no_time, F.col("text").alias("raw_event"))
+    return all_changes(spark, folder).unionByName(doubtful_events(spark, folder)).unionByName(texts)
+
+
+@query
+def event_verdicts(spark, folder):
+    tagged = changes.tagged_events(every_kind_of_event(spark, folder))
+    return tagged.select("tag", F.when(F.col("tag") != "control", F.col("id")).alias("id"))
+
+
 @query
 def ts_convert(spark, folder):
     stamp = F.coalesce("reaction_item_ts", "event_ts")
@@ -594,6 +607,19 @@ def stream_changes(spark, folder):
     return log.current().select("id", "event_time")
 
 
+@query
+def stream_event_verdicts(spark, folder):
+    """The tables of the change log hold what came in, each event once."""
+    path = staging_path(spark, "feed")
+    every_kind_of_event(spark, folder).repartition(4).write.parquet(path)
+    log = feeds.ChangeLog(spark, staging_path(spark, "change-log"))
+    feeds.stream_apply_changes(log, path, max_files=2)
+    none = F.lit(None).cast("long").alias("id")
+    stored = log.stored().select(F.lit("store").alias("tag"), "id")
+    control = log.control().select(F.lit("control").alias("tag"), none)
+    return stored.unionByName(control).unionByName(log.dead().select("tag", "id"))
+
+
 @query
 def stream_dedup(spark, folder):
     path = feed(spark, folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import ANONYMOUS_MARKER, add_prefix
 from feedloom.functions.time import is_valid_ts
-from feedloom.operators.flatten import parsed_events
+from feedloom.operators.flatten import judged_events, parsed_events
 from feedloom.operators.skew import BROADCAST_ROWS, HOT_ROWS, any_null, join_unique, small_enough
 from feedloom.session import stage
 
@@ -33,12 +33,12 @@ def _event(name: str) -> Column:
     return F.coalesce(F.col(f"ev.event.{name}"), F.col(f"ev.{name}"))
 
 
-def with_routing(raw: DataFrame) -> DataFrame:
-    """Raw rows plus the fields that decide where a row goes, from one parse."""
-    return parsed_events(raw).select(
-        "id",
-        "event_time",
-        "raw_event",
+_RAW = ["id", "event_time", "raw_event"]
+
+
+def _routing() -> list[Column]:
+    """The fields that decide where a row goes."""
+    return [
         _event("type").alias("type"),
         _event("subtype").alias("subtype"),
         _event("ts").alias("message_ts"),
@@ -47,10 +47,12 @@ def with_routing(raw: DataFrame) -> DataFrame:
         _event("reaction").alias("reaction"),
         _event("user").alias("user"),
         _event("previous_message.ts").alias("deleted_ts"),
-    )
+    ]
 
 
-_RAW = ["id", "event_time", "raw_event"]
+def with_routing(raw: DataFrame) -> DataFrame:
+    """Raw rows plus the fields that decide where a row goes, from one parse."""
+    return parsed_events(raw).select(*_RAW, *_routing())
 
 
 def _valid() -> Column:
@@ -67,24 +69,45 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return routed.filter(_valid()).select(*_RAW), routed.filter(~_valid()).select(*_RAW)
 
 
+def _is_deletion() -> Column:
+    return F.col("type").eqNullSafe(F.lit("message")) & F.col("subtype").eqNullSafe(F.lit(MESSAGE_DELETED))
+
+
+def _is_removal() -> Column:
+    return F.col("type").eqNullSafe(F.lit(REACTION_REMOVED))
+
+
+def _control_fields() -> list[Column]:
+    removal = _is_removal()
+    return [
+        F.when(removal, REACTION_REMOVED).otherwise(MESSAGE_DELETED).alias("kind"),
+        F.col("event_time"),
+        F.when(removal, F.col("item_ts")).otherwise(F.col("deleted_ts")).alias("target_ts"),
+        F.when(removal, F.col("reaction")).alias("reaction"),
+        F.when(removal, F.col("user")).alias("user"),
+    ]
+
+
 def route_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to store, and control rows that delete stored ones.
 
     Takes valid rows; see :func:`split_valid`.
     """
     routed = with_routing(raw)
-    kind = F.col("type")
-    deletion = kind.eqNullSafe(F.lit("message")) & F.col("subtype").eqNullSafe(F.lit(MESSAGE_DELETED))
-    removal = kind.eqNullSafe(F.lit(REACTION_REMOVED))
-    upserts = routed.filter(~(deletion | removal)).select(*_RAW)
-    control = routed.filter(deletion | removal).select(
-        F.when(removal, REACTION_REMOVED).otherwise(MESSAGE_DELETED).alias("kind"),
-        "event_time",
-        F.when(removal, F.col("item_ts")).otherwise(F.col("deleted_ts")).alias("target_ts"),
-        F.when(removal, F.col("reaction")).alias("reaction"),
-        F.when(removal, F.col("user")).alias("user"),
-    )
-    return upserts, control
+    control = _is_deletion() | _is_removal()
+    return routed.filter(~control).select(*_RAW), routed.filter(control).select(*_control_fields())
+
+
+def tagged_events(raw: DataFrame) -> DataFrame:
+    """Every raw row with one verdict, from one parse: a ``tag`` and, in ``change``, what a control row deletes.
+
+    Tags are ``store``, ``control``, ``rejected`` (no usable timestamp) and ``malformed`` (no
+    JSON). Each row has exactly one, so the four add up to the input. A row without a payload is stored.
+    """
+    control = _is_deletion() | _is_removal()
+    tag = F.when(~F.col("well_formed"), "malformed").when(~_valid(), "rejected").when(control, "control").otherwise("store")
+    rows = judged_events(raw).select(*_RAW, "well_formed", *_routing())
+    return rows.select(*_RAW, tag.alias("tag"), F.when(tag == "control", F.struct(*_control_fields())).alias("change"))
 
 
 @dataclass(frozen=True)

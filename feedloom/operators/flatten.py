@@ -23,18 +23,22 @@ def malformed(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("raw_event").isNotNull() & F.try_parse_json("raw_event").isNull())
 
 
-def parsed_events(raw: DataFrame, mode: str = "permissive") -> DataFrame:
-    """One parse per row, as a struct column ``ev``.
+def judged_events(raw: DataFrame, mode: str = "permissive") -> DataFrame:
+    """One parse per row, as a struct column ``ev``, and whether the payload is ``well_formed``.
 
     The one-element ``inline`` keeps Catalyst from copying the parse into every
-    filter above it. Malformed rows are left to :func:`malformed`; only rows
-    without any type are put through the JSON validity test.
+    filter above it. Only rows without any type are put through the JSON validity test.
     """
     parsed = F.struct(parse_event(F.col("raw_event"), mode).alias("ev"))
     rows = raw.select("id", "event_time", "raw_event", F.inline(F.array(parsed)))
     typed = F.col("ev.type").isNotNull() | F.col("ev.event.type").isNotNull()
     valid = F.col("raw_event").isNull() | F.try_parse_json("raw_event").isNotNull()
-    return rows.filter(typed | valid)
+    return rows.withColumn("well_formed", typed | valid)
+
+
+def parsed_events(raw: DataFrame, mode: str = "permissive") -> DataFrame:
+    """The well-formed rows of :func:`judged_events`; the others are left to :func:`malformed`."""
+    return judged_events(raw, mode).filter("well_formed").drop("well_formed")
 
 
 def _inner(name: str) -> Column:

@@ -41,24 +41,21 @@ def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Col
     return _tallied(text, lambda t: t.isin(positive + negative), lambda t: t.isin(positive))
 
 
-def _slot(token: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+def _table_score(text: Column, words: list) -> Column:
+    """:func:`lexicon_score` with the words in a hash table of short lists, one constant of the plan.
 
-
-def _table_score(text: Column, words: list, slots: int) -> Column:
-    """:func:`lexicon_score` with the words in a hash table of ``slots`` short lists, one constant of the plan.
-
-    ``words`` are rows of token, whether it is positive, and slot. A word is compared with those
+    ``words`` are rows of token, whether it is positive, and hash. A word is compared with those
     of its slot only, and no row is moved, so it serves batches and streams alike.
     """
+    slots = 1 << len(words).bit_length()
 
     def among(up: bool) -> Callable[[Column], Column]:
         lists: list[list[str]] = [[] for _ in range(slots)]
         for word in words:
             if not up or word["up"]:
-                lists[word["slot"]].append(word["token"])
+                lists[word["hash"] % slots].append(word["token"])
         table = F.from_json(F.lit(json.dumps(lists, ensure_ascii=False)), "array<array<string>>")
-        return lambda t: F.array_contains(F.get(table, _slot(t, slots)), t)
+        return lambda t: F.array_contains(F.get(table, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")), t)
 
     return _tallied(text, among(False), among(True))
 
@@ -106,11 +103,9 @@ def score_sentiment(
     entries = lexicon.filter(F.col("token").isNotNull() & (F.col("polarity") != 0))
     listed = entries.groupBy("token").agg((F.max("polarity") > 0).alias("up"))
     if small_enough(listed):
-        size = listed.count()
-        slots = 1 << max(0, size).bit_length()
-        words = listed.select("token", "up", _slot(F.col("token"), slots).alias("slot")).collect()
-        if size > INLINE_LEXICON:
-            return df.withColumn(out, _table_score(F.col(text_col), words, slots))
+        words = listed.select("token", "up", F.xxhash64("token").alias("hash")).collect()
+        if len(words) > INLINE_LEXICON:
+            return df.withColumn(out, _table_score(F.col(text_col), words))
         positive = [w["token"] for w in words if w["up"]]
         return df.withColumn(out, lexicon_score(F.col(text_col), positive, [w["token"] for w in words if not w["up"]]))
     if df.isStreaming:

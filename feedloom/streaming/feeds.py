@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedloom import schemas
 from feedloom.functions.feedback import is_opinionated, sentiment_category, thread_id
 from feedloom.functions.time import weekly_window
-from feedloom.operators.changes import apply_changes, route_events, split_valid
+from feedloom.operators.changes import apply_changes, tagged_events
 from feedloom.operators.flatten import base_events
 from feedloom.operators.incremental import latest_per_key
 from feedloom.operators.sentiment import posts
@@ -36,9 +37,8 @@ def _batch_writer(out: str) -> Callable[[DataFrame, int], None]:
 
 
 def _stored(spark: SparkSession, source: str, max_files: int | None) -> DataFrame:
-    """Valid events that are to be stored, as a stream."""
-    valid, _ = split_valid(stream_raw_events(spark, source, max_files=max_files))
-    return route_events(valid)[0]
+    """Valid events that are to be stored, as a stream. :class:`ChangeLog` keeps the others too."""
+    return tagged_events(stream_raw_events(spark, source, max_files=max_files)).filter("tag = 'store'").select(*schemas.RAW_SCHEMA.names)
 
 
 def stream_base(spark: SparkSession, source: str, out: str, max_files: int | None = None) -> DataFrame:
@@ -59,9 +59,10 @@ def stream_deduplicated(
 
 
 class ChangeLog:
-    """Two append-only tables, stored events and deletions, merged when read.
+    """Append-only tables, stored events and deletions, merged when read, and dead letters.
 
-    A deletion only touches rows stored no later than itself, so applying all
+    Each event is parsed once and goes to one table: those without a usable timestamp and those
+    that are no JSON go to the dead letters, so nothing that arrives is lost. A deletion only touches rows stored no later than itself, so applying all
     deletions at once gives what applying them one by one would. Batches append
     to the log instead of rewriting the events; :meth:`compact` does that when
     it pays.
@@ -72,14 +73,18 @@ class ChangeLog:
         self.path = path
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        tagged = tagged_events(batch).persist()
+        raw = schemas.RAW_SCHEMA.names
+        parts = {
+            "stored": tagged.filter("tag = 'store'").select(*raw),
+            "control": tagged.filter("tag = 'control'").select("change.*"),
+            "dead": tagged.filter("tag IN ('rejected', 'malformed')").select(*raw, "tag"),
+        }
         try:
-            valid, _ = split_valid(batch)
-            stored, control = route_events(valid)
-            stored.write.mode("overwrite").parquet(f"{self.path}/stored/batch={batch_id}")
-            control.write.mode("overwrite").parquet(f"{self.path}/control/batch={batch_id}")
+            for name, rows in parts.items():
+                rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            tagged.unpersist()
 
     def _read(self, name: str, schema) -> DataFrame:
         rows = read_table(self.spark, f"{self.path}/{name}", schema)
@@ -91,14 +96,19 @@ class ChangeLog:
     def control(self) -> DataFrame:
         return self._read("control", schemas.CONTROL_SCHEMA)
 
+    def dead(self) -> DataFrame:
+        """Events that could not be used, with the ``tag`` that says why."""
+        return self._read("dead", StructType(schemas.RAW_SCHEMA.fields).add("tag", "string"))
+
     def current(self, match_user: bool = False) -> DataFrame:
         """Stored events that no deletion has removed."""
         return apply_changes(self.stored(), self.control(), match_user)
 
     def compact(self, path: str) -> ChangeLog:
-        """Write the current events and the deletions as a new log."""
+        """Write the current events, the deletions and the dead letters as a new log."""
         self.current().write.parquet(f"{path}/stored/batch=-1")
         self.control().write.parquet(f"{path}/control/batch=-1")
+        self.dead().write.parquet(f"{path}/dead/batch=-1")
         return ChangeLog(self.spark, path)
 
 

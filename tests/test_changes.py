@@ -100,3 +100,21 @@ def test_update_columns_never_inserts(spark):
 def test_anonymise(spark):
     df = spark.createDataFrame([("hi", "U1")], "text string, user string")
     assert rows(changes.anonymise(df), "text", "user", "bot_id") == [("Anonymous feedback: hi", None, "B1")]
+
+
+def test_every_event_has_one_verdict(spark):
+    events = [
+        (1, None, post("1.0")), (2, None, post("none")), (3, None, reaction("3.0", "x")), (4, None, "{broken"), (5, None, None),
+        (6, None, post("6.0", subtype="message_deleted", previous_message={"ts": "1.0"})), (7, None, "17"), (8, None, ""),
+        (9, None, reaction("9.0", "1.0", kind="reaction_removed")), (10, None, reaction("9.0", "1.0", kind="reaction_removed") | {"item": None}),
+    ]
+    tagged = changes.tagged_events(raw(spark, events)).collect()
+    want = {1: "store", 2: "rejected", 3: "rejected", 4: "malformed", 5: "store", 6: "control", 7: "store", 8: "malformed", 9: "control", 10: "rejected"}
+    assert {r.id: r.tag for r in tagged} == want and len(tagged) == len(events)
+    assert {r.id: (r.change.kind, r.change.target_ts) for r in tagged if r.change} == {6: ("message_deleted", "1.0"), 9: ("reaction_removed", "1.0")}
+
+
+def test_verdicts_parse_each_payload_once(spark):
+    df = changes.tagged_events(raw(spark, [(1, None, post("1.0"))]))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
