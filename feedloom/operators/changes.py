@@ -140,10 +140,10 @@ def removals(control: DataFrame, match_user: bool = False, hot_rows: int = HOT_R
     return Removals(messages, reactions, small_enough(last, BROADCAST_ROWS), hot_rows)
 
 
-def _mark(keyed: DataFrame, gone: DataFrame, known: Removals) -> DataFrame:
+def _mark(keyed: DataFrame, gone: DataFrame, known: Removals, narrow: DataFrame | None) -> DataFrame:
     """Add the deletion time of each row's key, NULL if it has none."""
     keys, added = gone.columns[:-1], gone.columns[-1]
-    marked = join_unique(keyed, gone, keys, "left", "id", known.hot_rows, known.small)
+    marked = join_unique(keyed, gone, keys, "left", "id", known.hot_rows, known.small, narrow)
     hit = F.coalesce(F.col("event_time") <= F.col(added), F.lit(False))
     return marked.withColumn("_removed", F.col("_removed") | hit).drop(added)
 
@@ -155,13 +155,13 @@ def mark_removed(
 
     ``keyed`` has the columns ``_ts``, ``_item_ts``, ``_reaction`` and ``_user``.
     """
-    if not known.small:
-        keyed = stage(keyed, "keyed")  # hot keys are searched before the joins
+    # Hot keys are searched before the joins, on the key columns alone.
+    narrow = None if known.small else stage(keyed.select("_ts", "_item_ts", "_reaction", "_user"), "keys")
     marked = keyed.withColumn("_removed", F.lit(False))
     if messages:
-        marked = _mark(marked, known.messages, known)
+        marked = _mark(marked, known.messages, known, narrow)
     if reactions:
-        marked = _mark(marked, known.reactions, known)
+        marked = _mark(marked, known.reactions, known, narrow)
     return marked
 
 

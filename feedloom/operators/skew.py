@@ -87,6 +87,7 @@ def join_unique(
     spread: str = "id",
     hot_rows: int = HOT_ROWS,
     small_right: bool = False,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """Left or inner equi-join with a right side that is unique on ``on``.
 
@@ -95,7 +96,8 @@ def join_unique(
     NULL key cannot match; each gets a key of its own so that they spread over
     all tasks. A left key with too many rows is split over salts, and its single
     right row is repeated once per salt. ``spread`` is a left column that varies
-    between the rows of one key.
+    between the rows of one key. Heavy keys are counted on ``narrow``, where the caller has stored
+    the key columns of ``left`` on their own, so that ``left`` is read only by the join.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -109,7 +111,8 @@ def join_unique(
     lookup = right.filter(~any_null(on)).select(_fused(on).alias("_right"), *extra)
     match = (F.col("_key") == F.col("_right")) & F.col("_ok")
 
-    hot = heavy_keys(keyed.filter("_ok"), "_key", hot_rows)
+    known = keyed if narrow is None else narrow.withColumns({"_ok": ~any_null(on), "_key": _fused(on)})
+    hot = heavy_keys(known.filter("_ok"), "_key", hot_rows)
     if not hot.limit(1).count():
         return keyed.join(lookup, match, how).select(*left.columns, *extra)
 

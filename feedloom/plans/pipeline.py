@@ -16,7 +16,7 @@ from feedloom.operators.changes import Removals, delete_flattened, mark_flattene
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key
 from feedloom.operators.sentiment import posts
-from feedloom.operators.skew import HOT_ROWS
+from feedloom.operators.skew import HOT_ROWS, anti_join
 from feedloom.plans.marts import Events, post_summary, thread_reconstruction, weighted_posts
 from feedloom.session import stage
 from feedloom.sources.snapshots import Snapshots, folder_of
@@ -148,8 +148,8 @@ def load_events(
 ) -> None:
     """Bring base, posts, replies and reactions up to date with ``raw``, as one new version.
 
-    Only rows from the base table's high-water mark on, and those without a time,
-    are parsed and scored; the merge by id takes each once. With ``inclusive`` off
+    Only rows from the base table's high-water mark on, and those without a time whose id
+    is new, are parsed and scored; the merge by id takes each once. With ``inclusive`` off
     rows tied with the mark count as loaded. After a failure the store is as before
     and the run can be repeated. ``control`` deletes from the new rows
     and, unless ``propagate_deletes`` is off, from the tables loaded earlier.
@@ -158,6 +158,15 @@ def load_events(
         _load(store, raw, scorer, control, propagate_deletes, match_user, inclusive, strict_null_hwm, hot_rows)
 
 
+def _not_loaded(raw: DataFrame, base: DataFrame | None, inclusive: bool, strict_null_hwm: bool) -> DataFrame:
+    """Rows from the high-water mark on, and rows without a time whose id is not there yet."""
+    if base is None or strict_null_hwm:
+        return newer_than(raw, base, "event_time", strict_null_hwm, inclusive, keep_null=True)
+    timed = newer_than(raw.filter(F.col("event_time").isNotNull()), base, "event_time", inclusive=inclusive)
+    loaded = base.filter(F.col(WEEK) == F.lit(NO_TIME).cast("date"))
+    return timed.unionByName(anti_join(raw.filter(F.col("event_time").isNull()), loaded, ["id"]))
+
+
 def _load(
     store: Store,
     raw: DataFrame,
@@ -178,7 +187,7 @@ def _load(
         if propagate_deletes and control is not None:
             for name in ("posts", "replies", "reactions", "base"):
                 _purge(store, name, known)
-    fresh = newer_than(raw, store.find("base"), "event_time", strict_null_hwm, inclusive, keep_null=True)
+    fresh = _not_loaded(raw, store.find("base"), inclusive, strict_null_hwm)
     base = one_per_key(stage(_with_week(base_events(fresh)), "fresh"), ["id"])
     base = stage(base if known is None else delete_flattened(base, known), "base")
     incoming = {

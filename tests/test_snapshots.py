@@ -1,11 +1,14 @@
 """Versions of the store: readers see one whole version, dead runs leave none."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from feedloom.operators import changes
 from feedloom.operators.sentiment import lexicon_scorer
 from feedloom.plans import pipeline
+from feedloom.session import stage
 from feedloom.sources.snapshots import Conflict
-from tests.events import control, lexicon, raw, rows
+from tests.events import control, lexicon, post, raw, rows
 from tests.test_pipeline import DELETES, EVENTS, contents
 
 
@@ -72,3 +75,27 @@ def test_unchanged_weeks_keep_their_folders_and_old_versions_expire(spark, score
     whole = contents(store)
     store.snapshots.expire(keep=1)
     assert store.snapshots.versions() == [2] and contents(pipeline.Store(spark, str(tmp_path))) == whole
+
+
+def test_rows_without_a_time_are_scored_once(spark, tmp_path):
+    texts = []
+
+    def counting(df):
+        texts.append(sorted(r[0] for r in df.select("event_text").collect()))
+        return df.withColumn("sentiment_score", F.lit(1.0))
+
+    store = pipeline.Store(spark, str(tmp_path))
+    timeless = [(20, None, post("20.0", "twenty")), (21, None, post("21.0", "twenty-one"))]
+    for events in (EVENTS[:1] + timeless[:1], EVENTS[:1] + timeless):
+        pipeline.load_events(store, raw(spark, events), counting)
+    assert "twenty" in texts[0] and "twenty-one" in texts[1] and "twenty" not in texts[1]
+    assert [r[0] for r in rows(store.read("base").filter("event_time IS NULL"), "id")] == [20, 21]
+
+
+def test_marking_stores_narrow_keys_only(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(changes, "small_enough", lambda *a: False)
+    monkeypatch.setattr(changes, "stage", lambda df, label: staged.append(df.columns) or stage(df, label))
+    kept = changes.apply_changes(raw(spark, EVENTS), control(spark, DELETES), hot_rows=1)
+    assert [r[0] for r in rows(kept, "id")] == [1, 3, 5, 6, 7, 8]
+    assert staged and all("raw_event" not in columns for columns in staged)
