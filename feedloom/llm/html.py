@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -46,10 +47,14 @@ HINTS = frozenset(
     "respond replies related recommended share sharing social newsletter subscribe subscription signup login search pagination pager".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-# A tag that the end of the page cuts off.
-_TORN = re.compile(r"</?[a-zA-Z][^<>]*\Z|<[!/]?\Z")
+# A tag without its ">" ends at the next "<" or with the page, and a quote that nothing closes is a character like
+# others. So every character is read once, but for one closing quote of each kind sought in vain.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</?\Z|"""
+    r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|(?=<)|\Z)""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,12 +72,12 @@ def _chrome(name: str, attributes: str, article: bool) -> bool:
     return False
 
 
-def _svg_end(page: str, at: int, names: frozenset[str]) -> int:
+def _svg_end(page: str, at: int, around: Counter[str]) -> int:
     """Where an svg ends whose content begins at ``at``: after its end tag, or before a tag that leaves it.
 
-    These are the start tags of ``LEAVE_SVG`` and the end tags of ``names``, the elements around it.
+    These are the start tags of ``LEAVE_SVG`` and the end tags of ``FLAT`` elements and those ``around`` it.
     """
-    depth, inner = 1, []
+    depth, inner, held = 1, [], Counter()
     for tag in _TAG.finditer(page, at):
         name = (tag[2] or "").lower()
         if not name or tag[3].endswith("/"):
@@ -80,17 +85,27 @@ def _svg_end(page: str, at: int, names: frozenset[str]) -> int:
         if name in HOLD_HTML:
             if not tag[1]:
                 inner.append(name)
-            elif name in inner:
-                del inner[inner.index(name) :]
+                held[name] += 1
+            elif held[name] > 0:
+                _close(inner, held, name)
         elif name == "svg":
             depth += -1 if tag[1] else 1
             if not depth:
                 return tag.end()
-        elif not inner and (name in names if tag[1] else name in LEAVE_SVG):
+        elif not inner and (name in FLAT or around[name] > 0 if tag[1] else name in LEAVE_SVG):
             return tag.start()
     return len(page)
 
 
+def _close(names: list[str], held: Counter[str], name: str) -> None:
+    """Take the last ``name``, and all opened after it, off the open ``names``, which ``held`` counts."""
+    while True:
+        last = names.pop()
+        held[last] -= 1
+        if last == name:
+            return
+
+
 def _object_ends(page: str) -> dict[int, int]:
     """Where the content of each closed object begins and where the object ends."""
     ends, opened = {}, []
@@ -111,11 +126,14 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     stray tags are taken as browsers do in simple cases: an end tag closes what is open
     above its partner, one without partner closes nothing. An svg ends at the latest where
     a block follows or an element around it ends; what follows an unclosed object is text of the page.
+    The time is linear in the page, torn tags, open quotes, deep nesting and stray end tags included.
     """
     if not page:
         return []
     found: list[tuple[str, int, bool, bool, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []
+    open_tags: list[str] = []
+    held: Counter[str] = Counter()
+    outside: list[tuple[bool, bool]] = []
     article = chrome = False
     parts: list[str] = []
     linked: list[str] = []
@@ -139,7 +157,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
     while at < end:
         tag = _TAG.search(page, at)
         if tag is None:
-            add(_TORN.sub("", page[at:]))
+            add(page[at:])
             break
         if tag.start() > at:
             add(page[at : tag.start()])
@@ -159,25 +177,25 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, bool, bool]]:
         if name in RAW and not tag[1]:
             if not tag[3].endswith("/") or name in ("script", "style", "title"):
                 if name == "svg":
-                    at = _svg_end(page, at, FLAT.union(t[0] for t in open_tags))
+                    at = _svg_end(page, at, held)
                 elif name == "object":
                     objects = _object_ends(page) if objects is None else objects
                     at = objects.get(at, at)
                 else:
-                    stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                    stop = re.compile(rf"</{name}\b[^<>]*+(?:>|(?=<)|\Z)", re.I).search(page, at)
                     at = stop.end() if stop else end
         elif name not in VOID and name not in FLAT:
             if not tag[1]:
                 if not tag[3].endswith("/"):
-                    open_tags.append((name, article, chrome))
+                    open_tags.append(name)
+                    held[name] += 1
+                    outside.append((article, chrome))
                     chrome = chrome or _chrome(name, tag[3], article)
                     article = article or name in ("article", "main")
-            else:
-                for n in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[n][0] == name:
-                        _, article, chrome = open_tags[n]
-                        del open_tags[n:]
-                        break
+            elif held[name] > 0:
+                _close(open_tags, held, name)
+                article, chrome = outside[len(open_tags)]
+                del outside[len(open_tags) :]
     close()
     return found
 

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -199,6 +200,38 @@ def test_text_after_unclosed_svg_or_object_is_kept():
     assert texts("a<svg><foreignObject><div>drawn</div></foreignObject></svg>b") == ["a", "b"]
 
 
+MEGA = 1_000_000
+TORN = {
+    "torn tags": "<a " * (MEGA // 3),
+    "torn tags with quotes": '<a href="' * (MEGA // 9),
+    "two kinds of quotes": "<a b='\"" * (MEGA // 7),
+    "a long name": "<" + "a" * MEGA,
+    "a long attribute": "<div " + "a" * MEGA + ">",
+    "a torn end of a script": "<script>" + "</script " * (MEGA // 9),
+    "deep": "<div><svg></svg>" * (MEGA // 16),
+    "ends without a start": "<div>" * (MEGA // 10) + "</section>" * (MEGA // 20),
+    "brackets": "<" * MEGA,
+}
+
+
+@pytest.mark.parametrize("name", TORN)
+def test_long_torn_pages_take_linear_time(name):
+    start = time.process_time()
+    found = html.blocks(TORN[name] + "<p>the end of it</p>")
+    assert time.process_time() - start < 10  # measured: 0.8 s at most
+    assert found[-1][0].endswith("the end of it")
+
+
+def test_torn_tags_and_quotes_lose_no_text():
+    texts = lambda page: [b[0] for b in html.blocks(page)]
+    assert texts("<p>one</p><div <p>two</p>") == ["one", "two"]
+    assert texts('<p>one</p><p class="x>two</p><p>three') == ["one", "two", "three"]
+    assert texts('<p title="a > b" lang=\'<\'>one</p>') == ["one"]
+    assert texts("<p>it's <b class=x'y>bold</b> isn't</p>") == ["it's bold isn't"]
+    assert texts("<p>1 < 2</p><p>3 <4 </") == ["1 < 2", "3 <4"]
+    assert texts("<p>one</p><a href='x") == ["one"]
+
+
 def test_urls_of_odd_tables(spark):
     rows = [
         (1, "http://A.Example.ORG/es/x?y", "org/", "block"),
