@@ -10,39 +10,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import map_arrow, record, slices
+from feedloom.llm.common import laid, map_arrow, record, slices
+from feedloom.llm.licence_texts import GNU_KINDS, GNU_NOTICE, NOTICES, PARAGRAPHS, SPDX_ONLY, WHOLE
 from feedloom.session import stage
 
-# Notices and headers as licensors word them (fixed values).
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),  # noqa: E501
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),  # noqa: E501
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),  # noqa: E501
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),  # noqa: E501
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0"),
-    ("Proprietary", "All rights reserved."),
-)
-
-# A block carries a licence at this cosine; a file is a licence file if such blocks hold this share of its words.
+# A block carries a notice at this cosine; an SPDX line must hold the words of the identifier and no others.
 LEAST_COSINE = 0.7
+SPDX_COSINE = 0.999
+# A file holds a licence's own text if the mean cosine of its best blocks to the licence's paragraphs, or its whole
+# text's to a short licence, is this. It is a licence file, too, if notices hold this share of its words.
+TEXT_COSINE = 0.7
+WHOLE_COSINE = 0.8
 FILE_SHARE = 0.2
+# The notice that names no licence.
+RESERVED = "Proprietary"
+# Names of files that are for a whole directory.
+FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([._-][^/]*)?$"
+# Words and blocks looked at together.
+GROUP_WORDS = 400_000
+GROUP_BLOCKS = 4096
 
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_TOKEN = re.compile(_WORD.pattern + "|\n")
 _COUNTS = pa.schema([("word", pa.int32()), ("n", pa.int64())])
 _FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("path", pa.string()), ("licence", pa.string()), ("cosine", pa.float64()), ("licence_words", pa.int64()), ("n_words", pa.int64())]
+    [("doc_id", pa.int64()), ("path", pa.string()), ("licence", pa.string()), ("cosine", pa.float64())]
+    + [("licence_words", pa.int64()), ("n_words", pa.int64()), ("is_text", pa.bool_())]
 )
 
 
@@ -50,8 +43,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in words(t)}))
+def _templates() -> list[tuple[str, str, str]]:
+    """Kind, licence and wording of every template."""
+    listed = [("notice", name, text) for name, text in NOTICES]
+    listed += [("notice", name, GNU_NOTICE.format(kind, version)) for name, kind, version in GNU_KINDS]
+    for name in dict.fromkeys([*WHOLE, *PARAGRAPHS, *SPDX_ONLY]):
+        forms = ("", "-only", "-or-later") if "GPL-" in name else ("",)
+        listed += [("spdx", name, f"SPDX-License-Identifier: {name}{form}") for form in forms]
+    listed += [("paragraph", name, text) for name, texts in PARAGRAPHS.items() for text in texts]
+    return listed + [("whole", name, "\n".join(texts)) for name, texts in WHOLE.items()]
+
+
+TEMPLATES = _templates()
+VOCABULARY = tuple(sorted({w for _, _, t in TEMPLATES for w in words(t)}))
 _CODE = {w: n for n, w in enumerate(VOCABULARY)}
+_OTHER, _BREAK = -1, -2
+_TOKEN_CODE = _CODE | {"\n": _BREAK}
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -78,76 +85,134 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Matcher:
-    """Cosine of blocks to the templates. Words of no template count as the rarest there can be."""
+    """Cosine of texts to the templates. Words of no template count as the rarest there can be, each different."""
 
     def __init__(self, frequencies: np.ndarray, total: int):
         self.idf = np.log((1 + total) / (1 + frequencies)) + 1
         self.rare = float(np.log(1 + total) + 1)
         self.vectors = np.zeros((len(VOCABULARY), len(TEMPLATES)))
-        for n, (_, text) in enumerate(TEMPLATES):
+        for n, (_, _, text) in enumerate(TEMPLATES):
             for w in words(text):
                 self.vectors[_CODE[w], n] += self.idf[_CODE[w]]
         self.vectors /= np.linalg.norm(self.vectors, axis=0)
-
-    def best(self, listed: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Cosine and number of the nearest template for each block of words; ties go to the first."""
-        sizes = np.array([len(b) for b in listed], np.int64)
-        codes = np.array([_CODE.get(w, -1) for b in listed for w in b], np.int64)
-        block = np.repeat(np.arange(len(listed)), sizes)
-        known = codes >= 0
-        counts = np.zeros((len(listed), len(VOCABULARY)))
-        np.add.at(counts, (block[known], codes[known]), 1)
-        counts *= self.idf
-        # Other words are taken as all different.
-        others = np.bincount(block[~known], minlength=len(listed)) * self.rare**2
-        norm = np.sqrt((counts**2).sum(axis=1) + others)
-        cosine = (counts @ self.vectors) / np.maximum(norm, 1e-12)[:, None]
-        top = np.argmax(np.round(cosine, 9), axis=1)
-        return cosine[np.arange(len(listed)), top], top
-
-
-def _blocks(text: str) -> tuple[int, list[list[str]]]:
-    """Number of words, and as words the lines and the paragraphs of several lines between blank ones."""
-    found, total = [], 0
-    for paragraph in re.split(r"\n[^\S\n]*\n", text):
-        lines = [w for w in (words(line) for line in paragraph.split("\n")) if w]
-        found += lines
-        total += sum(map(len, lines))
-        if len(lines) > 1:
-            found.append([w for line in lines for w in line])
-    return total, found
-
-
-def scan(docs: DataFrame, path: Column, matcher: Matcher, least: float = LEAST_COSINE) -> DataFrame:
-    """Per document: ``path``, ``dir``, best ``licence`` and ``cosine``, words in licence blocks and all words.
-
-    Every line and paragraph of the whole text is compared, so a header is found wherever
-    it stands. Blocks that share no word with a template are passed over. Ties go to the
-    template that comes first, then to the block that does.
+        kinds = np.array([kind for kind, _, _ in TEMPLATES])
+        self.least = np.select([kinds == "notice", kinds == "spdx"], [LEAST_COSINE, SPDX_COSINE], 2.0)
+        self.noticed, self.paragraphs, self.whole = (np.flatnonzero(k) for k in (self.least < 2, kinds == "paragraph", kinds == "whole"))
+        # Mean over the paragraphs of each long licence.
+        self.long = tuple(PARAGRAPHS)
+        owner = np.array([self.long.index(TEMPLATES[n][1]) for n in self.paragraphs])
+        self.mean = (owner[:, None] == np.arange(len(self.long))) / np.bincount(owner)
+
+    def cosines(self, block: np.ndarray, code: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of blocks and their cosines to all templates, in groups; ``code`` is a word of ``block``.
+
+        A block's cosine is at most the share that template words have of its length, so
+        blocks are left out whose share is under every threshold.
+        """
+        known = code >= 0
+        key, count = np.unique(block[known] * len(VOCABULARY) + code[known], return_counts=True)
+        at, word = np.divmod(key, len(VOCABULARY))
+        weight = count * self.idf[word]
+        inside = np.bincount(at, weight**2, minlength=n)
+        norm = inside + np.bincount(block[~known], minlength=n) * self.rare**2
+        left = np.flatnonzero((inside > 0) & (inside >= (min(LEAST_COSINE, WHOLE_COSINE) - 1e-9) ** 2 * norm))
+        ends = np.searchsorted(at, left, side="right")
+        starts = np.searchsorted(at, left)
+        for low in range(0, len(left), GROUP_BLOCKS):
+            some = left[low : low + GROUP_BLOCKS]
+            start, length = starts[low : low + GROUP_BLOCKS], (ends - starts)[low : low + GROUP_BLOCKS]
+            dense = np.zeros((len(some), len(VOCABULARY)))
+            row = np.repeat(np.arange(len(some)), length)
+            dense[row, laid(word, start, length)] = laid(weight, start, length)
+            yield some, np.round(dense @ self.vectors / np.sqrt(norm[some])[:, None], 9)
+
+    def judge(self, texts: list[np.ndarray]) -> list[tuple[str | None, float, int, int, bool]]:
+        """For each text of word codes: licence, cosine, words in notices, all words, whether it is the licence's own text."""
+        line_ends = np.array([np.count_nonzero(t == _BREAK) + 1 for t in texts], np.int64)
+        codes = np.concatenate([part for t in texts for part in (t, [_BREAK])]).astype(np.int64)
+        ended = codes == _BREAK
+        line = (np.cumsum(ended) - ended)[~ended]
+        code = codes[~ended]
+        n_lines = int(line_ends.sum())
+        doc = np.repeat(np.arange(len(texts)), line_ends)
+        size = np.bincount(line, minlength=n_lines)
+        first = np.zeros(n_lines, bool)
+        first[np.cumsum(line_ends) - line_ends] = True
+        # A line without words, such as one that only marks a comment, ends a paragraph.
+        paragraph = np.cumsum(first | (size == 0)) - 1
+        several = np.bincount(paragraph[size > 0], minlength=paragraph[-1] + 1) > 1
+        shared = several[paragraph[line]]
+        whole_from = n_lines + len(several)
+        block = np.concatenate((line, n_lines + paragraph[line][shared], whole_from + doc[line]))
+        paragraph_doc = doc[np.flatnonzero(first | (size == 0))]
+        block_doc = np.concatenate((doc, paragraph_doc, np.arange(len(texts))))
+
+        notices = np.zeros((len(texts), len(TEMPLATES)))
+        hit = np.zeros(whole_from, bool)
+        best = np.zeros((len(texts), len(TEMPLATES)))
+        for some, cosine in self.cosines(block, np.concatenate((code, code[shared], code)), whole_from + len(texts)):
+            whole = some >= whole_from
+            np.maximum.at(best, some[whole] - whole_from, np.where(np.isin(np.arange(len(TEMPLATES)), self.whole), cosine[whole], 0.0))
+            part, cosine = some[~whole], cosine[~whole]
+            over = cosine >= self.least
+            hit[part[over.any(axis=1)]] = True
+            top = np.argmax(np.where(over, cosine, 0.0), axis=1)
+            kept = over.any(axis=1)
+            np.maximum.at(notices, (block_doc[part[kept]], top[kept]), cosine[np.arange(len(part)), top][kept])
+            near = np.flatnonzero((cosine[:, self.paragraphs] >= LEAST_COSINE).any(axis=1))
+            np.maximum.at(best, (block_doc[part[near]][:, None], self.paragraphs), np.where(cosine >= LEAST_COSINE, cosine, 0.0)[near][:, self.paragraphs])
+        return self._verdicts(notices, best, np.bincount(doc, size * (hit[:n_lines] | hit[n_lines + paragraph])), np.bincount(doc, size))
+
+    def _verdicts(self, notices: np.ndarray, best: np.ndarray, held: np.ndarray, sizes: np.ndarray) -> list[tuple[str | None, float, int, int, bool]]:
+        """A licence's own text goes before notices, and notices of a named licence before reserved rights."""
+        long = np.round(best[:, self.paragraphs] @ self.mean, 9)
+        found = []
+        for n in range(len(notices)):
+            own = [(-c, at, name) for at, (c, name) in enumerate(zip(long[n], self.long, strict=True)) if c >= TEXT_COSINE]
+            own += [(-best[n, t], t, TEMPLATES[t][1]) for t in self.whole if best[n, t] >= WHOLE_COSINE]
+            noted = [(TEMPLATES[t][1] == RESERVED, -notices[n, t], t) for t in np.flatnonzero(notices[n])]
+            if own:
+                cosine, _, name = min(own)
+            else:
+                _, cosine, t = min(noted, default=(False, 0.0, None))
+                name = None if t is None else TEMPLATES[t][1]
+            found.append((name, round(abs(float(cosine)), 6), int(held[n]), int(sizes[n]), bool(own)))
+        return found
+
+
+def coded(text: str | None) -> np.ndarray:
+    """Codes of the words and line ends of a text."""
+    return np.array([_TOKEN_CODE.get(w, _OTHER) for w in _TOKEN.findall((text or "").lower())], np.int32)
+
+
+def scan(docs: DataFrame, path: Column, matcher: Matcher) -> DataFrame:
+    """Per document: ``path``, ``dir``, best ``licence`` and ``cosine``, words in notices, all words, ``is_licence_file``.
+
+    Every line and paragraph of the whole text is compared with notices and SPDX
+    identifiers, so a header is found wherever it stands; paragraphs with those of
+    long licences and the whole text with short ones, so that licence files are told by their own text.
+    Of several licences the one whose text it is goes first, then the nearest notice, reserved rights last; ties go to
+    the template that comes first.
     """
     sent = docs.sparkSession.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            names, scores, held, sizes = [], [], [], []
+            found, texts = [], []
             for value in batch.column(2):
-                lines, found = _blocks(value.as_py() or "")
-                cut = [b for b in found if not _CODE.keys().isdisjoint(b)]
-                cosine, top = sent.value.best(cut) if cut else (np.zeros(0), np.zeros(0, int))
-                hit = np.flatnonzero(cosine >= least)
-                first = hit[np.lexsort((hit, top[hit], -np.round(cosine[hit], 9)))[0]] if len(hit) else None
-                names.append(None if first is None else TEMPLATES[top[first]][0])
-                scores.append(0.0 if first is None else round(float(cosine[first]), 6))
-                held.append(min(lines, sum(len(cut[n]) for n in hit)))
-                sizes.append(lines)
-            columns = {"doc_id": batch.column(0), "path": batch.column(1), "licence": names, "cosine": scores}
-            yield record(_FOUND, columns | {"licence_words": held, "n_words": sizes})
+                texts.append(coded(value.as_py()))
+                if sum(map(len, texts)) > GROUP_WORDS:
+                    found += sent.value.judge(texts)
+                    texts = []
+            found += sent.value.judge(texts) if texts else []
+            judged = dict(zip(_FOUND.names[2:], zip(*found, strict=True), strict=True)) if found else dict.fromkeys(_FOUND.names[2:], ())
+            yield record(_FOUND, {"doc_id": batch.column(0), "path": batch.column(1), **judged})
 
     rows = docs.select(F.col("doc_id").cast("long"), path.alias("path"), F.col("text").cast("string"))
-    schema = "doc_id long, path string, licence string, cosine double, licence_words long, n_words long"
-    file = F.col("licence").isNotNull() & (F.col("licence_words") >= FILE_SHARE * F.col("n_words"))
+    schema = "doc_id long, path string, licence string, cosine double, licence_words long, n_words long, is_text boolean"
+    whole = F.col("is_text") | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)) | (F.col("licence_words") >= FILE_SHARE * F.col("n_words"))
     up = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
-    return map_arrow(rows, run, schema).withColumns({"dir": up, "is_licence_file": file})
+    return map_arrow(rows, run, schema).withColumns({"dir": up, "is_licence_file": F.col("licence").isNotNull() & whole}).drop("is_text")
 
 
 def path_of(source: Column, lang: Column, doc_id: Column) -> Column:
@@ -189,7 +254,9 @@ def licences(docs: DataFrame, path: Column | None = None) -> DataFrame:
     Returns doc_id, path, licence (its own, else null), cosine, licence_words, n_words,
     is_licence_file, origin (the directory it inherits from), effective (its own, else the
     inherited one, else null). ``path`` gives a document's path; the default is derived
-    from source, language and doc_id. Inverse document frequencies are counted over all
+    from source, language and doc_id. A licence file has a licence's own text, the name of one
+    (``FILE_NAME``) and a notice, or notices in ``FILE_SHARE`` of its words. An SPDX line names one licence; expressions
+    of several are not taken apart. Inverse document frequencies are counted over all
     documents. Null and empty texts have no licence of their own but inherit. Repeated
     rows are files of their own; other columns are ignored; an empty table gives no rows.
     """
