@@ -15,6 +15,7 @@ from feedloom.functions.time import week_start
 from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key
+from feedloom.operators.score_cache import CACHE_SCHEMA, cached_scores
 from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS, anti_join
 from feedloom.plans.marts import Events, post_summary, thread_reconstruction, weighted_posts
@@ -33,7 +34,7 @@ def _with_week(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Versioned tables: base, posts, replies, reactions, control, summary, threads and weighted.
+    """Versioned tables: base, posts, replies, reactions, control, scores, summary, threads and weighted.
 
     A store shows the version it was opened at, by default the last one, until
     :meth:`refresh`. Changes are made inside :meth:`change`; the store sees its own at once,
@@ -75,7 +76,7 @@ class Store:
         scored = post_rows(base).withColumn("sentiment_score", F.lit(0.0)).select(*schemas.POST_COLUMNS)
         tables = {"base": base, "posts": scored, "replies": replies(base), "reactions": reactions(base)}
         known = {name: _with_week(df).schema for name, df in tables.items()}
-        return {**known, "control": schemas.CONTROL_SCHEMA}
+        return {**known, "control": schemas.CONTROL_SCHEMA, "scores": StructType.fromDDL(CACHE_SCHEMA)}
 
     def find(self, name: str, schema: StructType | None = None) -> DataFrame | None:
         """The table, or None before its first write."""
@@ -145,17 +146,19 @@ def load_events(
     inclusive: bool = True,
     strict_null_hwm: bool = False,
     hot_rows: int = HOT_ROWS,
+    model: str | None = None,
 ) -> None:
     """Bring base, posts, replies and reactions up to date with ``raw``, as one new version.
 
     Only rows from the base table's high-water mark on, and those without a time whose id
     is new, are parsed and scored; the merge by id takes each once. With ``inclusive`` off
     rows tied with the mark count as loaded. After a failure the store is as before
-    and the run can be repeated. ``control`` deletes from the new rows
+    and the run can be repeated. With the name of a ``model``, scores are remembered by text under it, and
+    ``scorer`` sees only texts it has not scored; see :func:`rescore`. ``control`` deletes from the new rows
     and, unless ``propagate_deletes`` is off, from the tables loaded earlier.
     """
     with store.change():
-        _load(store, raw, scorer, control, propagate_deletes, match_user, inclusive, strict_null_hwm, hot_rows)
+        _load(store, raw, scorer, control, propagate_deletes, match_user, inclusive, strict_null_hwm, hot_rows, model)
 
 
 def _not_loaded(raw: DataFrame, base: DataFrame | None, inclusive: bool, strict_null_hwm: bool) -> DataFrame:
@@ -177,6 +180,7 @@ def _load(
     inclusive: bool = True,
     strict_null_hwm: bool = False,
     hot_rows: int = HOT_ROWS,
+    model: str | None = None,
 ) -> None:
     known = None
     if control is not None:
@@ -191,7 +195,7 @@ def _load(
     base = one_per_key(stage(_with_week(base_events(fresh)), "fresh"), ["id"])
     base = stage(base if known is None else delete_flattened(base, known), "base")
     incoming = {
-        "posts": stage(posts(base, scorer), "posts"),
+        "posts": stage(posts(base, _remembering(store, scorer, model)), "posts"),
         "replies": replies(base),
         "reactions": reactions(base),
         "base": base.select(*schemas.BASE_COLUMNS),
@@ -200,6 +204,50 @@ def _load(
         store.merge(name, _with_week(rows), ["id"], WEEK)
 
 
+def _remembering(store: Store, scorer: Callable[[DataFrame], DataFrame], model: str | None) -> Callable[[DataFrame], DataFrame]:
+    """``scorer`` for texts without a score by ``model``, adding what it finds to the store."""
+    if model is None:
+        return scorer
+
+    def scored(rows: DataFrame) -> DataFrame:
+        done, fresh = cached_scores(rows, scorer, store.find("scores"), model)
+        if fresh.limit(1).count():
+            store.append("scores", fresh)
+        return done
+
+    return scored
+
+
+def rescore(store: Store, scorer: Callable[[DataFrame], DataFrame], model: str) -> int:
+    """Give all stored posts the scores of ``model``, week by week; returns how many weeks changed.
+
+    Each week is one new version, so a run that dies can be repeated and goes on where it
+    stopped: texts that ``model`` has scored are not scored again, and weeks whose posts have its scores
+    are not written. Summaries emitted before stay as they are.
+    """
+    table = store.find("posts")
+    if table is None:
+        return 0
+    changed = 0
+    for (week,) in sorted(table.select(WEEK).distinct().collect()):
+        with store.change():
+            rows = store.read("posts").filter(F.col(WEEK) == F.lit(week))
+            done = stage(_remembering(store, scorer, model)(rows.withColumnRenamed("sentiment_score", "_before")), "rescored")
+            if done.filter(~F.col("sentiment_score").eqNullSafe(F.col("_before"))).limit(1).count():
+                store.replace("posts", done.select(*rows.columns), WEEK, [week])
+                changed += 1
+    return changed
+
+
+def compact_scores(store: Store, models: list[str] | None = None) -> None:
+    """Write the remembered scores as one folder, as a new version; with ``models`` only theirs are kept."""
+    table = store.find("scores")
+    if table is not None:
+        with store.change():
+            kept = table if models is None else table.filter(F.col("model").isin(models))
+            store.write("scores", kept)
+
+
 def emit_summaries(
     store: Store,
     now: str | None = None,
