@@ -400,6 +400,7 @@ def _answers() -> dict[str, str]:
             WHERE ts = (SELECT max(ts) FROM events)""",
         "pipeline_run": f"""SELECT id, event_text, round(sentiment_score, 6) AS sentiment_score FROM posts
             WHERE id IN (SELECT id FROM raw WHERE {_SURVIVES_MESSAGE})""",
+        "rescored_posts": "SELECT id, round((length(event_text) % 201) / 100.0 - 1, 6) AS sentiment_score FROM posts",
         "weekly_window": f"SELECT {_WEEK_START} AS week, team_id, count(*) AS n FROM base GROUP BY ALL",
         "stream_base": f"SELECT id, {_TIME}, event_type, event_text, team_id, reaction FROM base",
         "stream_changes": f"SELECT id, {_TIME} FROM raw WHERE {_SURVIVES_MESSAGE} AND {_SURVIVES_REACTION}",
@@ -413,6 +414,7 @@ def _answers() -> dict[str, str]:
             SELECT md5(event_thread_ts) AS thread_id, 1 AS r FROM replies
             UNION ALL SELECT md5(reaction_item_ts), 0 FROM reactions) WHERE thread_id IS NOT NULL GROUP BY 1""",
         "lexicon_sentiment": f"SELECT doc_id, round({_score('text')}, 6) AS sentiment_score FROM documents",
+        "remembered_sentiment": f"SELECT doc_id, round({_score('text')}, 6) AS sentiment_score FROM documents",
         "ml_sentiment": "SELECT doc_id, true AS in_range, true AS auc_above_half FROM documents",
         "large_lexicon_sentiment": _LARGE_LEXICON,
         "function_sentiment": """SELECT doc_id, round(greatest(-1.0, least(1.0,

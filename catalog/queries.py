@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import feedback, text, time
-from feedloom.operators import changes, flatten, incremental, sentiment, summaries, threads, weekly
+from feedloom.operators import changes, flatten, incremental, score_cache, sentiment, summaries, threads, weekly
 from feedloom.plans import marts, pipeline, views
 from feedloom.session import stage, staging_path
 from feedloom.sources import driver_tables as given
@@ -578,6 +578,20 @@ def pipeline_run(spark, folder):
     return store.read("posts").select("id", "event_text", "sentiment_score")
 
 
+def length_scorer(rows):
+    """A second model: a score from the length of the text."""
+    return rows.withColumn("sentiment_score", F.pmod(F.length("event_text"), F.lit(201)) / 100 - 1)
+
+
+@query
+def rescored_posts(spark, folder):
+    """All posts loaded with one model, then rescored week by week with another."""
+    store = pipeline.Store(spark, staging_path(spark, "store"))
+    pipeline.load_events(store, raw(spark, folder), scorer(spark), model="words")
+    pipeline.rescore(store, length_scorer, "length")
+    return store.read("posts").select("id", "sentiment_score")
+
+
 # --- streaming and windows ------------------------------------------------------------
 
 
@@ -659,6 +673,16 @@ def lexicon_sentiment(spark, folder):
     return sentiment.score_sentiment(docs, given.lexicon(spark), "text", "doc_id").drop("text")
 
 
+@query
+def remembered_sentiment(spark, folder):
+    """Scores of all documents from the cache that a first pass filled; the second scorer finds none itself."""
+    docs = given.read(spark, folder, "documents").select("doc_id", F.col("text").alias("event_text"))
+    _, known = score_cache.cached_scores(docs, scorer(spark), None, "words", spread="doc_id")
+    no_score = lambda rows: rows.withColumn("sentiment_score", F.lit(None).cast("double"))
+    done, _ = score_cache.cached_scores(docs, no_score, known, "words", spread="doc_id")
+    return done.select("doc_id", "sentiment_score")
+
+
 def corpus_lexicon(spark, folder):
     """Every word of the conversations: good if users say it more than others do."""
     words = given.read(spark, folder, "conversations").select("role", F.explode(text.tokens(F.col("text"))).alias("token"))

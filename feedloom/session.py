@@ -18,6 +18,10 @@ SESSION_CONF = {
     # early so that a task buffers one group at a time instead of many.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streams keep up to 60 days of ids: state on disk beside the executor instead of in its heap,
+    # and checkpoints of what changed only.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
