@@ -407,6 +407,8 @@ def _answers() -> dict[str, str]:
         "stream_dedup": "SELECT id, 1 AS n FROM raw",
         "stream_weekly_sentiment": """SELECT feedback_start_date, team_id, sentiment_category,
             avg_sentiment_score, number_of_posts FROM combined WHERE team_id IS NOT NULL""",
+        "stream_late_rows": """SELECT feedback_start_date, team_id, sentiment_category,
+            avg_sentiment_score, number_of_posts FROM combined WHERE team_id IS NOT NULL""",
         "stream_closed_weeks": """SELECT feedback_start_date, team_id, sentiment_category,
             avg_sentiment_score, number_of_posts FROM combined WHERE feedback_start_date + INTERVAL 7 DAY
             <= (SELECT max(event_time) FROM numbered) - INTERVAL 1 HOUR""",

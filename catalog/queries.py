@@ -649,6 +649,19 @@ def stream_weekly_sentiment(spark, folder):
     return done.select("feedback_start_date", "team_id", "sentiment_category", "avg_sentiment_score", "number_of_posts")
 
 
+@query
+def stream_late_rows(spark, folder):
+    """Posts in time, as the stream counted them, and those in the log of late ones."""
+    out = staging_path(spark, "stream-totals")
+    totals = feeds.stream_weekly_totals(spark, feed(spark, folder), out, scorer(spark), delay="1 hour", max_files=1)
+    category = feedback.sentiment_category(F.col("sentiment_score")).alias("sentiment_category")
+    keys = ["feedback_start_date", "team_id", "sentiment_category"]
+    late = totals.late().groupBy(time.week_start(F.col("event_time")).alias(keys[0]), "team_id", category).agg(F.count(F.lit(1)).alias("n"))
+    both = totals.current().join(late, keys, "left")
+    posts = F.col("number_of_posts") - F.col("late_posts") + F.coalesce("n", F.lit(0))
+    return both.select(*keys, "avg_sentiment_score", posts.alias("number_of_posts"))
+
+
 @query
 def stream_closed_weeks(spark, folder):
     out = staging_path(spark, "stream-closed")

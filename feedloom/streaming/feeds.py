@@ -15,10 +15,10 @@ from pyspark.sql.types import StructType
 
 from feedloom import schemas
 from feedloom.functions.feedback import is_opinionated, sentiment_category, thread_id
-from feedloom.functions.time import weekly_window
+from feedloom.functions.time import week_start, weekly_window
 from feedloom.operators.changes import apply_changes, tagged_events
 from feedloom.operators.flatten import base_events
-from feedloom.operators.incremental import latest_per_key
+from feedloom.operators.incremental import high_water_mark, latest_per_key
 from feedloom.operators.sentiment import posts
 from feedloom.sources.raw_events import stream_raw_events
 from feedloom.sources.tables import read_table
@@ -141,7 +141,8 @@ def stream_weekly_sentiment(
 ) -> DataFrame:
     """Running average and count per week, team and class of opinionated posts.
 
-    State is one small row per group. Events later than ``delay`` are dropped.
+    State is one small row per group. Events later than ``delay`` are dropped;
+    :func:`stream_weekly_totals` counts them and keeps them on record.
     """
     score = F.col("sentiment_score")
     rows = posts(base_events(_stored(spark, source, max_files)), scorer)
@@ -161,6 +162,74 @@ def stream_weekly_sentiment(
     return _latest_state(spark, out, state.schema, keys)
 
 
+class WeeklyTotals:
+    """Sums per week, team and class that count every opinionated post, however late, and a log of the late ones.
+
+    Each batch adds what it holds of every group, so no state is kept and none can be too old.
+    A row is late if it is more than ``delay`` older than the newest row of the batches
+    before its own, which is when a watermark may have dropped it. Late rows are counted and stored whole beside the
+    totals. A batch that is repeated replaces itself. Rows without a time form a group of
+    their own and are never late.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, delay: str = "60 days"):
+        self.spark = spark
+        self.path = path
+        self.delay = delay
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        marks = read_table(self.spark, f"{self.path}/marks", StructType().add("newest", "timestamp").add("batch", "long"))
+        mark = None if marks is None else high_water_mark(marks.filter(F.col("batch") < batch_id), "newest")
+        late = F.lit(False) if mark is None else F.coalesce(F.col("event_time") < mark - F.expr(f"INTERVAL {self.delay}"), F.lit(False))
+        rows = batch.withColumn("_late", late).persist()
+        score = F.col("sentiment_score")
+        totals = rows.groupBy(
+            week_start(F.col("event_time")).alias("feedback_start_date"), "team_id", sentiment_category(score).alias("sentiment_category")
+        ).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("posts"), F.count_if("_late").alias("late"))
+        parts = {
+            "totals": totals,
+            "late": rows.filter("_late").select(*schemas.POST_COLUMNS),
+            "marks": rows.agg(F.max("event_time").alias("newest")),
+        }
+        try:
+            for name, part in parts.items():
+                part.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    def current(self) -> DataFrame:
+        """Average score, posts and how many of them were late, per week, team and class."""
+        schema = "feedback_start_date date, team_id string, sentiment_category string, score double, posts long, late long"
+        rows = read_table(self.spark, f"{self.path}/totals", StructType.fromDDL(schema))
+        rows = self.spark.createDataFrame([], schema) if rows is None else rows
+        posts_sum = F.sum("posts")
+        return rows.groupBy("feedback_start_date", "team_id", "sentiment_category").agg(
+            (F.sum("score") / posts_sum).alias("avg_sentiment_score"), posts_sum.alias("number_of_posts"), F.sum("late").alias("late_posts")
+        )
+
+    def late(self) -> DataFrame | None:
+        """The late posts themselves; None before the first batch."""
+        rows = read_table(self.spark, f"{self.path}/late")
+        return None if rows is None else rows.select(*schemas.POST_COLUMNS)
+
+
+def stream_weekly_totals(
+    spark: SparkSession,
+    source: str,
+    out: str,
+    scorer: Callable[[DataFrame], DataFrame],
+    delay: str = "60 days",
+    max_files: int | None = None,
+) -> WeeklyTotals:
+    """Weekly sentiment of all rows that ever arrive, with the late ones on record."""
+    score = F.col("sentiment_score")
+    rows = posts(base_events(_stored(spark, source, max_files)), scorer)
+    rows = rows.filter(is_opinionated(score) & F.col("team_id").isNotNull())
+    totals = WeeklyTotals(spark, out, delay)
+    _drain(rows.writeStream.foreachBatch(totals.write), out)
+    return totals
+
+
 def _engagements() -> Column:
     """What one event adds to threads: a reply, a reaction, or nothing."""
     is_reply = (F.col("event_type") == "message") & F.col("event_parent_user_id").isNotNull()
