@@ -50,14 +50,19 @@ def _segment_keys(line: str, n: str) -> list[Column]:
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """The documents with a unique long ``name`` in the order that decides which line is earliest.
 
-    That is the doc_id. If doc_ids repeat or are null, the table is written once and the
-    order of its rows decides.
+    That is the doc_id. If doc_ids repeat, are null or negative, the rows are sorted once by
+    doc_id, nulls last, rows of one doc_id by a hash of the text, so the order of two
+    rows depends on them alone; only rows alike in both follow their place in the table.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL OR id < 0")
+    doc_id = F.col("doc_id").cast("long")
+    repeated = docs.select(doc_id.alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL OR id < 0")
     if not repeated.limit(1).count():
-        return docs.withColumn(name, F.col("doc_id").cast("long"))
-    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        return docs.withColumn(name, doc_id)
+    place = unused(docs, "_place")
+    marked = docs.withColumn(place, F.monotonically_increasing_id())
+    # The hash and the place are part of the sort's ranges, so a repeated doc_id is no hot key.
+    ordered = marked.orderBy(doc_id.asc_nulls_last(), F.xxhash64(F.col("text").cast("string")), place).drop(place)
+    return stage(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def lines(rows: DataFrame) -> DataFrame:

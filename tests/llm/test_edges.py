@@ -121,6 +121,22 @@ def test_lines_of_repeated_rows(docs):
         assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
 
 
+def test_order_of_lines_depends_on_no_other_row(spark):
+    line = "one long line that two documents have in common, word for word"
+    kept = lambda rows: {
+        r["doc_id"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["text"]
+    }
+    pair = [(2, line), (1, line)]
+    assert kept(pair) == {1}
+    for odd in [(None, "other"), (7, "seven"), (-3, "minus")]:
+        assert kept([odd, *pair, odd]) - {odd[0]} == {1}
+        assert kept([*pair, odd, odd][::-1]) - {odd[0]} == {1}
+    assert 1 in kept([(None, line), *pair]) and 2 not in kept([(None, line), *pair])
+    assert kept([(-3, line), *pair]) == {-3}
+    many = [(None, f"{line} {n % 9}0000") for n in range(300)]
+    assert sum(r["n_kept"] for r in linededup.report(spark.createDataFrame(many, "doc_id long, text string").repartition(7)).collect()) == 1
+
+
 def test_shards_hold_their_law(docs):
     found = sharding.assign(docs, 4).collect()
     sizes = Counter(r["shard"] for r in found)
