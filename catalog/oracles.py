@@ -337,6 +337,8 @@ def _answers() -> dict[str, str]:
         "open_question": "SELECT * FROM questions",
         "generated_summary": _generated("weekly"),
         "generated_summary_parts": _generated(_parts(_SMALL_CUT)),
+        "resumed_summary": f"""SELECT {_GROUP}, CASE WHEN length(numbered_posts_string) % 2 = 0 THEN 'first ' ELSE 'second ' END
+            || length(numbered_posts_string) AS detailed_summary FROM weekly""",
         "post_summary": "SELECT * FROM summary",
         "post_summary_parts": f"SELECT * FROM {_summary(_parts(_SMALL_CUT))}",
         "incremental_summary": """SELECT team_id, sentiment_category, feedback_start_date, part_no, numbered_weighted_posts

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import feedback, text, time
-from feedloom.operators import changes, flatten, incremental, score_cache, sentiment, summaries, threads, weekly
+from feedloom.operators import answers, changes, flatten, incremental, score_cache, sentiment, summaries, threads, weekly
 from feedloom.plans import marts, pipeline, views
 from feedloom.session import stage, staging_path
 from feedloom.sources import driver_tables as given
@@ -312,6 +312,26 @@ def generated_summary_parts(spark, folder):
     return answered(weekly.weekly_feedback(opinion_rows(spark, folder), part_chars=2_000))
 
 
+@query
+def resumed_summary(spark, folder):
+    """Summaries of a model that failed on every second prompt, ended by another run with the same answers."""
+    rows = weekly.weekly_feedback(opinion_rows(spark, folder))
+    asked = rows.select(*weekly.GROUP, F.array_join("numbered_posts", " ").alias("posts"))
+    book = answers.Answers(spark, staging_path(spark, "book"), "model")
+
+    def failing(prompts):
+        if len(prompts[0]) % 2:
+            raise ValueError("no answer to prompts of odd length")
+        return "first " + prompts.str.len().astype(str)
+
+    try:
+        answers.ask(asked, F.col("posts"), failing, "detailed_summary", book, batch=1, tries=1)
+    except answers.Unanswered:
+        pass
+    done = answers.ask(asked, F.col("posts"), lambda prompts: "second " + prompts.str.len().astype(str), "detailed_summary", book)
+    return done.drop("posts")
+
+
 @query
 def post_summary(spark, folder):
     return marts.post_summary(events(spark, folder))

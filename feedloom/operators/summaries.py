@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import question_prompt, summary_prompt, tokens
+from feedloom.operators.answers import Answers, ask
 from feedloom.operators.weekly import GROUP
 from feedloom.session import stage
 
@@ -51,49 +51,39 @@ def attach_to_parts(weekly: DataFrame, per_group: DataFrame) -> DataFrame:
     return weekly.join(parts, [*GROUP, "part_no"], "left")
 
 
-def generate(df: DataFrame, prompt: Column, generator: Callable, out: str) -> DataFrame:
-    """Run ``generator``, a function from a pandas Series of prompts to texts.
-
-    Called on aggregated rows only: one prompt per group and text part, and one more per
-    group of several parts.
-    """
-
-    @F.pandas_udf("string")
-    def answered(prompts: pd.Series) -> pd.Series:
-        return generator(prompts)
-
-    return df.withColumn(out, answered(prompt))
-
-
-def _generated(weekly: DataFrame, prompt: Callable, generator: Callable, out: str) -> DataFrame:
+def _generated(weekly: DataFrame, prompt: Callable, generator: Callable, out: str, book: Answers | None) -> DataFrame:
     """Answer each part, then the joined answers of every group that has several parts.
 
     The answers of the parts are staged, so that no part is sent to the generator twice.
     """
-    text = prompt(F.array_join("numbered_posts", " ")).alias("_prompt")
-    asked = generate(weekly.select(*GROUP, "part_no", text), F.col("_prompt"), generator, out)
-    answers = stage(asked.drop("_prompt"), "answers")
+    parts = weekly.select(*GROUP, "part_no", F.array_join("numbered_posts", " ").alias("_posts"))
+    answers = stage(ask(parts, prompt(F.col("_posts")), generator, out, book).drop("_posts"), "answers")
     listed = F.array_sort(F.collect_list(F.struct("part_no", out)))
     groups = answers.groupBy(*GROUP).agg(F.transform(listed, lambda p: p[out]).alias("_answers"))
     single = groups.filter(F.size("_answers") == 1).select(*GROUP, F.col("_answers")[0].alias(out))
     several = groups.filter(F.size("_answers") > 1)
-    joined = prompt(F.array_join("_answers", " "))
-    return attach_to_parts(weekly, single.unionByName(generate(several, joined, generator, out).select(*GROUP, out)))
+    joined = ask(several, prompt(F.array_join("_answers", " ")), generator, out, book)
+    return attach_to_parts(weekly, single.unionByName(joined.select(*GROUP, out)))
 
 
 def summarise_groups(
-    weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None
+    weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None, book: Answers | None = None
 ) -> DataFrame:
-    """Add ``detailed_summary`` to weekly rows: the generator's, or extractive. All parts of a group share it."""
+    """Add ``detailed_summary`` to weekly rows: the generator's, or extractive. All parts of a group share it.
+
+    ``generator`` turns a pandas Series of prompts into as many texts; ``book`` keeps its answers, see
+    :func:`~feedloom.operators.answers.ask`. It is asked on aggregated rows only: one prompt
+    per group and text part, and one more per group of several parts.
+    """
     if generator is not None:
-        return _generated(weekly, summary_prompt, generator, "detailed_summary")
+        return _generated(weekly, summary_prompt, generator, "detailed_summary", book)
     return attach_to_parts(weekly, extractive_summary(top))
 
 
 def question_groups(
-    weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None
+    weekly: DataFrame, top: DataFrame | None = None, generator: Callable | None = None, book: Answers | None = None
 ) -> DataFrame:
     """Add ``open_ended_question`` to weekly rows. All parts of a group share it."""
     if generator is not None:
-        return _generated(weekly, question_prompt, generator, "open_ended_question")
+        return _generated(weekly, question_prompt, generator, "open_ended_question", book)
     return attach_to_parts(weekly, open_question(top))

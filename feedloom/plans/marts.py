@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import schemas
+from feedloom.operators.answers import Answers
 from feedloom.operators.flatten import base_events, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, one_per_key
 from feedloom.operators.sentiment import posts
@@ -58,18 +59,20 @@ def summarise(
     generator: Callable | None = None,
     hot_rows: int = HOT_ROWS,
     part_chars: int = PART_CHARS,
+    book: Answers | None = None,
 ) -> DataFrame:
     """Weekly summaries of :func:`summary_input` rows: the contract plus ``part_no``.
 
     A group has one row unless its text exceeds ``part_chars``; then further rows carry
     the following parts of the text. Summary and question are the group's on each row.
+    ``book`` keeps the answers of a ``generator`` across runs.
     """
     weekly = weekly_feedback(opinion_rows, hot_rows, part_chars)
     if generator is None:
         top = stage(top_posts(opinion_rows.filter(F.col("team_id").isNotNull())), "top")
         texts = attach_to_parts(weekly, extractive_summary(top).join(open_question(top), GROUP, "left"))
     else:
-        texts = question_groups(summarise_groups(weekly, generator=generator), generator=generator)
+        texts = question_groups(summarise_groups(weekly, generator=generator, book=book), generator=generator, book=book)
     result = texts.withColumn("numbered_weighted_posts", F.array_join("numbered_posts", " "))
     return result.select(*schemas.SUMMARY_COLUMNS, "part_no")
 
@@ -82,6 +85,7 @@ def post_summary(
     generator: Callable | None = None,
     hot_rows: int = HOT_ROWS,
     part_chars: int = PART_CHARS,
+    book: Answers | None = None,
 ) -> DataFrame:
     """Weekly summary per team and sentiment class.
 
@@ -91,4 +95,4 @@ def post_summary(
     rows = summary_input(events, hot_rows)
     if mode is not None:
         rows = emit_closed_weeks(rows, emitted, now, mode)
-    return summarise(rows, generator, hot_rows, part_chars)
+    return summarise(rows, generator, hot_rows, part_chars, book)

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from feedloom import schemas
 from feedloom.functions.time import week_start
+from feedloom.operators.answers import Answers
 from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
 from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key
@@ -254,22 +255,25 @@ def emit_summaries(
     mode: str = "closed",
     generator: Callable | None = None,
     hot_rows: int = HOT_ROWS,
+    generator_model: str | None = None,
 ) -> DataFrame | None:
     """Summarise the weeks due and add them to the summary table, as one new version.
 
     The posts of weeks that are not due are pruned by partition before weights
-    are computed. Returns the whole summary table.
+    are computed. Returns the whole summary table. With a ``generator_model`` the answers of ``generator`` are
+    kept under that name beside the versions: a run repeated after a failure asks only what is not answered.
     """
     with store.change():
-        _emit(store, now, mode, generator, hot_rows)
+        _emit(store, now, mode, generator, hot_rows, generator_model)
     return store.find("summary")
 
 
-def _emit(store: Store, now: str | None, mode: str, generator: Callable | None, hot_rows: int) -> None:
+def _emit(store: Store, now: str | None, mode: str, generator: Callable | None, hot_rows: int, model: str | None) -> None:
+    book = Answers(store.spark, f"{store.root}/answers", model) if model else None
     emitted = store.find("summary")
     events = store.events()
     due = emit_closed_weeks(events.posts.withColumn("feedback_start_date", F.col(WEEK)), emitted, now, mode)
-    fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows)
+    fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows, book=book)
     fresh = stage(fresh, "summary")
     store.merge("summary", fresh, ["team_id", "sentiment_category", "feedback_start_date", "part_no"], "feedback_start_date")
 
@@ -282,12 +286,13 @@ def run_pipeline(
     now: str | None = None,
     mode: str = "closed",
     generator: Callable | None = None,
+    generator_model: str | None = None,
     **load_options,
 ) -> DataFrame | None:
     """One run, from raw events to newly emitted summaries, published as one version."""
     with store.change():
         _load(store, raw, scorer, control, **load_options)
-        _emit(store, now, mode, generator, load_options.get("hot_rows", HOT_ROWS))
+        _emit(store, now, mode, generator, load_options.get("hot_rows", HOT_ROWS), generator_model)
     return store.find("summary")
 
 

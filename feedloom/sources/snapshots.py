@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from feedloom.sources.tables import NO_VALUE, filesystem
+from feedloom.sources.tables import NO_VALUE, children, filesystem
 
 
 class Conflict(RuntimeError):
@@ -29,12 +29,8 @@ class Snapshots:
         self.spark = spark
         self.root = root
 
-    def _children(self, folder: str) -> list[str]:
-        files, location = filesystem(self.spark, folder)
-        return [s.getPath().getName() for s in files.listStatus(location)] if files.exists(location) else []
-
     def versions(self) -> list[int]:
-        names = self._children(f"{self.root}/versions")
+        names = children(self.spark, f"{self.root}/versions")
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def manifest(self, version: int) -> dict[str, list[str]]:
@@ -63,7 +59,7 @@ class Snapshots:
         rows.write.partitionBy(*([partition] if partition else [])).parquet(path)
         if partition is None:
             return [run]
-        return [f"{run}/{child}" for child in self._children(path) if child.startswith(f"{partition}=")]
+        return [f"{run}/{child}" for child in children(self.spark, path) if child.startswith(f"{partition}=")]
 
     def read(self, name: str, folders: list[str], schema: StructType) -> DataFrame:
         """The rows of these folders. Columns that older files lack are NULL, those since dropped are not read."""

@@ -22,6 +22,12 @@ def filesystem(spark: SparkSession, path: str):
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    files, location = filesystem(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(location)] if files.exists(location) else []
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The stored table, or None when nothing has been written yet.
 
