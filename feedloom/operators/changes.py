@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import ANONYMOUS_MARKER, add_prefix
 from feedloom.functions.time import is_valid_ts
 from feedloom.operators.flatten import judged_events, parsed_events
-from feedloom.operators.skew import BROADCAST_ROWS, HOT_ROWS, any_null, join_unique, small_enough
+from feedloom.operators.skew import BROADCAST_ROWS, HOT_ROWS, any_null, broadcastable, join_unique, small_enough
 from feedloom.session import stage
 
 MESSAGE_DELETED = "message_deleted"
@@ -229,11 +229,11 @@ def _renamed(source: DataFrame, keys: Sequence[str]) -> DataFrame:
 def update_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Overwrite ``cols`` of matched rows; never inserts. ``source`` is unique on ``keys``.
 
-    Any number of target rows may share a key.
+    Any number of target rows may share a key. The source is broadcast only if it is small by bytes, too.
     """
     changes = _renamed(source.select(*keys, *cols), keys).withColumn("_hit", F.lit(True))
     rows = target.withColumn("_row", F.xxhash64(*target.columns))  # spreads rows of one key
-    joined = join_unique(rows, changes, list(keys), "left", "_row", small_right=small_enough(changes))
+    joined = join_unique(rows, changes, list(keys), "left", "_row", small_right=broadcastable(changes, keys))
     value = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in cols}
     return joined.select(*[value.get(c, F.col(c)).alias(c) for c in target.columns])
 

@@ -17,6 +17,8 @@ SKETCH_ROOM = 16
 SPREAD = 64
 # Rows of a narrow lookup table that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+# Bytes of a table of any width that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -79,6 +81,27 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def broadcastable(df: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table of any width may be broadcast: few rows, counted on ``keys`` alone, and few bytes.
+
+    Texts count with their bytes, nested values with those of their JSON, all else with eight.
+    The bytes of up to ``limit`` rows are added up in the tasks that read them.
+    """
+    if not small_enough(df.select(*keys), limit):
+        return False
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        col, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("array", "map", "struct", "variant"):
+            wide = F.octet_length(F.to_json(F.struct(col)))
+        elif kind in ("string", "binary", "varchar", "char"):
+            wide = F.octet_length(col)
+        else:
+            wide = F.lit(8)
+        total = total + F.coalesce(wide, F.lit(0)).cast("long")
+    return (df.agg(F.sum(total)).first()[0] or 0) <= size
+
+
 def join_unique(
     left: DataFrame,
     right: DataFrame,

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from feedloom.operators import changes
+from feedloom.operators import changes, skew
 from tests.events import control, post, raw, reaction, reply, rows
 
 T0, T1, T2, T3 = (f"2024-01-03 10:0{i}:00" for i in range(4))
@@ -97,6 +98,23 @@ def test_update_columns_never_inserts(spark):
     ]
 
 
+def test_a_wide_source_is_not_broadcast(spark):
+    few = spark.range(20).select("id", F.repeat(F.lit("é"), 50).alias("text"), F.array("id").alias("list"))
+    assert skew.broadcastable(few, ["id"], 20, 20 * (8 + 100 + len('{"list":[10]}')))
+    assert not skew.broadcastable(few, ["id"], 20, 20 * 108)
+    assert not skew.broadcastable(few, ["id"], 19)
+    assert skew.broadcastable(few.limit(0), ["id"])
+    target = spark.range(30).select("id", F.lit("old").alias("text"))
+    wide = few.select("id", F.repeat(F.lit("x"), 4 << 20).alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        updated = changes.update_columns(target, wide, ["id"], ["text"])
+        assert "BroadcastHashJoin" not in updated._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert updated.groupBy(F.length("text").alias("n")).count().orderBy("n").collect() == [(3, 10), (4 << 20, 20)]
+
+
 def test_anonymise(spark):
     df = spark.createDataFrame([("hi", "U1")], "text string, user string")
     assert rows(changes.anonymise(df), "text", "user", "bot_id") == [("Anonymous feedback: hi", None, "B1")]
