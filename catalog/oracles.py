@@ -398,6 +398,10 @@ def _answers() -> dict[str, str]:
             THEN lower(team_id) ELSE team_id END AS team_id FROM base""",
         "sync_schema": "SELECT doc_id, quality, NULL::VARCHAR AS lang FROM labels",
         "incremental_base": f"SELECT id, {_TIME}, event_type, team_id FROM base",
+        "incremental_ties": """SELECT id, strftime(day, '%Y-%m-%d %H:%M:%S') AS event_time, event_type, team_id
+            FROM (SELECT *, CASE WHEN id % 7 <> 0 THEN date_trunc('day', base.event_time) END AS day FROM base)
+            WHERE id % 2 = 0 OR day IS NULL OR day >= (SELECT max(CASE WHEN id % 7 <> 0 AND id % 2 = 0 AND
+                date_trunc('day', base.event_time) <= TIMESTAMP '2024-01-15 00:00:00' THEN date_trunc('day', base.event_time) END) FROM base)""",
         "high_water_mark": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events
             WHERE ts = (SELECT max(ts) FROM events)""",
         "pipeline_run": f"""SELECT id, event_text, round(sentiment_score, 6) AS sentiment_score FROM posts

@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 # Range of instants a chat client accepts, in seconds either side of 1970.
 MAX_EPOCH_SECONDS = 8_640_000_000_000
+SECONDS_A_DAY = 86_400
 
 
-def _days(n: int) -> Column:
-    return F.make_dt_interval(days=F.lit(n))
+def _monday(time: Column, shift_days: int = 1) -> Column:
+    """Number of days from 1970 to the Monday that opens the bucket; day 0 was a Thursday."""
+    day = F.floor(F.unix_seconds(time) / F.lit(SECONDS_A_DAY)) - F.lit(shift_days)
+    return (day - F.pmod(day + F.lit(3), F.lit(7))).cast("int")
 
 
 def week_bucket(time: Column, shift_days: int = 1) -> Column:
     """Start of the Monday-based week after moving ``time`` back ``shift_days``.
 
-    With the default shift a bucket holds Tuesday 00:00 to Monday 23:59:59.
+    With the default shift a bucket holds Tuesday 00:00 to Monday 23:59:59. Weeks are those of UTC
+    whatever the time zone of the session, as in :func:`weekly_window`.
     """
-    return F.date_trunc("week", time - _days(shift_days))
+    return F.timestamp_seconds(_monday(time, shift_days).cast("long") * F.lit(SECONDS_A_DAY))
 
 
 def week_start(time: Column) -> Column:
     """Tuesday that opens the feedback week."""
-    return (week_bucket(time) + _days(1)).cast("date")
+    return F.date_from_unix_date(_monday(time) + F.lit(1))
 
 
 def week_end(time: Column) -> Column:
@@ -31,7 +35,12 @@ def week_end(time: Column) -> Column:
 
     Monday's rows belong to the bucket although they lie after this label.
     """
-    return (week_bucket(time) + _days(7) - F.make_dt_interval(secs=F.lit(1))).cast("date")
+    return F.date_from_unix_date(_monday(time) + F.lit(6))
+
+
+def window_week(window: Column) -> Column:
+    """Tuesday that opens a :func:`weekly_window`, as a date."""
+    return week_start(window["start"])
 
 
 def weekly_window(time: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.time import week_bucket
+from feedloom.functions.time import week_start
 from feedloom.operators.skew import anti_join, any_null
 
 
@@ -26,16 +26,16 @@ def newer_than(
     existing: DataFrame | None,
     col: str,
     strict_null_hwm: bool = False,
-    inclusive: bool = False,
-    keep_null: bool = False,
+    inclusive: bool = True,
+    keep_null: bool = True,
 ) -> DataFrame:
-    """Incoming rows above the high-water mark of ``existing``.
+    """Incoming rows from the high-water mark of ``existing`` on, and those without a value to compare.
 
     The mark becomes a literal, so file statistics can prune the scan. Without
     any existing row everything is new; ``strict_null_hwm`` loads nothing then,
-    as a comparison with NULL would. ``inclusive`` also takes rows tied with the
-    mark, and ``keep_null`` those that have no value to compare; both are to be
-    merged by key afterwards.
+    as a comparison with NULL would. Rows tied with the mark and rows without a value may be
+    there already and are to be merged by key; without ``inclusive`` and ``keep_null`` they
+    are left out, new ones too.
     """
     mark = None if existing is None else high_water_mark(existing, col)
     if mark is None:
@@ -86,12 +86,11 @@ def emit_closed_weeks(
     """
     if mode not in ("closed", "first_seen"):
         raise ValueError("mode must be 'closed' or 'first_seen'")
-    fresh = newer_than(weekly, emitted, "feedback_start_date")
+    fresh = newer_than(weekly, emitted, "feedback_start_date", inclusive=False, keep_null=False)
     if mode == "first_seen":
         return fresh
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    open_week = (week_bucket(at) + F.make_dt_interval(days=F.lit(1))).cast("date")
-    return fresh.filter(F.col("feedback_start_date") < open_week)
+    return fresh.filter(F.col("feedback_start_date") < week_start(at))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

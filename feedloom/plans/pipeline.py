@@ -166,7 +166,7 @@ def _not_loaded(raw: DataFrame, base: DataFrame | None, inclusive: bool, strict_
     """Rows from the high-water mark on, and rows without a time whose id is not there yet."""
     if base is None or strict_null_hwm:
         return newer_than(raw, base, "event_time", strict_null_hwm, inclusive, keep_null=True)
-    timed = newer_than(raw.filter(F.col("event_time").isNotNull()), base, "event_time", inclusive=inclusive)
+    timed = newer_than(raw.filter(F.col("event_time").isNotNull()), base, "event_time", inclusive=inclusive, keep_null=False)
     loaded = base.filter(F.col(WEEK) == F.lit(NO_TIME).cast("date"))
     return timed.unionByName(anti_join(raw.filter(F.col("event_time").isNull()), loaded, ["id"]))
 

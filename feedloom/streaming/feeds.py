@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from feedloom import schemas
 from feedloom.functions.feedback import is_opinionated, sentiment_category, thread_id
-from feedloom.functions.time import week_start, weekly_window
+from feedloom.functions.time import week_start, weekly_window, window_week
 from feedloom.operators.changes import apply_changes, tagged_events
 from feedloom.operators.flatten import base_events
 from feedloom.operators.incremental import high_water_mark, latest_per_key
@@ -155,7 +155,7 @@ def stream_weekly_sentiment(
             sentiment_category(score).alias("sentiment_category"),
         )
         .agg(F.avg("sentiment_score").alias("avg_sentiment_score"), F.count(F.lit(1)).alias("number_of_posts"))
-        .withColumn("feedback_start_date", F.col("week.start").cast("date"))
+        .withColumn("feedback_start_date", window_week(F.col("week")))
         .select(*keys, "avg_sentiment_score", "number_of_posts")
     )
     _run_state(state, out, closed_only)

@@ -31,6 +31,29 @@ def test_week_labels(spark, at, start, end):
     assert window == dt.date.fromisoformat(start)
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Beirut", "Pacific/Kiritimati", "UTC"])
+def test_weeks_are_the_same_in_every_zone(spark, zone):
+    """Batch and window agree, across changes of the clock too, before and after 1970."""
+    hours = spark.range(-30 * 366 * 4, 60 * 366 * 4).select(F.timestamp_seconds(F.col("id") * 21_599).alias("t"))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        named = hours.select(
+            "t", time.week_start(F.col("t")).alias("week"), time.week_end(F.col("t")).alias("end"),
+            time.week_bucket(F.col("t")).alias("bucket"), time.weekly_window(F.col("t")).alias("w"),
+        )
+        day = F.unix_date("week")
+        wrong = (
+            (time.window_week(F.col("w")) != F.col("week"))
+            | (F.unix_seconds("w.start") != day * 86_400)
+            | (F.unix_seconds("bucket") != (day - 1) * 86_400)
+            | (F.unix_date("end") != day + 5)
+            | (F.dayofweek("week") != 3)
+        )
+        assert named.count() == 131_760 and named.filter(wrong).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize(
     "ts, valid",
     [("1704067200.000123", True), ("-5", True), ("12abc", False), ("abc", False), ("", False), (None, False), ("9e13", False)],

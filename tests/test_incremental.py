@@ -17,10 +17,17 @@ def incoming(spark):
     return timed(spark, [(i + 1, at, "v") for i, at in enumerate(times)])
 
 
-def test_mark_is_strict_unless_inclusive(spark, incoming):
+def test_ties_and_rows_without_a_time_are_taken_unless_strict(spark, incoming):
     existing = timed(spark, [(9, "2024-01-02 00:00:00", "z")])
-    assert rows(incremental.newer_than(incoming, existing, "at"), "id") == [(3,)]
-    assert rows(incremental.newer_than(incoming, existing, "at", inclusive=True), "id") == [(2,), (3,)]
+    more = incoming.union(timed(spark, [(4, None, "v")]))
+
+    def taken(**flags):
+        return [i for (i,) in rows(incremental.newer_than(more, existing, "at", **flags), "id")]
+
+    assert taken() == [2, 3, 4]
+    assert taken(inclusive=False) == [3, 4]
+    assert taken(keep_null=False) == [2, 3]
+    assert taken(inclusive=False, keep_null=False) == [3]
 
 
 def test_empty_existing_table_is_a_first_load(spark, incoming):
@@ -33,7 +40,8 @@ def test_empty_existing_table_is_a_first_load(spark, incoming):
 def test_mark_reaches_the_scan_as_a_value(spark, incoming, tmp_path):
     incoming.write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    plan = incremental.newer_than(stored, incoming, "at")._jdf.queryExecution().executedPlan().toString()
+    newer = incremental.newer_than(stored, incoming, "at", inclusive=False, keep_null=False)
+    plan = newer._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(at), GreaterThan(at,2024-01-02" in plan
 
 
