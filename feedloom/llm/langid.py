@@ -129,24 +129,24 @@ def has_letter() -> F.Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, texts: int = FIT_TEXTS, landmarks: int = LANDMARKS) -> Model:
+def fit(docs: DataFrame, texts: int = FIT_TEXTS, landmarks: int = LANDMARKS, languages: int = LANGUAGES) -> Model:
     """Model of the labelled documents that are not held out.
 
-    ``texts`` documents of each language are drawn by the hash of their text, at most
-    ``LANGUAGES`` languages; a document without doc_id, language or letters teaches
-    nothing. First the languages are counted, then texts are drawn at a rate that leaves
-    about twice as many as needed, so no language is sorted as a whole. N-grams are taken
-    in the tasks; what is collected is bounded by the sample.
+    The ``texts`` documents of each language with the smallest hashes teach, for the ``languages`` most
+    frequent languages, so the sample has at most ``texts`` x ``languages`` documents; one
+    without doc_id, language or letters teaches nothing. First the languages are counted, then texts
+    are drawn by their whole 64-bit hash at a rate that leaves about three times as many as needed, so no language is
+    sorted as a whole at any size. N-grams are taken in the tasks; what is collected is bounded by the sample.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
         return Model.fit([])
     mark = F.xxhash64("text", "doc_id")
     odds = {r["lang"]: min(1.0, 3.0 * texts / r["count"]) for r in counts}
     rate = F.create_map(*[F.lit(x) for pair in odds.items() for x in pair])[F.col("lang")]
     drawn = usable.withColumn("_mark", mark).filter(F.col("lang").isin(list(odds)))
-    drawn = drawn.filter((F.pmod("_mark", F.lit(1_000_003)) < rate * 1_000_003) & has_letter())
+    drawn = drawn.filter((F.col("_mark") / F.lit(2.0**64) + F.lit(0.5) <= rate) & has_letter())
     drawn = stage(drawn.select("lang", "_mark", F.lower("text").alias("text")), "drawn")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("_mark", "text"))
     some = drawn.withColumn("_nth", order).filter(F.col("_nth") <= texts).orderBy("lang", "_nth").select("lang", "text")

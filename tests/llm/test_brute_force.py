@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from feedloom.llm import decontaminate, html, langid, linededup, packing, queries, simhash
 from feedloom.llm.common import connected_components
@@ -425,6 +426,24 @@ def test_held_out_languages_are_found(spark):
     assert len(held) > 200 and (held.lang_pred == held.lang).mean() >= 0.97
 
 
+def test_the_sample_is_the_smallest_hashes_of_each_language(spark):
+    """The draw before the sort changes nothing, and the bound on languages is the caller's."""
+    docs = spark.range(4000).selectExpr(
+        "id AS doc_id", "IF(id % 2 = 0, 'a', IF(id % 3 = 0, 'b', 'c')) AS lang",
+        "concat_ws(' ', sha2(cast(id AS STRING), 256), lang, 'é') AS text",
+    )
+    usable = docs.filter(~langid.held_out()).withColumn("mark", F.xxhash64("text", "doc_id")).collect()
+    for languages, wanted in ((200, "abc"), (2, "ac"), (1, "a")):
+        chosen = []
+        for name in wanted:
+            first = sorted((r for r in usable if r["lang"] == name), key=lambda r: r["mark"])[:20]
+            chosen += [(name, langid.presence(np.frombuffer(r["text"].lower().encode(), np.uint8)).astype("<i4")) for r in first]
+        plain = langid.Model.fit(sorted(chosen, key=lambda x: (x[0], x[1].tobytes())), 8)
+        model = langid.fit(docs, 20, 8, languages)
+        assert list(model.languages) == list(wanted)
+        assert np.array_equal(model.vocabulary, plain.vocabulary) and np.allclose(model.weights, plain.weights)
+
+
 def test_margins_do_not_depend_on_batches():
     rng = random.Random(6)
     texts = [("".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 400)))).encode() for _ in range(40)]
