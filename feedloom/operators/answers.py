@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.sentiment import unused
-from feedloom.operators.skew import join_unique, small_enough
+from feedloom.operators.skew import BROADCAST_ROWS, broadcastable, join_unique, small_enough
 from feedloom.session import stage, staging_path
 from feedloom.sources.tables import children
 
@@ -40,21 +40,31 @@ class Answers:
         self.folder = folder
         self.model = model
 
+    def _folders(self) -> list[str]:
+        return [f"{self.folder}/{n}" for n in children(self.spark, self.folder) if n.startswith("round-")]
+
+    def is_new(self) -> bool:
+        return not self._folders()
+
     def rounds(self) -> DataFrame:
         """All rows, failures included, of all models."""
-        names = [n for n in children(self.spark, self.folder) if n.startswith("round-")]
-        if not names:
+        return self._read(self._folders())
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], ANSWER_SCHEMA)
-        return self.spark.read.schema(ANSWER_SCHEMA).parquet(*[f"{self.folder}/{n}" for n in names])
+        return self.spark.read.schema(ANSWER_SCHEMA).parquet(*folders)
 
     def known(self) -> DataFrame:
         """Rows of prompts that the model has answered; runs side by side may have asked one twice."""
         return self.rounds().filter((F.col("model") == self.model) & F.col("error").isNull())
 
-    def add(self, rows: DataFrame) -> None:
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Store one round; returns its rows as stored."""
+        folder = f"{self.folder}/round-{uuid.uuid4().hex}"
         # Answers stand on their own, so a part of a round is as good as all of it.
-        writer = rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-        writer.parquet(f"{self.folder}/round-{uuid.uuid4().hex}")
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+        return self._read([folder])
 
 
 def _calls(frame: pd.DataFrame, batch: int, batch_chars: int) -> Iterator[pd.DataFrame]:
@@ -89,10 +99,6 @@ def _asker(generator: Callable, model: str, batch: int, batch_chars: int) -> Cal
     return asked
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if small_enough(keys) else keys
-
-
 def ask(
     df: DataFrame,
     prompt: Column,
@@ -121,19 +127,29 @@ def ask(
     rows = stage(df.select("*", prompt.alias(text), mark.alias(row)).withColumn(key, F.sha2(text, 256)), "asked")
     wanted = rows.filter(F.col(text).isNotNull())
     keys = wanted.select(F.col(key).alias("prompt_key")).distinct()
+    known = not book.is_new()
     for turn in range(tries + 1):
-        left = stage(keys.join(book.known(), "prompt_key", "left_anti"), "unanswered")
+        asked_before = known or turn > 0
+        left = stage(keys.join(book.known(), "prompt_key", "left_anti"), "unanswered") if asked_before else keys
         n = left.count()
         if not n:
             break
+        few = F.broadcast(left) if n <= BROADCAST_ROWS else left
         if turn == tries:
-            failed = book.rounds().filter(F.col("error").isNotNull()).join(_few(left), "prompt_key", "left_semi")
+            failed = book.rounds().filter(F.col("error").isNotNull()).join(few, "prompt_key", "left_semi")
             raise Unanswered(f"{n} prompts without an answer after {tries} tries, such as: {failed.agg(F.max('error')).first()[0]}")
-        todo = wanted.select(F.col(key).alias("prompt_key"), F.col(text).alias("prompt")).join(_few(left), "prompt_key", "left_semi")
+        todo = wanted.select(F.col(key).alias("prompt_key"), F.col(text).alias("prompt"))
+        if asked_before:
+            todo = todo.join(few, "prompt_key", "left_semi")
         chars = todo.agg(F.sum(F.length("prompt"))).first()[0]
         tasks = min(TASKS, max(math.ceil(n / batch), math.ceil(chars / batch_chars)))
         once = todo.repartition(tasks, "prompt_key").dropDuplicates(["prompt_key"])
-        book.add(once.mapInPandas(_asker(generator, book.model, batch, batch_chars), ANSWER_SCHEMA))
-    found = book.known().join(_few(keys), "prompt_key", "left_semi").groupBy(F.col("prompt_key").alias(key)).agg(F.min("answer").alias(answer))
-    joined = join_unique(rows.drop(text), found, [key], "left", row)
+        got = book.add(once.mapInPandas(_asker(generator, book.model, batch, batch_chars), ANSWER_SCHEMA))
+        if not got.filter(F.col("error").isNotNull()).limit(1).count():
+            break
+    mine = book.known()
+    if known:  # else the book holds nothing but answers to these prompts
+        mine = mine.join(F.broadcast(keys) if small_enough(keys) else keys, "prompt_key", "left_semi")
+    found = mine.groupBy(F.col("prompt_key").alias(key)).agg(F.min("answer").alias(answer))
+    joined = join_unique(rows.drop(text), found, [key], "left", row, small_right=broadcastable(found, [key]))
     return joined.select(*[c for c in df.columns if c != out], F.col(answer).alias(out))
