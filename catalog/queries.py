@@ -26,6 +26,8 @@ OVERLAP_END = "2024-01-20 00:00:00"
 CLOSED_AT = "2024-01-24 12:00:00"
 EMITTED_WEEK = "2024-01-09"
 INGESTED = "2024-02-01 00:00:00"
+# Bytes of the stored tables whose events make one file of a feed.
+FEED_BYTES = 32 << 20
 
 
 def query(fn: Query) -> Query:
@@ -632,33 +634,39 @@ def weekly_window(spark, folder):
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("date").alias("week"), "team_id", "n")
 
 
-def feed(spark, folder) -> str:
-    """The raw events as a folder of files, for the file stream source."""
+def feed(spark, folder, rows=all_changes) -> tuple[str, int]:
+    """The raw events as a folder of files, for the file stream source, and a quarter of their number.
+
+    A file is written by one task. There are four, or as many more as keep each to the events of
+    ``FEED_BYTES`` of the tables; a batch takes quarters, so the batches stay as many.
+    """
     path = staging_path(spark, "feed")
-    all_changes(spark, folder).repartition(4).write.parquet(path)
-    return path
+    quarter = max(1, -(-given.stored_bytes(spark, folder) // (4 * FEED_BYTES)))
+    rows(spark, folder).repartition(4 * quarter).write.parquet(path)
+    return path, quarter
 
 
 @query
 def stream_base(spark, folder):
-    out = feeds.stream_base(spark, feed(spark, folder), staging_path(spark, "stream-base"), max_files=2)
+    path, quarter = feed(spark, folder)
+    out = feeds.stream_base(spark, path, staging_path(spark, "stream-base"), max_files=2 * quarter)
     return out.select("id", "event_time", "event_type", "event_text", "team_id", "reaction")
 
 
 @query
 def stream_changes(spark, folder):
     log = feeds.ChangeLog(spark, staging_path(spark, "change-log"))
-    feeds.stream_apply_changes(log, feed(spark, folder), max_files=2)
+    path, quarter = feed(spark, folder)
+    feeds.stream_apply_changes(log, path, max_files=2 * quarter)
     return log.current().select("id", "event_time")
 
 
 @query
 def stream_event_verdicts(spark, folder):
     """The tables of the change log hold what came in, each event once."""
-    path = staging_path(spark, "feed")
-    every_kind_of_event(spark, folder).repartition(4).write.parquet(path)
+    path, quarter = feed(spark, folder, every_kind_of_event)
     log = feeds.ChangeLog(spark, staging_path(spark, "change-log"))
-    feeds.stream_apply_changes(log, path, max_files=2)
+    feeds.stream_apply_changes(log, path, max_files=2 * quarter)
     none = F.lit(None).cast("long").alias("id")
     stored = log.stored().select(F.lit("store").alias("tag"), "id")
     control = log.control().select(F.lit("control").alias("tag"), none)
@@ -667,8 +675,8 @@ def stream_event_verdicts(spark, folder):
 
 @query
 def stream_dedup(spark, folder):
-    path = feed(spark, folder)
-    raw(spark, folder).repartition(2).write.mode("append").parquet(path)
+    path, quarter = feed(spark, folder)
+    raw(spark, folder).repartition(2 * quarter).write.mode("append").parquet(path)
     out = feeds.stream_deduplicated(spark, path, staging_path(spark, "dedup"))
     return out.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -676,7 +684,8 @@ def stream_dedup(spark, folder):
 @query
 def stream_weekly_sentiment(spark, folder):
     out = staging_path(spark, "stream-weekly")
-    done = feeds.stream_weekly_sentiment(spark, feed(spark, folder), out, scorer(spark), max_files=2)
+    path, quarter = feed(spark, folder)
+    done = feeds.stream_weekly_sentiment(spark, path, out, scorer(spark), max_files=2 * quarter)
     return done.select("feedback_start_date", "team_id", "sentiment_category", "avg_sentiment_score", "number_of_posts")
 
 
@@ -684,7 +693,8 @@ def stream_weekly_sentiment(spark, folder):
 def stream_late_rows(spark, folder):
     """Posts in time, as the stream counted them, and those in the log of late ones."""
     out = staging_path(spark, "stream-totals")
-    totals = feeds.stream_weekly_totals(spark, feed(spark, folder), out, scorer(spark), delay="1 hour", max_files=1)
+    path, quarter = feed(spark, folder)
+    totals = feeds.stream_weekly_totals(spark, path, out, scorer(spark), delay="1 hour", max_files=quarter)
     category = feedback.sentiment_category(F.col("sentiment_score")).alias("sentiment_category")
     keys = ["feedback_start_date", "team_id", "sentiment_category"]
     late = totals.late().groupBy(time.week_start(F.col("event_time")).alias(keys[0]), "team_id", category).agg(F.count(F.lit(1)).alias("n"))
@@ -696,16 +706,16 @@ def stream_late_rows(spark, folder):
 @query
 def stream_closed_weeks(spark, folder):
     out = staging_path(spark, "stream-closed")
-    done = feeds.stream_weekly_sentiment(
-        spark, feed(spark, folder), out, scorer(spark), delay="1 hour", closed_only=True
-    )
+    path, _ = feed(spark, folder)
+    done = feeds.stream_weekly_sentiment(spark, path, out, scorer(spark), delay="1 hour", closed_only=True)
     return done.select("feedback_start_date", "team_id", "sentiment_category", "avg_sentiment_score", "number_of_posts")
 
 
 @query
 def stream_thread_engagement(spark, folder):
     out = staging_path(spark, "stream-threads")
-    return feeds.stream_thread_engagement(spark, feed(spark, folder), out, max_files=2)
+    path, quarter = feed(spark, folder)
+    return feeds.stream_thread_engagement(spark, path, out, max_files=2 * quarter)
 
 
 # --- text models -----------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import add_prefix
 from feedloom.operators.changes import MESSAGE_DELETED, REACTION_REMOVED
 from feedloom.session import spread
+from feedloom.sources.tables import filesystem
 
 # Fixed values of the derivation, repeated by the SQL it is checked against.
 EPOCH_START = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -39,6 +40,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def stored_bytes(spark: SparkSession, folder: str, names: tuple[str, ...] = ("documents", "conversations", "events")) -> int:
+    """Bytes of the files of these tables; lists them and reads none."""
+    found = [filesystem(spark, f"{folder}/{name}.parquet") for name in names]
+    return sum(files.getContentSummary(location).getLength() for files, location in found)
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     rows = [(t, 1) for t in POSITIVE] + [(t, -1) for t in NEGATIVE]
     return spark.createDataFrame(rows, "token string, polarity int")

@@ -98,7 +98,7 @@ class ChangeLog:
 
     def dead(self) -> DataFrame:
         """Events that could not be used, with the ``tag`` that says why."""
-        return self._read("dead", StructType(schemas.RAW_SCHEMA.fields).add("tag", "string"))
+        return self._read("dead", StructType([*schemas.RAW_SCHEMA.fields]).add("tag", "string"))
 
     def current(self, match_user: bool = False) -> DataFrame:
         """Stored events that no deletion has removed."""
@@ -120,7 +120,7 @@ def stream_apply_changes(log: ChangeLog, source: str, max_files: int | None = No
 
 def _latest_state(spark: SparkSession, out: str, schema, keys: list[str]) -> DataFrame:
     """Last update of every key over all batches."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{out}/data")
+    rows = spark.read.schema(StructType([*schema.fields]).add("batch", "long")).parquet(f"{out}/data")
     return latest_per_key(rows, keys, ["batch"]).drop("batch")
 
 
