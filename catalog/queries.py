@@ -318,7 +318,7 @@ def generated_summary_parts(spark, folder):
 def resumed_summary(spark, folder):
     """Summaries of a model that failed on every second prompt, ended by another run with the same answers."""
     rows = weekly.weekly_feedback(opinion_rows(spark, folder))
-    asked = rows.select(*weekly.GROUP, F.array_join("numbered_posts", " ").alias("posts"))
+    asked = stage(rows.select(*weekly.GROUP, F.array_join("numbered_posts", " ").alias("posts")), "prompts")
     book = answers.Answers(spark, staging_path(spark, "book"), "model")
 
     def failing(prompts):
@@ -327,11 +327,11 @@ def resumed_summary(spark, folder):
         return "first " + prompts.str.len().astype(str)
 
     try:
-        answers.ask(asked, F.col("posts"), failing, "detailed_summary", book, batch=1, tries=1)
+        answers.ask(asked, F.col("posts"), failing, "detailed_summary", book, batch=1, tries=1, keep=weekly.GROUP)
     except answers.Unanswered:
         pass
-    done = answers.ask(asked, F.col("posts"), lambda prompts: "second " + prompts.str.len().astype(str), "detailed_summary", book)
-    return done.drop("posts")
+    second = lambda prompts: "second " + prompts.str.len().astype(str)
+    return answers.ask(asked, F.col("posts"), second, "detailed_summary", book, keep=weekly.GROUP)
 
 
 @query

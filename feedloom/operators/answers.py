@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,8 +108,9 @@ def ask(
     batch: int = BATCH,
     tries: int = TRIES,
     batch_chars: int = BATCH_CHARS,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``df`` with the ``generator``'s answer to each row's ``prompt``.
+    """``df``, or its columns ``keep``, with the ``generator``'s answer to each row's ``prompt``.
 
     ``generator`` turns a pandas Series of prompts into as many texts. Prompts are told apart by
     a 256-bit hash and each is asked once, however many rows have it; a NULL prompt is not asked and has a
@@ -122,9 +123,10 @@ def ask(
     lost executor costs no more than the calls of its running tasks.
     """
     book = book or Answers(df.sparkSession, staging_path(df.sparkSession, "answers"), "")
+    names = [*df.columns] if keep is None else [*keep]
     text, key, row, answer = (unused(df, name) for name in ("_prompt", "_prompt_key", "_asked_row", "_answer"))
-    mark = F.xxhash64(*df.columns)  # spreads rows of one prompt
-    rows = stage(df.select("*", prompt.alias(text), mark.alias(row)).withColumn(key, F.sha2(text, 256)), "asked")
+    mark = F.xxhash64(*names)  # spreads rows of one prompt
+    rows = stage(df.select(*names, prompt.alias(text), mark.alias(row)).withColumn(key, F.sha2(text, 256)), "asked")
     wanted = rows.filter(F.col(text).isNotNull())
     keys = wanted.select(F.col(key).alias("prompt_key")).distinct()
     known = not book.is_new()
@@ -152,4 +154,4 @@ def ask(
         mine = mine.join(F.broadcast(keys) if small_enough(keys) else keys, "prompt_key", "left_semi")
     found = mine.groupBy(F.col("prompt_key").alias(key)).agg(F.min("answer").alias(answer))
     joined = join_unique(rows.drop(text), found, [key], "left", row, small_right=broadcastable(found, [key]))
-    return joined.select(*[c for c in df.columns if c != out], F.col(answer).alias(out))
+    return joined.select(*[c for c in names if c != out], F.col(answer).alias(out))

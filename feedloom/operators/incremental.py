@@ -54,10 +54,10 @@ def sync_schema(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def one_per_key(df: DataFrame, keys: Sequence[str], tie: str | None = None) -> DataFrame:
     """One row per key; rows with a NULL key all stay.
 
-    Of repeated rows the latest by ``event_time`` stays, ties by a hash of the row. Keys are
+    Of repeated rows the latest by ``event_time`` stays, ties by a hash of the row, or by the column ``tie``. Keys are
     counted on their own first, so a table without repeats is not shuffled.
     """
     keys = list(keys)
@@ -65,7 +65,7 @@ def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not repeated.limit(1).count():
         return df
     order = [c for c in ("event_time",) if c in df.columns and c not in keys]
-    marked = df.withColumn("_tie", F.xxhash64(*df.columns))
+    marked = df.withColumn("_tie", F.col(tie) if tie else F.xxhash64(*df.columns))
     picked = latest_per_key(marked.filter(~any_null(keys)), keys, [*order, "_tie"])
     return picked.unionByName(marked.filter(any_null(keys))).select(*df.columns)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import question_prompt, summary_prompt, tokens
 from feedloom.operators.answers import Answers, ask
+from feedloom.operators.skew import broadcastable
 from feedloom.operators.weekly import GROUP
 from feedloom.session import stage
 
@@ -44,9 +45,13 @@ def open_question(top: DataFrame, topics: int = 3) -> DataFrame:
 def attach_to_parts(weekly: DataFrame, per_group: DataFrame) -> DataFrame:
     """Put a group's text on each of its parts.
 
-    The list of parts is narrow; with the part in the key both sides of the wide join are
+    Texts of few groups are broadcast, and ``weekly``, which holds all posts, is not moved. Otherwise
+    the list of parts is narrow; with the part in the key both sides of the wide join are
     unique, however many parts a group has.
     """
+    per_group = stage(per_group, "groups")
+    if broadcastable(per_group, GROUP):
+        return weekly.join(F.broadcast(per_group), GROUP, "left")
     parts = weekly.select(*GROUP, "part_no").join(per_group, GROUP)
     return weekly.join(parts, [*GROUP, "part_no"], "left")
 
@@ -57,13 +62,13 @@ def _generated(weekly: DataFrame, prompt: Callable, generator: Callable, out: st
     The answers of the parts are staged, so that no part is sent to the generator twice.
     """
     parts = weekly.select(*GROUP, "part_no", F.array_join("numbered_posts", " ").alias("_posts"))
-    answers = stage(ask(parts, prompt(F.col("_posts")), generator, out, book).drop("_posts"), "answers")
+    answers = stage(ask(parts, prompt(F.col("_posts")), generator, out, book, keep=[*GROUP, "part_no"]), "answers")
     listed = F.array_sort(F.collect_list(F.struct("part_no", out)))
     groups = answers.groupBy(*GROUP).agg(F.transform(listed, lambda p: p[out]).alias("_answers"))
     single = groups.filter(F.size("_answers") == 1).select(*GROUP, F.col("_answers")[0].alias(out))
     several = groups.filter(F.size("_answers") > 1)
-    joined = ask(several, prompt(F.array_join("_answers", " ")), generator, out, book)
-    return attach_to_parts(weekly, single.unionByName(joined.select(*GROUP, out)))
+    joined = ask(several, prompt(F.array_join("_answers", " ")), generator, out, book, keep=GROUP)
+    return attach_to_parts(weekly, single.unionByName(joined))
 
 
 def summarise_groups(

@@ -26,6 +26,7 @@ PART_CHARS = 16_000_000
 # Characters of posts that one task of the range sort reads. Parts are cut by running sums, so a task may hold many.
 RANGE_CHARS = 256_000_000
 LABEL_CHARS = 16  # room for "n. " and the separator
+ROW = "row_no"  # unique number of a stored row, by which posts numbered without their texts meet them
 _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -91,11 +92,14 @@ def _number_by_range(df: DataFrame, ranges: int, part_chars: int) -> DataFrame:
     Within a partition posts, characters and posts over ``part_chars`` are counted on;
     what the group has in earlier partitions is added. The sort is staged so that
     positions stay fixed if a task is run again. The group's score and number of posts
-    come along, so that no wide row is ever shuffled by its group alone.
+    come along, so that no wide row is ever shuffled by its group alone. Texts take no part:
+    each row meets its numbers by ``ROW``, which is added to a stored copy of rows that lack it.
     """
     keys = [*GROUP, "event_time", "id"]
+    rows = df if ROW in df.columns else stage(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     placed = stage(
-        df.repartitionByRange(ranges, *keys)
+        rows.select(*keys, ROW, "text_chars", "sentiment_score")
+        .repartitionByRange(ranges, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pos", F.monotonically_increasing_id()),
         "numbering",
@@ -130,17 +134,18 @@ def _number_by_range(df: DataFrame, ranges: int, part_chars: int) -> DataFrame:
     passed = F.col("p._chars") + F.col("o._chars_before")
     alone = ((F.coalesce("p.text_chars", F.lit(0)) > part_chars) & (passed > 0)).cast("int")
     part = F.floor(passed / part_chars) + 2 * (F.col("p._long") + F.col("o._long_before")) + alone + 1
-    return (
+    numbers = (
         counted.alias("p")
         .join(offsets.alias("o"), match)
         .select(
-            *[F.col(f"p.{c}").alias(c) for c in df.columns],
+            F.col(f"p.{ROW}").alias(ROW),
             (F.col("p._n") + F.col("o._n_before")).cast("long").alias("post_number"),
             part.cast("long").alias("part_no"),
             "o.group_posts",
             "o.group_score",
         )
     )
+    return rows.join(numbers, ROW).select(*df.columns, "post_number", "part_no", "group_posts", "group_score")
 
 
 def _number(df: DataFrame, hot_rows: int, part_chars: int) -> tuple[DataFrame, bool]:

@@ -16,7 +16,7 @@ from feedloom.operators.sentiment import posts
 from feedloom.operators.skew import HOT_ROWS
 from feedloom.operators.summaries import attach_to_parts, extractive_summary, open_question, question_groups, summarise_groups
 from feedloom.operators.threads import thread_events, weigh, weighted_columns
-from feedloom.operators.weekly import GROUP, PART_CHARS, classified, top_posts, weekly_feedback, with_texts
+from feedloom.operators.weekly import GROUP, PART_CHARS, ROW, classified, top_posts, weekly_feedback, with_texts
 from feedloom.session import stage
 
 
@@ -30,8 +30,15 @@ class Events:
 
 
 def staged_events(raw: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str = "permissive") -> Events:
-    """Parse raw events once, score posts once, and keep both as stored tables."""
-    base = one_per_key(stage(base_events(raw, mode), "base"), ["id"])
+    """Parse raw events once, score posts once, and keep both as stored tables.
+
+    Of the base table only columns of the three subsets are kept; which of repeated rows stays is decided by a hash of all.
+    """
+    base = base_events(raw, mode)
+    wanted = {*schemas.POST_COLUMNS, *schemas.REPLY_COLUMNS, *schemas.REACTION_COLUMNS, "bot_id"}
+    used = [c for c in base.columns if c in wanted]
+    kept = stage(base.select(*used, F.xxhash64(*base.columns).alias("_tie")), "base")
+    base = one_per_key(kept, ["id"], "_tie").select(*used)
     return Events(stage(posts(base, scorer), "posts"), replies(base), reactions(base))
 
 
@@ -51,7 +58,7 @@ def summary_input(events: Events, hot_rows: int = HOT_ROWS) -> DataFrame:
     """
     narrow = events.posts.select("id", "team_id", "event_time", "event_ts", "event_text", "sentiment_score")
     weighed = weigh(narrow, events.replies, events.reactions, hot_rows=hot_rows)
-    return with_texts(stage(classified(weighed), "opinions"))
+    return with_texts(stage(classified(weighed).withColumn(ROW, F.monotonically_increasing_id()), "opinions"))
 
 
 def summarise(
