@@ -60,22 +60,75 @@ def _table_score(text: Column, words: list) -> Column:
     return _tallied(text, among(False), among(True))
 
 
+def _split_tally(text: Column, words: list) -> tuple[Column, Column]:
+    """What the common ``words`` say of a text, and its tokens that are none of them.
+
+    The first is an array with 1 for every positive token, -1 for every negative one, 0 for a common word
+    that is not listed and NULL for all other tokens. ``words`` are as for :func:`_table_score`, with ``up`` NULL if not listed.
+    """
+    slots = 1 << len(words).bit_length()
+    names: list[list[str]] = [[] for _ in range(slots)]
+    marks: list[list[int]] = [[] for _ in range(slots)]
+    for word in words:
+        names[word["hash"] % slots].append(word["token"])
+        marks[word["hash"] % slots].append(0 if word["up"] is None else 1 if word["up"] else -1)
+    name = F.from_json(F.lit(json.dumps(names, ensure_ascii=False)), "array<array<string>>")
+    mark = F.from_json(F.lit(json.dumps(marks)), "array<array<int>>")
+
+    def says(token: Column) -> Column:
+        slot = F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+        return F.get(F.get(mark, slot), (F.array_position(F.get(name, slot), token) - 1).cast("int"))
+
+    return F.transform(tokens(text), says), tokens(text)
+
+
+def _common_words(counted: DataFrame, words: DataFrame) -> list:
+    """The words that occur most, up to ``BROADCAST_ROWS``, listed or not: token, ``up`` and hash.
+
+    Counts are put into eight classes per power of two; a class is taken whole or not at all.
+    """
+    level = F.floor(F.log2("n") * 8)
+    classes = counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect()
+    lowest, taken = None, 0
+    for row in classes:
+        taken += row["words"]
+        if taken > BROADCAST_ROWS:
+            break
+        lowest = row["level"]
+    if lowest is None:
+        return []
+    common = counted.filter(level >= lowest).select("token")
+    up = words.join(F.broadcast(common), "token", "left_semi")
+    return common.join(F.broadcast(up), "token", "left").select("token", "up", F.xxhash64("token").alias("hash")).collect()
+
+
 def _joined_score(df: DataFrame, words: DataFrame, text_col: str, spread: str, out: str) -> DataFrame:
-    """The same scores for a word list of any size, tallied once per different text.
+    """The same scores for a word list of any size.
 
-    Texts are told apart by a 128-bit hash. A text's repeats of a word are merged first, so a
-    frequent word has one row per text, which the join spreads if there are too many.
+    The words that occur most in the texts are tallied in place, like those of a short list. Only tokens that are
+    none of them, few by nature, are joined to the list. What is common is counted, and never changes a score.
+    Texts are told apart by a 128-bit hash, and repeats of a text are dropped once they are narrow.
     """
     key = unused(df, "_text_key")
     marked = df.withColumn(key, F.md5(text_col))
-    texts = marked.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"))
-    found = texts.dropDuplicates(["key"]).select("key", F.explode(tokens(F.col("text"))).alias("token"))
-    found = stage(found.groupBy("key", "token").agg(F.count(F.lit(1)).alias("n")), "words")
-    hits = join_unique(found, words, ["token"], "inner", "key")
-    up = F.col("up").cast("int")
-    score = polarity(F.sum(F.col("n") * up), F.sum(F.col("n") * (1 - up)))
-    scores = stage(hits.groupBy("key").agg(score.alias("_score")).select(F.col("key").alias(key), "_score"), "scores")
-    joined = join_unique(marked, scores, [key], "left", spread)
+    words = stage(words, "lexicon")
+    texts = df.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    counted = stage(texts.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    marks, found = _split_tally(F.col("text"), _common_words(counted, words))
+    rest = F.filter(F.arrays_zip(F.col("marks").alias("mark"), F.col("tokens").alias("token")), lambda t: t["mark"].isNull())
+    tallied = texts.select(F.md5("text").alias("key"), marks.alias("marks"), found.alias("tokens")).select(
+        "key",
+        F.size(F.filter("marks", lambda m: m == 1)).cast("long").alias("ups"),
+        F.size(F.filter("marks", lambda m: m == -1)).cast("long").alias("downs"),
+        F.transform(rest, lambda t: t["token"]).alias("rest"),
+    )
+    once = stage(stage(tallied, "tallies").dropDuplicates(["key"]), "texts")
+    rare = once.select("key", F.explode("rest").alias("token"))
+    rare = join_unique(rare, words, ["token"], "inner", "key").select("key", F.when(F.col("up"), 1).otherwise(0).alias("ups"))
+    rare = rare.select("key", F.col("ups").cast("long").alias("ups"), (1 - F.col("ups")).cast("long").alias("downs"))
+    both = once.select("key", "ups", "downs").unionByName(rare).groupBy("key").agg(F.sum("ups").alias("ups"), F.sum("downs").alias("downs"))
+    scores = both.select(F.col("key").alias(key), polarity(F.col("ups"), F.col("downs")).alias("_score"))
+    joined = join_unique(marked, stage(scores, "scores"), [key], "left", spread)
     score = F.when(F.col(key).isNotNull(), F.coalesce("_score", F.lit(0.0)))
     return joined.select(*[c for c in df.columns if c != out], score.alias(out))
 
@@ -97,7 +150,7 @@ def score_sentiment(
     text has no score, one without listed words 0; ids may repeat or be NULL. The size of
     the lexicon chooses the plan and never changes a score: up to ``BROADCAST_ROWS`` words
     are read (never more than one beyond that) and scored in place without a shuffle, on streams
-    too. Longer lists are joined to the words of different texts, which a stream
+    too. Of longer lists the words that occur most are scored so, and the others joined to the texts, which a stream
     cannot do: score it in ``foreachBatch`` then. ``key`` is a column that spreads rows of one text.
     """
     entries = lexicon.filter(F.col("token").isNotNull() & (F.col("polarity") != 0))

@@ -64,3 +64,30 @@ def test_list_beyond_the_table_is_refused_on_a_stream(spark, tmp_path, texts, mo
     monkeypatch.setattr(sentiment, "small_enough", lambda df: False)
     with pytest.raises(ValueError):
         sentiment.score_sentiment(stream, listed(spark, 10))
+
+
+def test_common_words_of_a_long_list_are_scored_in_place(spark, monkeypatch):
+    listed = [(f"w{chr(97 + n // 26)}{chr(97 + n % 26)}", 1 if n % 3 else -1) for n in range(120)]
+    names = [w for w, _ in listed]
+    texts = [(n, " ".join([names[n % 4]] * 9 + [names[(7 * n) % 120], "unlisted", "unlisted", f"rare{chr(97 + n % 26)}"])) for n in range(200)]
+    texts += [(900, texts[0][1]), (None, texts[1][1]), (901, None), (902, ""), (903, "none of them")]
+    docs = spark.createDataFrame(texts, "id long, event_text string")
+    words = spark.createDataFrame(listed, "token string, polarity int")
+    in_place = sentiment.score_sentiment(docs, words)
+    stored = {}
+    real = sentiment.stage
+
+    def stage(df, label):
+        stored[label] = real(df, label)
+        return stored[label]
+
+    monkeypatch.setattr(sentiment, "stage", stage)
+    monkeypatch.setattr(sentiment, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sentiment, "small_enough", lambda df: False)
+    joined = sentiment.score_sentiment(docs, words)
+    key = lambda r: (str(r["id"]), str(r["event_text"]))
+    assert sorted(joined.collect(), key=key) == sorted(in_place.collect(), key=key)
+    left = {t for r in stored["texts"].collect() for t in r["rest"]}
+    assert not left & {*names[:4], "unlisted"} and left & set(names)  # frequent words are not joined, others are
+    monkeypatch.setattr(sentiment, "BROADCAST_ROWS", 0)  # no word is common
+    assert sorted(sentiment.score_sentiment(docs, words).collect(), key=key) == sorted(in_place.collect(), key=key)
