@@ -95,14 +95,14 @@ def first_lines(rows: DataFrame) -> DataFrame:
 
 
 def suspects(first: DataFrame) -> DataFrame:
-    """Lines that agree with another one in all but one segment: ``ord`` and the keys that say so.
+    """Lines that agree with another one in all but one segment: ``ord`` and, in ``segments``, the keys that say so.
 
     Key i < 3: segment i, partner of equal length or one longer. Key i + 3: segment i, partner one shorter.
     """
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("key")) for i in range(2 * SEGMENTS)])
     keyed = first.filter("n IS NOT NULL").select("ord", F.explode(listed).alias("k")).select("ord", "k.i", "k.key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return keyed.join(shared, "key", "left_semi").groupBy("ord").agg(F.collect_set("i").alias("segments"))
+    return keyed.join(shared, "key", "left_semi").groupBy("ord").agg(F.collect_list(F.struct("i", "key")).alias("segments"))
 
 
 def with_texts(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -120,22 +120,17 @@ def variants(texts: DataFrame) -> DataFrame:
 
     Two lines of one length that differ in one character agree once it is deleted from
     both, at the same place, which is part of the key. A line agrees with one that has one
-    character more once that is deleted from the longer; the shorter comes ``whole``.
+    character more once that is deleted from the longer; the shorter comes ``whole``. The rest of
+    the line stands in the key as the hash that made the line a suspect, so only the segment is cut.
     """
-    places = []
-    for extra in (0, 1):
-        m = f"(length(line) - {extra})"
-        for s in range(SEGMENTS):
-            low, high = _bound(s, m), f"({_bound(s + 1, m)} + {extra} - 1)"
-            span = f"if({high} >= {low}, sequence({low}, {high}), array())"
-            where = f"transform({span}, p -> struct({extra} as kind, cast(p as int) as p))"
-            none = "cast(array() as array<struct<kind:int,p:int>>)"
-            places.append(f"if(array_contains(segments, {extra * SEGMENTS + s}), {where}, {none})")
-    whole = f"if(exists(segments, i -> i < {SEGMENTS}), array(struct(1 as kind, -1 as p)), cast(array() as array<struct<kind:int,p:int>>))"
-    listed = F.expr(f"concat({', '.join(places)}, {whole})")
-    one = texts.select("ord", "line", F.explode(F.array_distinct(listed)).alias("v")).select("ord", "line", "v.kind", "v.p")
-    cut = F.expr("if(p < 0, line, concat(substring(line, 1, p), substring(line, p + 2, length(line))))")
-    key = F.when(F.col("kind") == 0, F.xxhash64("kind", "p", cut)).otherwise(F.xxhash64("kind", cut))
+    extra, s = f"cast(i / {SEGMENTS} as int)", f"(i % {SEGMENTS})"
+    m = f"(length(line) - {extra})"
+    low, end = _bound(s, m), f"({_bound(f'({s} + 1)', m)} + {extra})"
+    cut = texts.select("ord", "line", F.inline("segments")).select("ord", "i", "key", F.expr(f"substring(line, {low} + 1, {end} - {low})").alias("part"))
+    places = F.sequence(F.when(F.col("i") < SEGMENTS, -1).otherwise(0), F.length("part") - 1)
+    one = cut.select("*", F.explode(places).alias("p")).withColumn("kind", F.when((F.col("i") < SEGMENTS) & (F.col("p") >= 0), 0).otherwise(1))
+    rest = F.expr("if(p < 0, part, concat(substring(part, 1, p), substring(part, p + 2, length(part))))")
+    key = F.when(F.col("kind") == 0, F.xxhash64("kind", "p", "key", rest)).otherwise(F.xxhash64("kind", "key", rest))
     return one.select(key.alias("key"), "ord", (F.col("p") < 0).alias("whole"), "kind")
 
 

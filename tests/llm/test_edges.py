@@ -304,3 +304,17 @@ def test_top_k_in_blocks_equals_brute_force(spark):
         got = got.sort_values("rank")
         assert got.vec_id.tolist() == best.tolist() and got.score.tolist() == score[best].tolist()
     assert found.query_id.nunique() == 100
+
+
+def test_variants_of_a_line_are_cut_inside_a_segment_and_come_once(spark):
+    line = "x" * 30 + "one long line of plain words that goes on and on until it ends here" + "y" * 30
+    longer, other = line[:60] + "Q" + line[60:], line[:60] + "Z" + line[61:]
+    docs = spark.createDataFrame([(1, longer), (2, line), (3, other), (4, "something else that has no partner at all in here")], "doc_id long, text string")
+    rows = linededup.numbered(docs).select(F.col("_row"), "text")
+    first = linededup.first_lines(rows).cache()
+    texts = linededup.with_texts(rows, linededup.suspects(first))
+    assert {f.name for f in texts.schema["segments"].dataType.elementType.fields} == {"i", "key"}
+    made = linededup.variants(texts)
+    assert made.filter("whole").count() and made.filter("NOT whole").count() <= 3 * (len(longer) + 3)
+    gone = {r["ord"] >> linededup.LINE_BITS for r in linededup.near_lines(rows, first).select(F.col("ord").cast("long").alias("ord")).collect()}
+    assert gone == {2, 3}
