@@ -193,10 +193,15 @@ def _load(
             for name in ("posts", "replies", "reactions", "base"):
                 _purge(store, name, known)
     fresh = _not_loaded(raw, store.find("base"), inclusive, strict_null_hwm)
-    base = one_per_key(stage(_with_week(base_events(fresh)), "fresh"), ["id"])
-    base = stage(base if known is None else delete_flattened(base, known), "base")
+    parsed = stage(_with_week(base_events(fresh)), "fresh")
+    base = one_per_key(parsed, ["id"])
+    cheap = base is parsed and (known is None or known.small)  # nothing is shuffled to read it again
+    base = base if known is None else delete_flattened(base, known)
+    base = base if cheap else stage(base, "base")
+    scored = posts(base, _remembering(store, scorer, model))
     incoming = {
-        "posts": stage(posts(base, _remembering(store, scorer, model)), "posts"),
+        # A first load reads ids and writes once, so the scorer runs once; a merge reads more often.
+        "posts": scored if store.find("posts") is None else stage(scored, "posts"),
         "replies": replies(base),
         "reactions": reactions(base),
         "base": base.select(*schemas.BASE_COLUMNS),
@@ -233,7 +238,8 @@ def rescore(store: Store, scorer: Callable[[DataFrame], DataFrame], model: str)
     for (week,) in sorted(table.select(WEEK).distinct().collect()):
         with store.change():
             rows = store.read("posts").filter(F.col(WEEK) == F.lit(week))
-            done = stage(_remembering(store, scorer, model)(rows.withColumnRenamed("sentiment_score", "_before")), "rescored")
+            # The scores are stored, so the check reads just these and the posts are written once.
+            done = _remembering(store, scorer, model)(rows.withColumnRenamed("sentiment_score", "_before"))
             if done.filter(~F.col("sentiment_score").eqNullSafe(F.col("_before"))).limit(1).count():
                 store.replace("posts", done.select(*rows.columns), WEEK, [week])
                 changed += 1

@@ -7,7 +7,7 @@ from feedloom.operators import summaries, weekly
 from feedloom.operators.answers import Answers, ask
 from feedloom.operators.flatten import base_events
 from feedloom.operators.incremental import one_per_key
-from feedloom.plans import marts
+from feedloom.plans import marts, pipeline
 from tests.events import post, raw, reaction, reply, rows
 
 AT = "2024-01-03 09:00:00"
@@ -91,3 +91,19 @@ def test_only_the_columns_to_keep_come_with_the_answers(spark, tmp_path):
     book = Answers(spark, str(tmp_path / "book"), "m")
     done = ask(df, F.concat("text", F.lit("?")), lambda p: p.str.upper(), "said", book, keep=["k"])
     assert done.columns == ["k", "said"] and rows(done) == [(1, "A?"), (2, "BB?"), (3, None)]
+
+
+def test_a_load_and_a_rescore_store_posts_once(spark, tmp_path, monkeypatch):
+    seen = []
+    real = pipeline.stage
+    monkeypatch.setattr(pipeline, "stage", lambda df, label: seen.append(label) or real(df, label))
+    events = raw(spark, [(n, AT, post(f"{n}.0", "good" if n % 2 else "bad")) for n in range(20)])
+    store = pipeline.Store(spark, str(tmp_path / "store"))
+    pipeline.load_events(store, events, scorer, model="words")
+    assert seen == ["fresh"] and store.read("posts").count() == 20
+    other = lambda df: df.withColumn("sentiment_score", F.lit(0.5))
+    assert pipeline.rescore(store, other, "half") == 1 and pipeline.rescore(store, other, "half") == 0
+    assert seen == ["fresh"] and {r[0] for r in rows(store.read("posts"), "sentiment_score")} == {0.5}
+    again = raw(spark, [(n, AT, post(f"{n}.0", f"bad {m}")) for n in (3, 30) for m in range(2)])
+    pipeline.load_events(store, again, scorer, model="words")
+    assert seen[1:] == ["fresh", "base", "posts"] and store.read("posts").count() == 21
