@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.time import week_start
-from feedloom.operators.skew import anti_join, any_null
+from feedloom.operators.skew import anti_join, any_null, broadcastable
+from feedloom.session import stage
 
 
 def high_water_mark(df: DataFrame, col: str) -> Column | None:
@@ -70,10 +71,28 @@ def one_per_key(df: DataFrame, keys: Sequence[str], tie: str | None = None) -> D
     return picked.unionByName(marked.filter(any_null(keys))).select(*df.columns)
 
 
-def merge_incremental(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace existing rows whose key arrives again and add the new ones, each key once."""
+def replaced_keys(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], partition: str, stored: bool = False
+) -> DataFrame:
+    """Key and partition of the existing rows whose key arrives again; reads just these columns."""
+    keys = list(keys)
+    narrow = list(dict.fromkeys([*keys, partition]))
+    arriving = incoming.select(*keys).filter(~any_null(keys)).distinct()
+    found = existing.select(*narrow).join(arriving, keys, "left_semi")
+    return stage(found, "replaced") if stored else found
+
+
+def merge_incremental(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], replaced: DataFrame | None = None
+) -> DataFrame:
+    """Replace existing rows whose key arrives again and add the new ones, each key once.
+
+    ``replaced`` is a stored table of :func:`replaced_keys`; if these are few, no existing row is moved.
+    """
     incoming = one_per_key(incoming, keys)
-    return anti_join(sync_schema(existing, incoming), incoming, keys).unionByName(incoming)
+    out = (incoming if replaced is None else replaced).select(*keys)
+    small = replaced is not None and broadcastable(out, keys)
+    return anti_join(sync_schema(existing, incoming), out, keys, small).unionByName(incoming)
 
 
 def emit_closed_weeks(

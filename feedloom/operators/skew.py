@@ -17,6 +17,8 @@ SKETCH_ROOM = 16
 SPREAD = 64
 # Rows of a narrow lookup table that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+# Ids that may be sent to every executor: 64 MB or so as a hash table.
+BROADCAST_IDS = 1_000_000
 # Bytes of a table of any width that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -149,9 +151,14 @@ def join_unique(
     return salted.join(repeated, match & (F.col("_salt") == F.col("_copy")), how).select(*left.columns, *extra)
 
 
-def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` without a partner; NULL-key rows never match and skip the shuffle."""
+def anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str], small_right: bool = False) -> DataFrame:
+    """Rows of ``left`` without a partner; NULL-key rows never match and skip the shuffle.
+
+    A right side known to be small is broadcast, and no row of ``left`` is shuffled.
+    """
     keys = list(keys)
     partners = right.select(*keys).filter(~any_null(keys)).distinct()
+    if small_right:
+        return left.join(F.broadcast(partners), keys, "left_anti")
     kept = left.filter(~any_null(keys)).join(partners, keys, "left_anti")
     return kept.unionByName(left.filter(any_null(keys)).select(*kept.columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from feedloom import schemas
+from feedloom.functions.text import strip_prefix
 from feedloom.functions.time import week_start
 from feedloom.operators.answers import Answers
 from feedloom.operators.changes import Removals, delete_flattened, mark_flattened, removals
 from feedloom.operators.flatten import base_events, post_rows, reactions, replies
-from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key
+from feedloom.operators.incremental import emit_closed_weeks, merge_incremental, newer_than, one_per_key, replaced_keys
 from feedloom.operators.score_cache import CACHE_SCHEMA, cached_scores
 from feedloom.operators.sentiment import posts
-from feedloom.operators.skew import HOT_ROWS, anti_join
+from feedloom.operators.skew import BROADCAST_IDS, HOT_ROWS, anti_join
 from feedloom.plans.marts import Events, post_summary, thread_reconstruction, weighted_posts
-from feedloom.session import stage
+from feedloom.session import scratch, stage
 from feedloom.sources.snapshots import Snapshots, folder_of
-from feedloom.sources.tables import touched_partitions
+from feedloom.sources.tables import partition_values, touched_partitions
 
 WEEK = "week"
 NO_TIME = "1970-01-01"
@@ -34,12 +36,58 @@ def _with_week(df: DataFrame) -> DataFrame:
     return df.withColumn(WEEK, week)
 
 
+@dataclass(frozen=True)
+class Purge:
+    """The rows of one table that deletions take. Ids, where not NULL, are unique in it."""
+
+    known: Removals
+    weeks: list  # that lose rows
+    lost: DataFrame | None  # ids of the rows lost, if there are too many deletions to look up in place
+    loose: bool  # rows without an id are among them
+
+    def apply(self, rows: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda moved: moved) -> DataFrame:
+        """``rows`` without those lost.
+
+        Ids are sent to the rows, those of messages, which hold the texts, apart from those of reactions if
+        there are many. Only rows that too many ids would have to be sent to are moved; they pass through ``settle``.
+        """
+        if self.lost is None:
+            return delete_flattened(rows, self.known)
+        if self.loose:
+            named = F.col("id").isNotNull()
+            rows = rows.filter(named).unionByName(delete_flattened(rows.filter(~named), self.known))
+        parts = [(rows, self.lost)]
+        if "reaction" in rows.columns and not _few(self.lost):
+            of_reaction, lost = F.col("reaction").isNotNull(), F.col("_of_reaction")
+            parts = [(rows.filter(~of_reaction), self.lost.filter(~lost)), (rows.filter(of_reaction), self.lost.filter(lost))]
+        kept = [anti_join(part, ids, ["id"], True) if _few(ids) else settle(anti_join(part, ids, ["id"])) for part, ids in parts]
+        return kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
+
+
+def _few(ids: DataFrame) -> bool:
+    """Whether stored ids may be sent to every executor."""
+    return ids.count() <= BROADCAST_IDS
+
+
+def _purge(table: DataFrame | None, known: Removals) -> Purge | None:
+    """What deletions take from a table, found on narrow columns; None if it loses no row."""
+    if table is None:
+        return None
+    of_reaction = F.col("reaction").isNotNull() if "reaction" in table.columns else F.lit(False)
+    found = mark_flattened(table, known).filter("_removed").select("id", WEEK, of_reaction.alias("_of_reaction"))
+    lost = None if known.small else stage(found, "removed")
+    loose = lost is not None and lost.filter(F.col("id").isNull()).limit(1).count() > 0
+    weeks = partition_values(found if lost is None else lost, WEEK)
+    return Purge(known, weeks, lost, loose) if weeks else None
+
+
 class Store:
     """Versioned tables: base, posts, replies, reactions, control, scores, summary, threads and weighted.
 
     A store shows the version it was opened at, by default the last one, until
     :meth:`refresh`. Changes are made inside :meth:`change`; the store sees its own at once,
-    others all together when the block ends. A block that fails leaves nothing behind.
+    others all together when the block ends. A block that fails leaves nothing behind, and
+    tables staged inside one are dropped with it.
     """
 
     def __init__(self, spark: SparkSession, root: str, version: int | None = None):
@@ -58,7 +106,8 @@ class Store:
         """Publish all that is changed inside as the next version."""
         before = dict(self._folders)
         try:
-            yield
+            with scratch(self.spark):
+                yield
             if self._folders != before:
                 self.snapshots.publish(self.version + 1, self._folders)
                 self.version += 1
@@ -114,27 +163,21 @@ class Store:
         kept = [f for f in self._folders.get(name, []) if f.split("/")[-1] not in gone]
         self._folders = {**self._folders, name: kept + new}
 
-    def merge(self, name: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
-        """Merge rows by key into new folders of the partitions that change."""
+    def merge(self, name: str, incoming: DataFrame, keys: list[str], partition: str, purge: Purge | None = None) -> None:
+        """Merge rows by key into new folders of the partitions that change, without the stored rows that ``purge`` takes.
+
+        A partition is written once, whether it loses rows, receives some, or both.
+        """
         existing = self.find(name, incoming.schema)
         if existing is None:
             self.replace(name, one_per_key(incoming, keys), partition, [])
             return
-        touched, inside = touched_partitions(existing, incoming, keys, partition)
+        replaced = replaced_keys(existing, incoming, keys, partition, stored=True)
+        touched, inside = touched_partitions(incoming, replaced, partition, purge.weeks if purge else [])
         if touched:
-            self.replace(name, merge_incremental(existing.filter(inside), incoming, keys), partition, touched)
-
-
-def _purge(store: Store, name: str, known: Removals) -> None:
-    """Carry deletions on to a stored table; rewrites only the weeks that lose rows."""
-    table = store.find(name)
-    if table is None:
-        return
-    hit = mark_flattened(table, known).filter("_removed").select(WEEK).distinct()
-    weeks = [row[WEEK] for row in hit.collect()]
-    if weeks:
-        rows = table.filter(F.col(WEEK).isin(weeks))
-        store.replace(name, delete_flattened(rows, known), WEEK, weeks)
+            rows = existing.filter(inside)
+            rows = rows if purge is None else purge.apply(rows)
+            self.replace(name, merge_incremental(rows, incoming, keys, replaced), partition, touched)
 
 
 def load_events(
@@ -183,21 +226,17 @@ def _load(
     hot_rows: int = HOT_ROWS,
     model: str | None = None,
 ) -> None:
-    known = None
+    known, purges = None, {}
     if control is not None:
         store.append("control", control.select(*schemas.CONTROL_SCHEMA.names))
     all_control = store.find("control")
     if all_control is not None:
         known = removals(all_control, match_user, hot_rows)
         if propagate_deletes and control is not None:
-            for name in ("posts", "replies", "reactions", "base"):
-                _purge(store, name, known)
-    fresh = _not_loaded(raw, store.find("base"), inclusive, strict_null_hwm)
-    parsed = stage(_with_week(base_events(fresh)), "fresh")
-    base = one_per_key(parsed, ["id"])
-    cheap = base is parsed and (known is None or known.small)  # nothing is shuffled to read it again
-    base = base if known is None else delete_flattened(base, known)
-    base = base if cheap else stage(base, "base")
+            purges = {name: _purge(store.find(name), known) for name in ("posts", "replies", "reactions", "base")}
+    loaded, purge = store.find("base"), purges.get("base")
+    fresh = _not_loaded(raw, loaded if purge is None else purge.apply(loaded), inclusive, strict_null_hwm)
+    base = _fresh_base(fresh, known)
     scored = posts(base, _remembering(store, scorer, model))
     incoming = {
         # A first load reads ids and writes once, so the scorer runs once; a merge reads more often.
@@ -207,7 +246,35 @@ def _load(
         "base": base.select(*schemas.BASE_COLUMNS),
     }
     for name, rows in incoming.items():
-        store.merge(name, _with_week(rows), ["id"], WEEK)
+        store.merge(name, _with_week(rows), ["id"], WEEK, purges.get(name))
+
+
+def _fresh_base(raw: DataFrame, known: Removals | None) -> DataFrame:
+    """Parsed rows, staged, one for each id and without those that are deleted already.
+
+    The text is staged with its marker only, as the one without is cut out of it.
+    """
+    parsed = _with_week(base_events(raw))
+
+    def slim(rows: DataFrame) -> DataFrame:
+        return rows.drop("event_text")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("event_text", strip_prefix(F.col("anonymous_feedback_text"))).select(*parsed.columns)
+
+    with scratch(raw.sparkSession) as own:
+        fresh = stage(slim(parsed), "fresh")
+        every = whole(fresh)
+        once = one_per_key(every, ["id"])
+        if once is not every:  # else nothing is shuffled to read it again
+            fresh = stage(slim(once), "base")
+        own.keep(fresh)
+    if known is None:
+        return whole(fresh)
+    if known.small:
+        return whole(delete_flattened(fresh, known))
+    purge = _purge(fresh, known)
+    return whole(fresh if purge is None else purge.apply(fresh, lambda moved: stage(moved, "base")))
 
 
 def _remembering(store: Store, scorer: Callable[[DataFrame], DataFrame], model: str | None) -> Callable[[DataFrame], DataFrame]:
@@ -279,8 +346,9 @@ def _emit(store: Store, now: str | None, mode: str, generator: Callable | None,
     emitted = store.find("summary")
     events = store.events()
     due = emit_closed_weeks(events.posts.withColumn("feedback_start_date", F.col(WEEK)), emitted, now, mode)
-    fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows, book=book)
-    fresh = stage(fresh, "summary")
+    with scratch(store.spark) as own:
+        fresh = post_summary(Events(due, events.replies, events.reactions), generator=generator, hot_rows=hot_rows, book=book)
+        fresh = own.keep(stage(fresh, "summary"))
     store.merge("summary", fresh, ["team_id", "sentiment_category", "feedback_start_date", "part_no"], "feedback_start_date")
 
 
@@ -297,7 +365,8 @@ def run_pipeline(
 ) -> DataFrame | None:
     """One run, from raw events to newly emitted summaries, published as one version."""
     with store.change():
-        _load(store, raw, scorer, control, **load_options)
+        with scratch(store.spark):
+            _load(store, raw, scorer, control, **load_options)
         _emit(store, now, mode, generator, load_options.get("hot_rows", HOT_ROWS), generator_model)
     return store.find("summary")
 
