@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,11 @@ def _with_week(df: DataFrame) -> DataFrame:
     return df.withColumn(WEEK, week)
 
 
+def _plain_text() -> Column:
+    """``event_text``, as :func:`~feedloom.operators.flatten.base_events` cuts it out of the text with its marker."""
+    return strip_prefix(F.col("anonymous_feedback_text"))
+
+
 @dataclass(frozen=True)
 class Purge:
     """The rows of one table that deletions take. Ids, where not NULL, are unique in it."""
@@ -88,6 +93,9 @@ class Store:
     :meth:`refresh`. Changes are made inside :meth:`change`; the store sees its own at once,
     others all together when the block ends. A block that fails leaves nothing behind, and
     tables staged inside one are dropped with it.
+
+    The files of base hold a text once: their ``event_text`` is NULL where it follows from
+    ``anonymous_feedback_text``, and :meth:`find` puts it back.
     """
 
     def __init__(self, spark: SparkSession, root: str, version: int | None = None):
@@ -139,7 +147,8 @@ class Store:
             schema = found.drop("run").schema
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.snapshots.read(name, folders, schema)
+        table = self.snapshots.read(name, folders, schema)
+        return table.withColumn("event_text", F.coalesce("event_text", _plain_text())) if name == "base" else table
 
     def read(self, name: str) -> DataFrame:
         """The table, empty before its first write."""
@@ -158,6 +167,8 @@ class Store:
 
     def replace(self, name: str, rows: DataFrame, partition: str, touched: list) -> None:
         """Let ``rows`` be all that the ``touched`` partitions hold."""
+        if name == "base":
+            rows = rows.withColumn("event_text", F.when(~F.col("event_text").eqNullSafe(_plain_text()), F.col("event_text")))
         new = self.snapshots.write(name, rows, partition)
         gone = {folder_of(partition, v) for v in touched} | {f.split("/")[-1] for f in new}
         kept = [f for f in self._folders.get(name, []) if f.split("/")[-1] not in gone]
@@ -260,7 +271,7 @@ def _fresh_base(raw: DataFrame, known: Removals | None) -> DataFrame:
         return rows.drop("event_text")
 
     def whole(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("event_text", strip_prefix(F.col("anonymous_feedback_text"))).select(*parsed.columns)
+        return rows.withColumn("event_text", _plain_text()).select(*parsed.columns)
 
     with scratch(raw.sparkSession) as own:
         fresh = stage(slim(parsed), "fresh")

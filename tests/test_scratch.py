@@ -66,11 +66,11 @@ def test_a_block_drops_what_is_staged_in_it_also_if_it_fails(spark):
 
 
 def test_a_block_keeps_the_settings_of_its_session(spark):
-    spark.conf.set(CODEC, "gzip")
+    spark.conf.set(CODEC, "zstd")
     try:
         with scratch(spark):
-            assert spark.conf.get(CODEC) == "gzip"
-        assert spark.conf.get(CODEC) == "gzip"
+            assert spark.conf.get(CODEC) == "zstd"
+        assert spark.conf.get(CODEC) == "zstd"
     finally:
         spark.conf.unset(CODEC)
 
@@ -143,3 +143,25 @@ def test_texts_are_not_moved_for_few_deletions(spark, scorer, tmp_path, monkeypa
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
         assert all("event_ts" not in line for line in moved)
     assert store.read("base").filter(F.col("id") == 2).count() == 0
+
+
+def test_files_of_base_hold_a_text_once(spark, scorer, tmp_path):
+    marked = (1, W1, post("1.0", "Anonymous feedback: good", bot_id="B1"))
+    events = [marked, (2, W1, post("2.0", "bad")), (3, W1, post("3.0", None)), (4, W2, post("4.0", ""))]
+    store = pipeline.Store(spark, str(tmp_path / "s"))
+    pipeline.load_events(store, raw(spark, events[:3]), scorer)
+    pipeline.load_events(store, raw(spark, events), scorer)
+    texts = ("id", "event_text", "anonymous_feedback_text")
+    want = [(1, "good", "Anonymous feedback: good"), (2, "bad", "bad"), (3, None, None), (4, "", "")]
+    assert rows(store.read("base"), *texts) == want
+    files = spark.read.parquet(f"{store.root}/data/base")
+    assert rows(files.select("event_text").distinct()) == [(None,)] and files.count() >= 4
+    # Files that hold both texts, and a text of its own, read as they are.
+    other = F.when(F.col("id") == 2, "mine").otherwise(F.col("event_text"))
+    whole = store.read("base").withColumn("event_text", other)
+    with store.change():
+        store._folders = {**store._folders, "base": store.snapshots.write("base", whole, "week")}
+    assert [r[1] for r in rows(store.read("base"), *texts)] == ["good", "mine", None, ""]
+    with store.change():
+        store.replace("base", store.read("base"), "week", [r[0] for r in rows(whole.select("week").distinct())])
+    assert [r[1] for r in rows(store.read("base").filter("id = 2"), *texts)] == ["mine"]
